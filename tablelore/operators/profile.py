@@ -41,15 +41,15 @@ def profile_dataset(spark: SparkSession, tables: Tables) -> DataFrame:
     ranked_cids = [row["cid"] for row in meta if row["kind"] in RANKED_KINDS]
     top = found.where("part = 'top'").select("cid", "top.*").where(F.col("cid").isin(ranked_cids))
 
+    listed = top.groupBy("cid").agg(
+        F.min("count").alias("floor"), F.count(F.lit(1)).alias("listed")
+    )
+    # long text matters where it is frequent enough to be listed
     wide = {
         row.cid: (row.floor, row.listed)
-        for row in top.groupBy("cid")
-        .agg(
-            F.min("count").alias("floor"),
-            F.count(F.lit(1)).alias("listed"),
-            F.max("wide").alias("wide"),
-        )
-        .where("wide")
+        for row in listed.join(stats.select("cid", "long_top"), "cid")
+        .where((F.col("listed") < TOP) | (F.col("long_top") >= F.col("floor")))
+        .where(F.col("long_top").isNotNull())
         .collect()
     }
     if wide:
@@ -116,6 +116,7 @@ def _stats_and_top(tables: Tables, meta: list[dict]) -> DataFrame:
         F.sum("n").alias("row_count"),
         F.sum(F.when(_present(lanes, "kdt"), F.col("n")).otherwise(F.col("text_n"))).alias("present"),
         F.count(F.when(_present(lanes), 1)).alias("distinct_count"),
+        F.max(F.when(h.isNotNull(), F.col("n"))).alias("long_top"),
         F.min(k).alias("min_k"),
         F.max(k).alias("max_k"),
         F.min(d).alias("min_d"),
@@ -144,7 +145,7 @@ def _stats_and_top(tables: Tables, meta: list[dict]) -> DataFrame:
     top = _top_rows(texts, F.col("value").asc_nulls_last())
     top = top.select(
         "cid",
-        F.struct("value", "count", "digest", F.col("digest").isNotNull().alias("wide")).alias("top"),
+        F.struct("value", "count", "digest").alias("top"),
     )
     return stats.withColumn("part", F.lit("stats")).unionByName(
         top.withColumn("part", F.lit("top")),
