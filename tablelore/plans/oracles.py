@@ -286,20 +286,13 @@ one AS (SELECT kt AS t, string_agg(child, ', ' ORDER BY o) AS has_one FROM
     )
 
 
-def _with_nulls_cells():
-    yield from _raw_cells()
-    position = sorted([*RAW_COLUMNS, "orders_nulls"]).index("orders_nulls")
-    for ordinal, (column, (kind_type, kind)) in enumerate(NULLS_COLUMNS.items()):
-        yield "orders_nulls", position, NULLS, ordinal, column, column, kind_type, kind
-
-
 STAR_MODEL = _model(STAR_CHAIN)
 # the curated raw edges with the profile of all raw columns and the copy with nulls
 RAW_MODEL = _model(
     CURATED_CHAIN.replace(
         "WITH cells AS (",
         "WITH cells AS (" + _union(
-            f"SELECT 'orders_nulls' AS t, 11 AS tp, '{column}' AS c, {ordinal} AS cp, '{ty}' AS ty, "
+            f"SELECT 'orders_nulls' AS t, 9.5 AS tp, '{column}' AS c, {ordinal} AS cp, '{ty}' AS ty, "
             f"'{kind}' AS k, CAST(\"{column}\" AS VARCHAR) AS v FROM {NULLS}"
             for ordinal, (column, (ty, kind)) in enumerate(NULLS_COLUMNS.items())
         ) + "\nUNION ALL\n", 1,
