@@ -13,49 +13,88 @@ from ..tables import ref
 DIGITS = 9
 
 
-def _number(value: Column, shift: float) -> Column:
-    """A number as text on a grid of DIGITS significant digits."""
-    exponent = F.floor(F.log10(F.abs(value)))
-    step = F.pow(F.lit(10.0), exponent - (DIGITS - 1))
-    on_grid = F.floor(value / step + shift)
-    text = F.concat_ws("e", on_grid.cast("decimal(20,0)").cast("string"), exponent.cast("string"))
-    return (
-        F.when(value == 0, F.lit("0"))
-        .when(F.isnan(value) | (F.abs(value) == float("inf")), value.cast("string"))
-        .otherwise(text)
-    )
+_CELL = "struct<text:string,exponent:int,digits:bigint>"
 
 
-def _cell(value: Column, data_type: T.DataType, shift: float) -> Column:
-    """A cell as comparable text: numbers by value, also when stored as text."""
-    text = value.cast("string")
-    if isinstance(data_type, (T.NumericType, T.StringType)):
-        number = F.expr("cast(null as double)")
-        if isinstance(data_type, T.NumericType):
-            number = value.cast("double")
-        else:
-            numeric = F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-            number = F.when(numeric, F.trim(text).try_cast("double"))
-        shown = F.when(number.isNotNull(), F.concat(F.lit("n:"), _number(number, shift))).otherwise(
-            F.concat(F.lit("t:"), text)
-        )
-    else:
-        shown = F.concat(F.lit("t:"), text)
-    return F.when(value.isNull(), F.lit("null")).otherwise(shown)
+def _numeric(value: Column, data_type: T.DataType) -> Column:
+    """The number a cell stands for, or null: numbers and numbers kept as text."""
+    if isinstance(data_type, T.NumericType):
+        return value.cast("double")
+    if isinstance(data_type, T.StringType):
+        bare = F.trim(value)
+        plain = bare.try_cast("double").isNotNull() & bare.rlike("[0-9]$|[.]$")
+        return F.when(plain, bare.try_cast("double"))
+    return F.lit(None).cast("double")
+
+
+def _on_grids(df: DataFrame, *keep: Column) -> DataFrame:
+    """``cells`` and ``shifted`` of every row, next to the columns in ``keep``.
+
+    Worked out column by column in small steps, which keeps the generated code short.
+    """
+    fields = df.schema.fields
+    steps = df.select(
+        *keep,
+        *[_numeric(ref(f.name), f.dataType).alias(f"__n{i}") for i, f in enumerate(fields)],
+        *[ref(f.name).cast("string").alias(f"__t{i}") for i, f in enumerate(fields)],
+    )
+    kept = [name for name in steps.columns if not name.startswith(("__n", "__t"))]
+    each = range(len(fields))
+    number = [F.col(f"__n{i}") for i in each]
+    # zero, NaN and the infinities have no place on the grid and stay text
+    grid = [(F.abs(n) < float("inf")) & (n != 0) for n in number]
+    text = [F.when(n == 0, F.lit("0")).otherwise(F.col(f"__t{i}")) for i, n in enumerate(number)]
+    steps = steps.select(
+        *kept,
+        *[F.when(~F.coalesce(g, F.lit(False)), t).alias(f"__t{i}") for i, (g, t) in enumerate(zip(grid, text))],
+        *[F.when(g, F.floor(F.log10(F.abs(n))).cast("int")).alias(f"__e{i}") for i, (g, n) in enumerate(zip(grid, number))],
+        *[F.col(f"__n{i}") for i in each],
+    )
+    steps = steps.select(
+        *kept,
+        *[F.col(f"__{kind}{i}") for kind in "te" for i in each],
+        *[
+            (F.col(f"__n{i}") * F.pow(F.lit(10.0), F.lit(DIGITS - 1) - F.col(f"__e{i}"))).alias(f"__m{i}")
+            for i in each
+        ],
+    )
+
+    def row(shift: float) -> Column:
+        cells = [
+            F.struct(
+                F.col(f"__t{i}").alias("text"),
+                F.col(f"__e{i}").alias("exponent"),
+                F.floor(F.col(f"__m{i}") + shift).alias("digits"),
+            )
+            for i in each
+        ]
+        return F.sort_array(F.array(*cells)) if cells else F.array().cast(f"array<{_CELL}>")
+
+    return steps.select(*kept, row(0.5).alias("cells"), row(0.0).alias("shifted"))
+
+
+def _shown(cells: Column) -> Column:
+    """Cells as one line of text, for reporting a difference."""
+    return F.array_join(
+        F.transform(
+            cells,
+            lambda c: F.coalesce(
+                c["text"],
+                (c["digits"] * F.pow(F.lit(10.0), c["exponent"] - (DIGITS - 1))).cast("string"),
+                F.lit("null"),
+            ),
+        ),
+        ", ",
+    )
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """Each row as sorted cell texts, so that names and column order drop out.
+    """Each row as sorted cells, so that names and column order drop out.
 
     ``cells`` and ``shifted`` place numbers on two grids half a step apart: two close
     numbers that fall on different sides of a step on one grid share one on the other.
     """
-    return df.select(_row_cells(df, 0.5).alias("cells"), _row_cells(df, 0.0).alias("shifted"))
-
-
-def _row_cells(df: DataFrame, shift: float) -> Column:
-    cells = [_cell(ref(f.name), f.dataType, shift) for f in df.schema.fields]
-    return F.sort_array(F.array(*cells)) if cells else F.array().cast("array<string>")
+    return _on_grids(df)
 
 
 def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -112,8 +151,8 @@ def compare_rows(expected: DataFrame, actual: DataFrame | None, ordered_by: list
     detail = (
         F.when(F.lit(wide != narrow), F.lit(f"column count {narrow}, expected {wide}"))
         .when(F.col("bad") == 0, F.lit(""))
-        .when(gap != 0, F.concat(F.lit("row count differs by "), gap.cast("string"), F.lit("; first difference "), F.array_join("first", ", ")))
-        .otherwise(F.concat(F.lit("first difference "), F.array_join("first", ", ")))
+        .when(gap != 0, F.concat(F.lit("row count differs by "), gap.cast("string"), F.lit("; first difference "), _shown(F.col("first"))))
+        .otherwise(F.concat(F.lit("first difference "), _shown(F.col("first"))))
     )
     return found.select(empty.alias("equal"), detail.alias("detail"))
 
@@ -130,11 +169,7 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
         for key, name in zip(keys, order)
     ]
     ranged = (
-        df.select(
-            *[ref(name.removeprefix("-")).alias(key) for key, name in zip(keys, order)],
-            _row_cells(df, 0.5).alias("cells"),
-            _row_cells(df, 0.0).alias("shifted"),
-        )
+        _on_grids(df, *[ref(name.removeprefix("-")).alias(key) for key, name in zip(keys, order)])
         .repartitionByRange(*sorts)
         .sortWithinPartitions(*sorts)
         .select("cells", "shifted", F.monotonically_increasing_id().alias("id"))
