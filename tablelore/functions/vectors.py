@@ -31,10 +31,15 @@ def matrix(vectors, width: int | None = None) -> np.ndarray:
     return out
 
 
-def cosine_block(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """All cosines between two blocks; 0 where either vector is zero."""
+def cosine_block(rows: np.ndarray, others: np.ndarray, repeatable: bool = False) -> np.ndarray:
+    """All cosines between two blocks; 0 where either vector is zero.
+
+    ``repeatable`` gives a pair the same last bit whatever else is in its blocks, which
+    a matrix product does not promise.
+    """
     width = min(rows.shape[1], others.shape[1])
     a, b = rows[:, :width], others[:, :width]
+    dots = np.einsum("ik,jk->ij", a, b) if repeatable else a @ b.T
     norms = np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(norms == 0, 0.0, (a @ b.T) / norms)
+        return np.where(norms == 0, 0.0, dots / norms)

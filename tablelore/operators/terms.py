@@ -254,7 +254,7 @@ def _block_scores(asked: DataFrame, ids: np.ndarray, block: np.ndarray, k: int)
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         term_ids, terms = shared.value
         for frame in frames:
-            scores = cosine_block(matrix(frame["vector"]), terms)
+            scores = cosine_block(matrix(frame["vector"]), terms, repeatable=True)
             out = []
             for query_id, row, hits in zip(frame["query_id"], scores, frame["hits"]):
                 lexical = np.isin(term_ids, np.asarray([] if hits is None else hits, dtype="int64"))
@@ -273,12 +273,13 @@ def _block_ahead(wanted: DataFrame, ids: np.ndarray, block: np.ndarray) -> DataF
     def ahead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         term_ids, terms = shared.value
         for frame in frames:
-            scores = cosine_block(matrix(frame["vector"]), terms)
+            scores = cosine_block(matrix(frame["vector"]), terms, repeatable=True)
             out = []
             for query_id, row, found in zip(frame["query_id"], scores, frame["found"]):
                 for item in found:
-                    same = (row == item["score"]) & (term_ids < item["term_id"])
-                    out.append((query_id, item["term_id"], int((row > item["score"]).sum() + same.sum())))
+                    better = (row > item["score"]) & (term_ids != item["term_id"])
+                    equal = (row == item["score"]) & (term_ids < item["term_id"])
+                    out.append((query_id, item["term_id"], int(better.sum() + equal.sum())))
             yield pd.DataFrame(out, columns=["query_id", "term_id", "ahead"])
 
     return wanted.mapInPandas(ahead, "query_id bigint, term_id bigint, ahead bigint")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 READING = ("Explain", "Show", "Describe", "Desc")
+# plan nodes that write or run programs without being commands to the parser
+ACTING = ("Insert", "Append", "Overwrite", "Write", "ScriptTransformation")
 
 
 class NotReadOnly(ValueError):
@@ -64,6 +66,8 @@ def _reads(spark: SparkSession, statement: str) -> bool:
     while pending:
         node = pending.pop()
         name = node.getClass().getSimpleName()
+        if name.startswith(ACTING):
+            return False
         if any(kind.isInstance(node) for kind in acting):
             if not name.startswith(READING):
                 return False
