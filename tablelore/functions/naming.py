@@ -6,11 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def tokens(name: Column) -> Column:
-    """Lower-case words of an identifier, split at punctuation and camel-case humps."""
+    """Lower-case words of an identifier, split at punctuation and camel-case humps.
+
+    Only ASCII letters and digits make words. Everything here is a plain function, so
+    it also runs compiled over long text columns.
+    """
     spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    words = F.split(spaced, "[^a-zA-Z0-9]+")
-    return F.transform(F.filter(words, lambda w: w != ""), F.lower)
+    words = F.split(F.translate(spaced, _UPPER, _LOWER), "[^a-z0-9]+")
+    return F.array_remove(words, "")
 
 
 def singular(name: Column) -> Column:

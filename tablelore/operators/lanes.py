@@ -1,6 +1,6 @@
 """Typed value lanes: many columns of many types in one narrow long table.
 
-Each cell becomes one row ``(cid, k, d, t, s, h)`` with at most one lane set:
+Each cell becomes one row with a column number and a value in one of the lanes:
 
 * ``k`` whole numbers, dates (days), timestamps (microseconds) and decimals that fit
   18 digits (unscaled);
@@ -10,7 +10,8 @@ Each cell becomes one row ``(cid, k, d, t, s, h)`` with at most one lane set:
 * ``h`` the SHA-256 of longer text, computed over the whole text.
 
 Grouping by the lanes groups by value without turning numbers into strings and
-without moving long text through a shuffle. The cells are written as SQL text: a wide
+without moving long text through a shuffle. Each kind of lane has a long table of its
+own: the tables read disjoint columns, and their rows stay narrow. The cells are written as SQL text: a wide
 dataset has hundreds of them, and one ``stack`` per table is quick to analyse.
 """
 
@@ -79,16 +80,13 @@ def native_lanes(name: str, data_type: T.DataType) -> dict[str, str]:
     return text_lanes(text_sql(name, data_type))
 
 
-def lane_names(kinds: set[str]) -> list[str]:
-    """The lanes a set of lane classes needs; unused lanes would cost shuffle bytes."""
-    used = set()
-    for kind in kinds:
-        used |= {"text": {"s", "h"}, "double": {"d"}, "float": {"d"}, "local": {"t"}}.get(kind, {"k"})
-    return [lane for lane in LANES if lane in used]
+def lanes_of(kind: str) -> tuple[str, ...]:
+    """The lanes a lane class is held in."""
+    return {"text": ("s", "h"), "double": ("d",), "float": ("d",), "local": ("t",)}.get(kind, ("k",))
 
 
 def long_form(
-    df: DataFrame, cells: list[tuple[dict[str, str], dict[str, str]]], lanes: list[str]
+    df: DataFrame, cells: list[tuple[dict[str, str], dict[str, str]]], lanes: tuple[str, ...]
 ) -> DataFrame:
     """One row per cell.
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import Tables, ref, small_table
+from ..tables import Tables, ref
 from .lanes import union_all
 from .semantic import SemanticModel
 

@@ -1,9 +1,10 @@
-"""Column profiles of a whole dataset from one scan and one shuffle.
+"""Column profiles of a whole dataset; every column is scanned and shuffled once.
 
-All columns of all tables go through one long table of typed values
-(``lanes.long_form``). Counting equal values, with map-side combine, yields rows,
-nulls, exact distinct counts, minimum, maximum, mean and the most frequent values;
-a value that fills a third of a table is combined before the shuffle.
+All columns of all tables go through long tables of typed values (``lanes.long_form``),
+one for whole numbers, one for fractions, one for local times and one for text.
+Counting equal values, with map-side combine, yields rows, nulls, exact distinct
+counts, minimum, maximum, mean and the most frequent values; a value that fills a
+third of a table is combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from ..session import write_once
 from ..tables import Tables, column_rows, small_table
 from ..types import COLUMNS
-from .lanes import lane_class, lane_names, long_form, native_lanes, text_lanes, text_sql, union_all
+from .lanes import lane_class, lanes_of, long_form, native_lanes, text_lanes, text_sql, union_all
 
 TOP = 5
 RANKED_KINDS = ("text", "boolean", "other")
@@ -59,42 +60,23 @@ def profile_dataset(spark: SparkSession, tables: Tables) -> DataFrame:
     return write_once(_assemble(spark, meta, stats, ranked), "profile")
 
 
-def _long_cells(tables: Tables, meta: list[dict]) -> tuple[DataFrame, list[str]]:
-    lanes = lane_names({lane_class(row["data_type"]) for row in meta})
+def value_counts(tables: Tables, meta: list[dict], lanes: tuple[str, ...]) -> DataFrame | None:
+    """How often each value occurs in each column held in ``lanes``.
+
+    Nulls form one group per column. None when no column uses these lanes.
+    """
     frames = []
     for table in sorted(tables):
         cells = [
             ({"cid": str(row["cid"])}, native_lanes(row["column"], row["data_type"]))
             for row in meta
-            if row["table"] == table
+            if row["table"] == table and lanes_of(lane_class(row["data_type"])) == lanes
         ]
         if cells:
             frames.append(long_form(tables[table], cells, lanes))
-    return union_all(frames), lanes
-
-
-def value_counts(cells: DataFrame, lanes: list[str]) -> DataFrame:
-    """How often each value occurs in each column; nulls form one group per column."""
-    text = [F.col(lane).isNotNull() for lane in ("s", "h") if lane in lanes]
-    is_text = F.lit(False)
-    for lane in text:
-        is_text = is_text | lane
-    return cells.groupBy("cid", *lanes).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(is_text, 1).otherwise(0)).alias("text_n"),
-    )
-
-
-def _present(lanes: list[str], only: str = "kdtsh") -> Column:
-    out = F.lit(False)
-    for lane in lanes:
-        if lane in only:
-            out = out | F.col(lane).isNotNull()
-    return out
-
-
-def _lane(lanes: list[str], lane: str, kind: str) -> Column:
-    return F.col(lane) if lane in lanes else F.lit(None).cast(kind)
+    if not frames:
+        return None
+    return union_all(frames).groupBy("cid", *lanes).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _top_rows(counts: DataFrame, then: Column) -> DataFrame:
@@ -104,53 +86,68 @@ def _top_rows(counts: DataFrame, then: Column) -> DataFrame:
 
 
 def _stats_and_top(tables: Tables, meta: list[dict]) -> DataFrame:
-    cells, lanes = _long_cells(tables, meta)
-    # Both consumers below use exactly these columns, so they share one shuffle.
-    counts = value_counts(cells, lanes)
-
-    k, d = _lane(lanes, "k", "bigint"), _lane(lanes, "d", "double")
-    t = _lane(lanes, "t", "timestamp_ntz")
-    s, h = _lane(lanes, "s", "string"), _lane(lanes, "h", "binary")
-    number = F.coalesce(k.cast("double"), d)
+    parts = []
+    for lanes in (("k",), ("d",), ("t",), ("s", "h")):
+        counts = value_counts(tables, meta, lanes)
+        if counts is None:
+            continue
+        parts.append(_stats(counts, lanes, meta))
+        if "s" in lanes:
+            # leaves nulls out after counting: a filter on the value alone would move below
+            # the aggregation, and the shuffle could not be shared with the statistics
+            texts = counts.select("cid", F.col("s").alias("value"), F.col("n").alias("count"), F.col("h").alias("digest"))
+            given = F.when(_present(lanes, "value", "digest"), F.col("count")).otherwise(0)
+            texts = texts.where(given > 0)
+            top = _top_rows(texts, F.col("value").asc_nulls_last())
+            top = top.select("cid", F.struct("value", "count", "digest").alias("top"))
+            parts.append(top.withColumn("part", F.lit("top")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    if "top" not in out.columns:
+        out = out.withColumn("top", F.lit(None).cast("struct<value:string,count:bigint,digest:binary>"))
+    return out
+
+
+def _present(lanes: tuple[str, ...], *names: str) -> Column:
+    out = F.lit(False)
+    for name in names or lanes:
+        out = out | F.col(name).isNotNull()
+    return out
+
+
+def _stats(counts: DataFrame, lanes: tuple[str, ...], meta: list[dict]) -> DataFrame:
+    """One row per column; the same fields whichever lanes the values came in."""
+    types = {"k": "bigint", "d": "double", "t": "timestamp_ntz"}
+    lane = {name: F.col(name) if name in lanes else F.lit(None).cast(kind) for name, kind in types.items()}
+    number = F.coalesce(lane["k"].cast("double"), lane["d"])
+    present = _present(lanes)
     measures = [
         F.sum("n").alias("row_count"),
-        F.sum(F.when(_present(lanes, "kdt"), F.col("n")).otherwise(F.col("text_n"))).alias("present"),
-        F.count(F.when(_present(lanes), 1)).alias("distinct_count"),
-        F.max(F.when(h.isNotNull(), F.col("n"))).alias("long_top"),
-        F.min(k).alias("min_k"),
-        F.max(k).alias("max_k"),
-        F.min(d).alias("min_d"),
-        F.max(d).alias("max_d"),
-        F.min(t).alias("min_t"),
-        F.max(t).alias("max_t"),
+        F.sum(F.when(present, F.col("n"))).alias("present"),
+        F.count(F.when(present, 1)).alias("distinct_count"),
         (F.sum(number * F.col("n")) / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"),
     ]
+    for name, value in lane.items():
+        measures += [F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}")]
+    long = F.col("h").isNotNull() if "h" in lanes else F.lit(False)
+    measures.append(F.max(F.when(long, F.col("n"))).alias("long_top"))
     for row in meta:
         if row["kind"] == "numeric" and lane_class(row["data_type"]) == "text":
             # decimals beyond 18 digits travel as text
-            exact = F.when(F.col("cid") == row["cid"], s.try_cast(row["data_type"].simpleString()))
-            weighted = exact.cast("double") * F.col("n")
-            rows = F.sum(F.when(exact.isNotNull(), F.col("n")))
+            here = F.col("cid") == row["cid"] if "s" in lanes else F.lit(False)
+            text = F.col("s") if "s" in lanes else F.lit(None).cast("string")
+            exact = F.when(here, text.try_cast(row["data_type"].simpleString()))
             measures += [
                 F.min(exact).cast("string").alias(f"min_{row['cid']}"),
                 F.max(exact).cast("string").alias(f"max_{row['cid']}"),
-                (F.sum(weighted) / rows).alias(f"mean_{row['cid']}"),
+                (F.sum(exact.cast("double") * F.col("n")) / F.sum(F.when(exact.isNotNull(), F.col("n")))).alias(
+                    f"mean_{row['cid']}"
+                ),
             ]
     stats = counts.groupBy("cid").agg(*measures)
-    stats = stats.select("cid", F.struct(*[c for c in stats.columns if c != "cid"]).alias("stats"))
-
-    texts = counts.where(F.col("text_n") > 0).select(
-        "cid", s.alias("value"), F.col("n").alias("count"), h.alias("digest")
-    )
-    top = _top_rows(texts, F.col("value").asc_nulls_last())
-    top = top.select(
-        "cid",
-        F.struct("value", "count", "digest").alias("top"),
-    )
-    return stats.withColumn("part", F.lit("stats")).unionByName(
-        top.withColumn("part", F.lit("top")),
-        allowMissingColumns=True,
-    )
+    fields = [name for name in stats.columns if name != "cid"]
+    return stats.select("cid", F.struct(*fields).alias("stats"), F.lit("stats").alias("part"))
 
 
 def _long_top_values(
@@ -196,6 +193,9 @@ def _long_top_values(
             .select("cid", "key", "count")
         )
         wanted = wanted.unionByName(frequent)
+    # written first: with its size known, Spark broadcasts it when it is small and the
+    # long text below is then looked up without being shuffled
+    wanted = write_once(wanted, "profile-frequent-text")
     looked_up = (
         keyed.join(wanted, ["cid", "key"])
         .groupBy("cid", "key", "count")

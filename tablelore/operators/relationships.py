@@ -17,7 +17,7 @@ from ..functions import naming, signals
 from ..session import write_once
 from ..tables import Tables, small_table
 from ..types import RELATIONSHIPS
-from .lanes import lane_class, lane_names, long_form, native_lanes, text_lanes, text_sql, union_all
+from .lanes import lane_class, lanes_of, long_form, native_lanes, text_lanes, text_sql, union_all
 
 BITS = 62  # bits used per bit-set word
 
@@ -132,28 +132,31 @@ def measure_overlap(
         wanted.append({"seq": seq, "lane": lane, "f": numbers[ends[0]], "t": numbers[ends[1]]})
 
     words = [f"w{i}" for i in range(len(numbers) // BITS + 1)]
-    lanes = lane_names({lane for _, lane in cells})
-    by_table: dict[str, list] = {}
+    by_lane: dict[str, dict[str, list]] = {}
     for (number, lane), (table, column) in cells.items():
         data_type = types[table, column]
-        labels = {"lane": f"'{lane}'"}
-        for i, word in enumerate(words):
-            bit = 1 << (number % BITS) if i == number // BITS else 0
-            labels[word] = f"{bit}L"
+        labels = {
+            word: f"{1 << (number % BITS) if i == number // BITS else 0}L" for i, word in enumerate(words)
+        }
         if lane == "text":
             filled = text_lanes(text_sql(column, data_type))
         else:
             filled = native_lanes(column, data_type)
-        by_table.setdefault(table, []).append((labels, filled))
-    values = union_all([long_form(tables[t], by_table[t], lanes) for t in sorted(by_table)])
-    holders = (
-        values.where(" or ".join(f"{lane} is not null" for lane in lanes))
-        .groupBy("lane", *lanes)
-        .agg(*[F.bit_or(word).alias(word) for word in words])
-        .groupBy("lane", *words)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("lane", "n", F.array(*words).alias("held"))
-    )
+        by_lane.setdefault(lane, {}).setdefault(table, []).append((labels, filled))
+
+    held = []
+    for lane, by_table in sorted(by_lane.items()):
+        lanes = lanes_of(lane)
+        values = union_all([long_form(tables[t], by_table[t], lanes) for t in sorted(by_table)])
+        held.append(
+            values.where(" or ".join(f"{name} is not null" for name in lanes))
+            .groupBy(*lanes)
+            .agg(*[F.bit_or(word).alias(word) for word in words])
+            .groupBy(*words)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(lane).alias("lane"), "n", F.array(*words).alias("held"))
+        )
+    holders = union_all(held)
     members = holders.withColumn(
         "f",
         F.explode(

@@ -82,7 +82,7 @@ def _plain(text):
 
 
 def _words(text):
-    return F.array_distinct(F.transform(naming.tokens(text), naming.singular))
+    return F.array_distinct(F.transform(F.array_distinct(naming.tokens(text)), naming.singular))
 
 
 def lexical_scores(queries: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -520,6 +520,7 @@ ORACLES: dict[str, str] = {
     ),
     "S8_export_json": """SELECT c_custkey, '"' || c_name || '", ' || c_mktsegment AS quoted,
       nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal FROM customer""",
+    "S9_documents": "SELECT sum(length(text) + 1)::BIGINT AS characters FROM benchmark",
     "S11_redact": r"""
       SELECT doc_id, md5(clean) AS digest, length(clean)::INTEGER AS characters FROM (
         SELECT doc_id, regexp_replace(regexp_replace(
@@ -555,7 +556,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS kind, count(*) AS row_count,
           count(*) - count("{c}") AS null_count, count(DISTINCT "{c}") AS distinct_count,
           {f'avg("{c}")::FLOAT::DOUBLE' if kind == "numeric" else "NULL::DOUBLE"} AS avg_value,
-          {f'(SELECT max(n) FROM (SELECT count(*) AS n FROM {t} GROUP BY "{c}"))' if kind == "text" else "NULL::BIGINT"} AS top_count
+          {f'(SELECT max(n) FROM (SELECT count(*) AS n FROM {t} GROUP BY "{c}"))' if kind == "text" else "0::BIGINT"} AS top_count
           FROM {t}"""
         for t, columns in RAW_COLUMNS.items() for c, (_, kind) in columns.items()
     ),
@@ -699,6 +700,7 @@ ORACLES: dict[str, str] = {
       round(1.0::DOUBLE / (60 + rank), 9) AS score FROM ranked WHERE rank <= 5""",
     "T8_resolve_phrases": PHRASE_CHAIN + f"""SELECT qkey AS query, rank::INTEGER AS position, {TARGET} AS target,
       round(1.0::DOUBLE / (60 + rank), 9) AS score FROM ranked JOIN catalog USING (term_id) WHERE rank <= 5""",
+    "T9_vectors": TERMS_CHAIN + "SELECT term_id, term, 256 AS width FROM catalog",
     "G1_parse": """
       SELECT p_partkey AS payload_id, p_name AS term, p_type AS definition, p_brand || ',' || p_type AS synonyms,
         nullif(p_type, 'PROMO') AS map_table, CASE WHEN p_type <> 'PROMO' THEN p_brand END AS map_column,

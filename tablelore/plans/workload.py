@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import naming, signals
+from ..functions import naming
 from ..functions.redact import redact
 from ..functions.vectors import cosine
 from ..operators import compare, curation, glossary as gloss, metrics, relationships as rel
@@ -20,7 +20,7 @@ from ..tables import count_rows, list_columns, sample_rows, small_table
 from ..types import GLOSSARY, RELATIONSHIPS, VERDICTS
 from .dataset import Dataset, keep, prepare
 from .readonly import run_sql
-from .star import RAW, raw_table, raw_tables, star_tables, transfers
+from .star import raw_table, raw_tables, star_tables, transfers
 
 _KEPT: dict[tuple, object] = {}
 
@@ -177,7 +177,7 @@ def s9_documents(spark, sf_dir):
         return [row.path for row in files.collect()]
 
     paths = _kept(spark, sf_dir, "intake", build)
-    return load_documents(spark, paths).select(F.length("text").alias("characters"))
+    return load_documents(spark, paths).agg(F.sum(F.length("text")).alias("characters"))
 
 
 def s11_redact(spark, sf_dir):
@@ -234,7 +234,7 @@ def p7_dataset(spark, sf_dir):
     return _named(
         profile, "kind", "row_count", "null_count", "distinct_count",
         F.col("avg").cast("float").cast("double").alias("avg_value"),
-        F.when(F.col("kind") == "text", F.element_at("top_values.count", 1)).alias("top_count"),
+        F.when(F.col("kind") == "text", F.element_at("top_values.count", 1)).otherwise(0).alias("top_count"),
     )
 
 

@@ -93,3 +93,15 @@ def test_job_count_does_not_grow_with_columns(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(3) == jobs(40)
+
+
+def test_text_is_shuffled_once_for_counts_and_leaders(spark):
+    from tablelore.operators import profile
+    from tablelore.tables import column_rows
+
+    tables = {"t": spark.createDataFrame([("a", 1, 2.0), (None, 2, None)], "x string, n int, d double")}
+    meta = [dict(r, cid=i, data_type=tables["t"].schema[i].dataType) for i, r in enumerate(column_rows(tables))]
+    plan = profile._stats_and_top(tables, meta)._jdf.queryExecution()
+    plan.executedPlan().execute().count()
+    text = plan.executedPlan().toString()
+    assert "ReusedExchange" in text and "Expand" not in text
