@@ -223,15 +223,15 @@ def query_metric(tables: Tables, catalog: MetricCatalog, request: MetricRequest)
 def join_loss(tables: Tables, edges: list) -> DataFrame:
     """Rows an inner join over each edge silently drops, one row per edge.
 
-    ``edges`` are relationship rows. Rows are counted per key value first, so the
-    anti-join sees every key once however often it occurs.
+    ``edges`` are relationship rows. Rows are counted per key value first and the other
+    side is made distinct, so the anti-join sees every key once however often it occurs.
     """
     frames = []
     for edge in edges:
         keyed = tables[edge.from_table].groupBy(ref(edge.from_column).alias("__fk")).agg(
             F.count(F.lit(1)).alias("n")
         )
-        parent = tables[edge.to_table].select(ref(edge.to_column).alias("__key"))
+        parent = tables[edge.to_table].select(ref(edge.to_column).alias("__key")).distinct()
         lost = keyed.join(parent, _same(keyed, "__fk", parent, "__key"), "left_anti")
         frames.append(
             lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_lost")).select(

@@ -879,14 +879,16 @@ def l5_distinct(spark, sf_dir):
 
 
 def l6_not_exists(spark, sf_dir):
-    orders, lines = raw_table(spark, sf_dir, "orders"), raw_table(spark, sf_dir, "lineitem")
+    orders = raw_table(spark, sf_dir, "orders")
+    lines = raw_table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_anti").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def l7_exists(spark, sf_dir):
-    customers, events = raw_table(spark, sf_dir, "customer"), raw_table(spark, sf_dir, "events")
+    customers = raw_table(spark, sf_dir, "customer")
+    events = raw_table(spark, sf_dir, "events").select("user_id").distinct()
     return (
         customers.join(events, customers.c_custkey == events.user_id, "left_semi")
         .groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))

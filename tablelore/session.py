@@ -30,13 +30,13 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder, because there
-    every task runs on this machine.
+    A checkpoint folder set on the context counts too. Only a local-mode session may
+    fall back to a temporary folder, because there every task runs on this machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL_SCRATCH:

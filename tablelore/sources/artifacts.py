@@ -38,15 +38,27 @@ def read_artifacts(
     spark: SparkSession, folder: str, source: str
 ) -> tuple[DataFrame, SemanticModel] | None:
     """What was stored for this exact source, or None if it must be derived again."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{source}/{PARTS[-1]}/_SUCCESS")
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(hadoop):
+    if not _written(spark, f"{folder}/{source}/{PARTS[-1]}"):
         return None
     read = {name: spark.read.parquet(f"{folder}/{source}/{name}") for name in PARTS}
     model = SemanticModel(read["entities"], read["dimensions"], read["measures"], read["relationships"])
     return read["profile"], model
 
 
+def write_terms(folder: str, source: str, terms: DataFrame) -> None:
+    """Store the search terms, with their vectors if they have been computed."""
+    terms.write.mode("overwrite").parquet(f"{folder}/{source}/terms")
+
+
+def read_terms(spark: SparkSession, folder: str, source: str) -> DataFrame | None:
+    return spark.read.parquet(f"{folder}/{source}/terms") if _written(spark, f"{folder}/{source}/terms") else None
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def shown(df: DataFrame) -> DataFrame:
     """Every column as export text: floats to 15 significant digits, nested as JSON."""
     columns = []

@@ -24,25 +24,31 @@ def extension(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower()
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame | None:
-    """One data file as a lazy DataFrame, or None for an unknown extension."""
+def read_file(
+    spark: SparkSession, path: str, schema: str | None = None, one_line_records: bool = False
+) -> DataFrame | None:
+    """One data file as a lazy DataFrame, or None for an unknown extension.
+
+    Without a schema, text formats are read once more to infer one. Quoted line breaks
+    are kept, which ties a delimited file to one task; ``one_line_records`` says there
+    are none and lets Spark split large files.
+    """
     kind = extension(path)
     if kind == "parquet":
         return spark.read.parquet(path)
+    if kind not in FORMATS:
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("csv", "tsv"):
         return (
-            spark.read.option("header", True)
-            .option("inferSchema", True)
+            reader.option("header", True)
+            .option("inferSchema", schema is None)
             .option("sep", "\t" if kind == "tsv" else ",")
-            .option("multiLine", True)
+            .option("multiLine", not one_line_records)
             .option("escape", '"')
             .csv(path)
         )
-    if kind in ("jsonl", "ndjson"):
-        return spark.read.json(path)
-    if kind == "json":
-        return spark.read.option("multiLine", True).json(path)
-    return None
+    return reader.option("multiLine", kind == "json").json(path)
 
 
 def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, bool, str]]:
@@ -65,9 +71,12 @@ def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, bool, str
     return sorted(entries)
 
 
-def load_folder(spark: SparkSession, folder: str) -> LoadedFolder:
+def load_folder(
+    spark: SparkSession, folder: str, schemas: dict[str, str] | None = None, one_line_records: bool = False
+) -> LoadedFolder:
     """Every supported file at the top level of ``folder`` as one lazy table.
 
+    ``schemas`` gives known schemas by table name, see ``read_file``.
     A directory named like a data file (what Spark writes) counts as one file; other
     directories are left alone and other files are reported as skipped. Files are taken
     in name order, so suffixes for equal names do not depend on the file system.
@@ -81,7 +90,7 @@ def load_folder(spark: SparkSession, folder: str) -> LoadedFolder:
                 out.skipped.append(name)
             continue
         table = unique_name(safe_name(name), taken)
-        out.tables[table] = read_file(spark, path)
+        out.tables[table] = read_file(spark, path, (schemas or {}).get(table), one_line_records)
         out.files[table] = path
         out.fingerprints[table] = fingerprint
     return out

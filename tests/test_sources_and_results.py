@@ -36,6 +36,9 @@ def test_folder(spark, tmp_path):
     assert loaded.tables["users"].first().name == 'a, "b"'
     listed = list_columns(spark, loaded.tables)
     assert [r.column for r in listed.where("table = 'users'").orderBy("ordinal").collect()] == ["id", "name", "day"]
+    typed = files.load_folder(spark, str(tmp_path), {"users": "id long, name string, day string"}, True)
+    assert dict(typed.tables["users"].dtypes) == {"id": "bigint", "name": "string", "day": "string"}
+    assert typed.tables["users"].count() == 2
     assert sample_rows(loaded.tables["nums"], 0).count() == 1
     assert sample_rows(spark.range(99), 500).count() == 50
 
@@ -66,6 +69,9 @@ def test_stored_output_is_reused_until_a_file_changes(spark, tmp_path):
     (data / "users.csv").write_text("id,plan\n1,a\n2,b\n3,a\n4,b\n5,c\n")
     assert prepare_folder(spark, str(data), str(cache)).profile.where("table = 'users'").first().row_count == 5
     assert len(list(cache.iterdir())) == 2
+    assert artifacts.read_terms(spark, str(cache), "s") is None
+    artifacts.write_terms(str(cache), "s", spark.range(2).selectExpr("id as term_id", "array(0.5f) as vector"))
+    assert artifacts.read_terms(spark, str(cache), "s").count() == 2
     with pytest.raises(ValueError, match="no supported data files"):
         prepare_folder(spark, str(cache))
 
