@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +40,10 @@ class Dataset:
 
 def keep(model: SemanticModel) -> SemanticModel:
     """The model with its catalog tables written once, so later steps do not redo it."""
-    return SemanticModel(
-        write_once(model.entities, "entities"),
-        write_once(model.dimensions, "dimensions"),
-        write_once(model.measures, "measures"),
-        model.relationships,
-    )
+    parts = ("entities", "dimensions", "measures")
+    with ThreadPoolExecutor(len(parts)) as pool:  # small independent jobs, side by side
+        written = pool.map(lambda part: write_once(getattr(model, part), part), parts)
+    return SemanticModel(*written, model.relationships)
 
 
 def prepare(

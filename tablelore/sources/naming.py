@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 
 
+def clean_name(name: str) -> str:
+    """A table name with odd characters as underscores and no leading digit."""
+    name = re.sub(r"[^a-zA-Z0-9_]", "_", name)
+    return re.sub(r"^(?=[0-9])", "_", name) or "table_data"
+
+
 def safe_name(file_name: str) -> str:
-    """A table name from a file name: extension off, odd characters to underscores."""
-    base = re.sub(r"\.[^.]+$", "", file_name)
-    name = re.sub(r"[^a-zA-Z0-9_]", "_", base)
-    if name[:1].isdigit() and name[:1].isascii():
-        name = "_" + name
-    return name or "table_data"
+    """The table name of a file: its name without the extension, cleaned."""
+    return clean_name(re.sub(r"\.[^.]+$", "", file_name))
 
 
 def unique_name(name: str, taken: set[str]) -> str:

@@ -61,26 +61,29 @@ def test_every_type(spark):
 LONG = "<!DOCTYPE html><html><head><meta charset='utf-8'><title>a title that is long"
 
 
-@pytest.mark.parametrize(
-    "values",
-    [
-        [f"{LONG}{i:03}" for i in range(40)],  # all unique, same start
-        [f"{LONG}{i % 9}" for i in range(200)],  # all repeated
-        [f"{LONG}{i}" for i in range(3)] + [None],  # fewer than listed
-        [f"{LONG}{i}" for i in range(30)] + ["zz", "zz", "b"],  # one short leader, long rest
-        ["zz"] * 4 + ["b", "c", "d", "e", "f"] + [f"{LONG}{i}" for i in range(9)],  # unique, short first
-        ["b", "c", "d", "e", "f", "g"] * 2 + [LONG + "x", LONG + "y"],  # long text is too rare
-        [LONG + "hot"] * 300 + [f"{LONG}{i % 50}" for i in range(150)],  # one value is most of the rows
-        ["é" * 32, "é" * 33, "é" * 33, "z" * 64, "z" * 65],  # around the byte limit
-    ],
-)
-def test_top_values_of_long_text(spark, values):
-    random.Random(7).shuffle(values)
-    table = spark.createDataFrame([(v,) for v in values], "text string").repartition(5)
-    row = profile_dataset(spark, {"t": table}).first()
-    assert [tuple(v) for v in row.top_values] == expected_top(values)
-    assert row.distinct_count == len({v for v in values if v is not None})
-    assert row.row_count == len(values)
+LONG_TEXTS = {
+    "unique_same_start": [f"{LONG}{i:03}" for i in range(40)],
+    "all_repeated": [f"{LONG}{i % 9}" for i in range(200)],
+    "fewer_than_listed": [f"{LONG}{i}" for i in range(3)] + [None],
+    "short_leader": [f"{LONG}{i}" for i in range(30)] + ["zz", "zz", "b"],
+    "unique_short_first": ["zz"] * 4 + ["b", "c", "d", "e", "f"] + [f"{LONG}{i}" for i in range(9)],
+    "long_too_rare": ["b", "c", "d", "e", "f", "g"] * 2 + [LONG + "x", LONG + "y"],
+    "hot_value": [LONG + "hot"] * 300 + [f"{LONG}{i % 50}" for i in range(150)],
+    "around_the_limit": ["é" * 32, "é" * 33, "é" * 33, "z" * 64, "z" * 65],
+    "only_nulls": [None, None],
+}
+
+
+def test_top_values_of_long_text(spark):
+    tables = {}
+    for name, values in LONG_TEXTS.items():
+        random.Random(7).shuffle(values)
+        tables[name] = spark.createDataFrame([(v,) for v in values], "text string").repartition(3)
+    for row in profile_dataset(spark, tables).collect():
+        values = LONG_TEXTS[row.table]
+        assert [tuple(v) for v in row.top_values] == expected_top(values), row.table
+        assert row.distinct_count == len({v for v in values if v is not None}), row.table
+        assert row.row_count == len(values)
 
 
 def test_job_count_does_not_grow_with_columns(spark):

@@ -1,6 +1,6 @@
 import random
 
-from datasets import billing_tables, frame, shop_tables
+from datasets import frame, shop_tables
 from pyspark.sql import functions as F
 
 from tablelore.operators import relationships as rel
@@ -55,13 +55,11 @@ def test_billing_edges(billing):
     }
 
 
-def test_table_order_does_not_matter(spark):
-    tables = shop_tables(spark)
-    names = list(tables)
+def test_table_order_does_not_matter(spark, shop):
+    names = list(shop.tables)
     random.Random(3).shuffle(names)
-    first, _ = discover(spark, tables)
-    second, _ = discover(spark, {name: tables[name] for name in names})
-    assert first.orderBy("ordinal").collect() == second.orderBy("ordinal").collect()
+    turned, _ = discover(spark, {name: shop.tables[name] for name in names})
+    assert turned.orderBy("ordinal").collect() == shop.relationships.orderBy("ordinal").collect()
 
 
 def test_a_price_is_not_a_join_target(spark):
@@ -108,15 +106,13 @@ def test_overlap_against_brute_force(spark):
         assert got.get(seq, (0, 0)) == (len(f), len(f & k)), pair
 
 
-def test_pruning_changes_no_edge(spark):
-    tables = billing_tables(spark)
-    profile = profile_dataset(spark, tables)
-    pairs = rel.candidate_pairs(profile)
+def test_pruning_changes_no_edge(spark, billing):
+    pairs = rel.candidate_pairs(billing.profile)
     rows = rel.pair_rows(pairs)
     assert len(rel.pair_rows(rel.can_reach_floor(pairs))) < len(rows)
-    overlap = rel.measure_overlap(spark, tables, [tuple(r[c] for c in rel.EDGE) for r in rows])
+    overlap = rel.measure_overlap(spark, billing.tables, [tuple(r[c] for c in rel.EDGE) for r in rows])
     whole = rel.collapse_mirrored(rel.best_targets(rel.accepted(rel.score_pairs(spark, rows, overlap))))
-    assert keys(whole) == keys(rel.discover_relationships(spark, tables, profile))
+    assert keys(whole) == keys(billing.relationships)
 
 
 def test_no_pair_of_rows_is_formed(spark):

@@ -119,9 +119,11 @@ def test_connection_strings():
 def test_database_tables_are_chosen():
     listed = [("public", "users"), ("pg_catalog", "pg_class"), ("crm", "users"), ("public", "a b")]
     chosen, skipped = jdbc.choose_tables(listed)
-    assert [c[0] for c in chosen] == ["crm", "public", "public_2"] or len(chosen) == 3
+    assert [c[0] for c in chosen] == ["crm_users", "public_a_b", "public_users"]
     one, _ = jdbc.choose_tables(listed, schema="public")
-    assert [c[0] for c in one] == ["a b".replace(" ", "_"), "users"]
+    assert [c[0] for c in one] == ["a_b", "users"]
+    alone, _ = jdbc.choose_tables(listed[:2])
+    assert [c[0] for c in alone] == ["users"]
     _, left = jdbc.choose_tables(listed, max_tables=1)
     assert left == ["public.a b", "public.users"]
 
