@@ -78,6 +78,7 @@ def _percent(share: Column) -> Column:
 
 def reasons(edges: DataFrame) -> DataFrame:
     """Each edge with the sentences that justify it, in a fixed order."""
+    # The sentences below, and those of the caveats, are part of the result.
     source = F.concat_ws(".", "from_table", "from_column")
     target = F.concat_ws(".", "to_table", "to_column")
     name, kind = F.col("name_similarity"), F.col("type_match")

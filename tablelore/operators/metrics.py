@@ -117,7 +117,7 @@ def _join(plan: MetricPlan, catalog: MetricCatalog, target: str, what: str) -> N
         keys = " or ".join(f"{plan.base}.{e.from_column}" for e in forward)
         raise MetricRefused(
             "ambiguous_join",
-            f'Cannot use "{what}": {plan.base} joins {target} through more than one key ({keys}).',
+            f'"{what}" is ambiguous: {plan.base} refers to {target} by more than one key ({keys}).',
         )
     if forward:
         plan.joins[target] = (forward[0].from_column, forward[0].to_column)
@@ -125,10 +125,10 @@ def _join(plan: MetricPlan, catalog: MetricCatalog, target: str, what: str) -> N
     if any(e.from_table == target and e.to_table == plan.base for e in catalog.edges):
         raise MetricRefused(
             "fan_out",
-            f'Cannot use "{what}": joining {target} to {plan.base} is one-to-many and would fan out '
-            f'metric "{plan.metric}". Use a metric defined on {target} instead.',
+            f'"{what}" would fan out "{plan.metric}": one {plan.base} row can match many {target} rows. '
+            f"Ask for a metric of {target} instead.",
         )
-    raise MetricRefused("not_joinable", f'"{what}" on {target} is not joinable to {plan.base} in one hop.')
+    raise MetricRefused("not_joinable", f'"{what}" is on {target}, which {plan.base} does not reach in one join.')
 
 
 def plan_metric(catalog: MetricCatalog, request: MetricRequest) -> MetricPlan:
@@ -136,14 +136,14 @@ def plan_metric(catalog: MetricCatalog, request: MetricRequest) -> MetricPlan:
     measure = next((m for m in catalog.measures if m.name == request.metric), None)
     if measure is None:
         raise MetricRefused(
-            "unknown_metric", f'Unknown metric "{request.metric}". Available: {_names(catalog.measures)}'
+            "unknown_metric", f'Unknown metric "{request.metric}"; known: {_names(catalog.measures)}'
         )
     plan = MetricPlan(measure.table, measure.agg, measure.column, request.metric)
     for name in request.dimensions:
         found = [d for d in catalog.dimensions if _matches(d, name, "name")]
         if not found:
             raise MetricRefused(
-                "unknown_dimension", f'Unknown dimension "{name}". Available: {_names(catalog.dimensions)}'
+                "unknown_dimension", f'Unknown dimension "{name}"; known: {_names(catalog.dimensions)}'
             )
         dimension = _pick(found, plan.base, name)
         _join(plan, catalog, dimension.table, name)

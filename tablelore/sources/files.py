@@ -121,10 +121,10 @@ def check_document(path: str) -> None:
     kind = document_extension(path)
     if kind in SPREADSHEETS:
         raise UnsupportedDocument(
-            f"Spreadsheet input is not supported ({path}). Export the sheet as CSV and pass the .csv file instead."
+            f"{path} is a spreadsheet. Export the sheet as CSV and give that file."
         )
     if kind not in DOCUMENT_EXTENSIONS:
-        raise UnsupportedDocument(f'Unsupported glossary file type "{kind}" ({path}).')
+        raise UnsupportedDocument(f"Unsupported document type {kind!r}: {path}")
 
 
 def load_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
