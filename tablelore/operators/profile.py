@@ -26,7 +26,7 @@ def profile_dataset(spark: SparkSession, tables: Tables) -> DataFrame:
     """Profile every column of every table; one row per column.
 
     Reads the tables and writes schema-sized results to the shared folder. The
-    number of Spark jobs does not depend on the number of tables or columns.
+    number of Spark jobs does not grow with the number of columns.
     """
     meta = [dict(row, cid=cid) for cid, row in enumerate(column_rows(tables))]
     types = {
