@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablelore.llm import simhash_tiles
+from tablelore.llm import line_chunks, simhash_tiles, url_filter
+from tablelore.llm.url_filter import Rule
+
+RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +27,78 @@ def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs that a feed has sent out, known by its tracking parameter."""
+    pages = _table(spark, sf_dir, "pages")
+    fed = pages.where(F.col("url").contains("utm_source=")).select("url")
+    return url_filter.filter_urls(pages, fed, RULES).drop("possible_hit")
+
+
+OP5_SQL = r"""
+WITH parts AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 1), ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 2), '') AS path,
+        substr(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3), ''), 2) AS query,
+        coalesce(contains(url, 'utm_source='), false) AS fed
+    FROM pages
+), spelled AS (
+    SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)?$', '') || regexp_replace(path, '/+$', '')
+        || coalesce('?' || nullif(array_to_string(list_filter(string_split(query, '&'),
+            lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'ref=')), '&'), ''), '') END AS canon
+    FROM parts
+), rules(verdict, rhost, rpath) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+           ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fitting AS (
+    SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+    FROM spelled JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+), list AS (SELECT DISTINCT canon FROM spelled WHERE fed AND canon IS NOT NULL)
+SELECT s.page_id, s.host, s.path, f.rule, l.canon IS NOT NULL AS listed,
+    coalesce(f.verdict, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM spelled s LEFT JOIN fitting f USING (page_id) LEFT JOIN list l ON s.canon = l.canon
+"""
+
+
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.remove_repeated_chunks(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    FROM documents WHERE text IS NOT NULL
+), hashed AS (
+    SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines
+), marked AS (
+    SELECT *, (h + 1000003 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS stop FROM hashed
+), numbered AS (
+    SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+    FROM marked
+), chunks AS (
+    SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, k
+), ranked AS (
+    SELECT *, n >= 2 AND regexp_matches(body, '[^ \t\n\v\f\r]') AND row_number() OVER (PARTITION BY body, n ORDER BY doc_id, k) > 1 AS gone
+    FROM chunks
+), kept AS (
+    SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+        coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept
+    FROM ranked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(kept) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_url_filter": op5_url_filter,
     "op8_simhash_tiles": op8_simhash_tiles,
+    "op10_line_chunks": op10_line_chunks,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
+    "op10_line_chunks": OP10_SQL,
+}
