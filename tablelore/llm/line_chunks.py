@@ -97,7 +97,8 @@ def remove_repeated_chunks(
         F.collect_set("place.k").alias("gone"), F.collect_set(F.struct("place.k", "n")).alias("sizes")
     )
     gone = write_once(gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("version", "gone_version"), "chunk-gone")
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["version"] == gone["gone_version"]), "left")
+    # the list of losses grows with the documents, so their join is planned as a shuffle at every size
+    joined = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["version"] == gone["gone_version"]), "left")
     removed = F.coalesce(F.aggregate("sizes", F.lit(0), lambda total, s: total + s["n"]), F.lit(0)).cast("long")
     left = _let(
         pieces(F.col("text"), mean_lines),
