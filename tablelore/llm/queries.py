@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelore.llm import line_chunks, simhash_tiles, url_filter
+import public_tokenizers
+from tablelore.llm import bpe_dp, line_chunks, simhash_tiles, url_filter
 from tablelore.llm.url_filter import Rule
 
 RULES = [
@@ -23,6 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe_dp.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
+    return tokens.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
@@ -94,6 +103,7 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
+    "op6_bpe_dp": op6_bpe_dp,
     "op8_simhash_tiles": op8_simhash_tiles,
     "op10_line_chunks": op10_line_chunks,
 }
