@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tablelore.llm import bpe_dp, line_chunks, simhash_tiles, url_filter
+from tablelore.llm import bpe_dp, line_chunks, simhash_tiles, topk_search, url_filter
 from tablelore.llm.url_filter import Rule
 
 RULES = [
@@ -36,6 +36,26 @@ def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(items, items.where("vec_id % 20 = 0"), k=20)
+
+
+OP1_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: URLs that a feed has sent out, known by its tracking parameter."""
     pages = _table(spark, sf_dir, "pages")
@@ -102,6 +122,7 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op5_url_filter": op5_url_filter,
     "op6_bpe_dp": op6_bpe_dp,
     "op8_simhash_tiles": op8_simhash_tiles,
@@ -109,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": OP1_SQL,
     "op5_url_filter": OP5_SQL,
     "op10_line_chunks": OP10_SQL,
 }
