@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tablelore.llm import bpe_dp, line_chunks, simhash_tiles, topk_search, url_filter
+from tablelore.llm import bpe_dp, line_chunks, simhash_tiles, topk_search, url_filter, warc
 from tablelore.llm.url_filter import Rule
+from tablelore.session import shared_dir
 
 RULES = [
     Rule("allow", "com", "/"),
@@ -56,6 +58,29 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    read = warc.archive(_table(spark, sf_dir, "pages"), folder)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), digested AS (
+    SELECT page_id, payload, strlen(payload) AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+            ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT), 1)), '') AS payload_digest,
+        max(page_id) OVER (PARTITION BY payload) AS last
+    FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM digested
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: URLs that a feed has sent out, known by its tracking parameter."""
     pages = _table(spark, sf_dir, "pages")
@@ -123,6 +148,7 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_warc": op2_warc,
     "op5_url_filter": op5_url_filter,
     "op6_bpe_dp": op6_bpe_dp,
     "op8_simhash_tiles": op8_simhash_tiles,
@@ -131,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
+    "op2_warc": OP2_SQL,
     "op5_url_filter": OP5_SQL,
     "op10_line_chunks": OP10_SQL,
 }
