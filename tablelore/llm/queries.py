@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tablelore.llm import bpe_dp, line_chunks, simhash_tiles, topk_search, url_filter, warc
+from tablelore.llm import bpe_dp, crf_quality, line_chunks, packing, simhash_tiles, topk_search, url_filter, warc
 from tablelore.llm.url_filter import Rule
 from tablelore.session import shared_dir
 
@@ -81,6 +81,19 @@ FROM digested
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = crf_quality.train(docs, _table(spark, sf_dir, "labels"))
+    judged = crf_quality.judge(docs, field)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: URLs that a feed has sent out, known by its tracking parameter."""
     pages = _table(spark, sf_dir, "pages")
@@ -149,6 +162,8 @@ FROM documents LEFT JOIN kept USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
+    "op4_crf_quality": op4_crf_quality,
     "op5_url_filter": op5_url_filter,
     "op6_bpe_dp": op6_bpe_dp,
     "op8_simhash_tiles": op8_simhash_tiles,
