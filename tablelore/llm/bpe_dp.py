@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelore.llm.suffix_automaton import SuffixAutomaton
+
 #: Fixed value: the pattern that cuts text into the pieces that are encoded on their own.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and pieces of words, that a worker remembers at most in each of two generations.
@@ -75,65 +77,22 @@ class Remembered:
         return value
 
 
-class SuffixAutomaton:
-    """All substrings of some byte strings; tells which of the strings end where a text has been read to."""
+class TokenAutomaton(SuffixAutomaton):
+    """Tells which of some byte strings end where a text has been read to."""
 
     def __init__(self, strings: list[bytes]):
-        self.step: dict[int, int] = {}  # state * 256 + byte
-        self.length, self.link = [0], [-1]
-        arcs: list[list[int]] = [[]]
-        for s in strings:
-            at = 0
-            for byte in s:
-                at = self._add(at, byte, arcs)
-        self.ends: list[list[int]] = [[] for _ in self.length]
-        for number, s in enumerate(strings):
-            at = 0
-            for byte in s:
-                at = self.step[at << 8 | byte]
-            self.ends[at].append(number)
+        super().__init__(bits=8)
         self.size = [len(s) for s in strings]
+        last = [self.add(s)[-1] for s in strings]
+        self.seal()
+        self.ends: list[list[int]] = [[] for _ in self.length]
+        for number, state in enumerate(last):
+            self.ends[state].append(number)
         # what has been read so far counts as (state, bytes matched); such pairs get numbers as they come up
         self._pairs: list[tuple[int, int]] = [(0, 0)]
         self._numbers: dict[tuple[int, int], int] = {(0, 0): 0}
         self.hops: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
 
-    def _add(self, last: int, byte: int, arcs: list[list[int]]) -> int:
-        step, length, link = self.step, self.length, self.link
-        there = step.get(last << 8 | byte)
-        if there is not None and length[there] == length[last] + 1:
-            return there
-        fresh = -1
-        if there is None:
-            fresh = len(length)
-            length.append(length[last] + 1)
-            link.append(0)
-            arcs.append([])
-            while last >= 0 and (last << 8 | byte) not in step:
-                step[last << 8 | byte] = fresh
-                arcs[last].append(byte)
-                last = link[last]
-            if last < 0:
-                return fresh
-            there = step[last << 8 | byte]
-            if length[there] == length[last] + 1:
-                link[fresh] = there
-                return fresh
-        twin = len(length)
-        length.append(length[last] + 1)
-        link.append(link[there])
-        arcs.append(list(arcs[there]))
-        for b in arcs[there]:
-            step[twin << 8 | b] = step[there << 8 | b]
-        while last >= 0 and step.get(last << 8 | byte) == there:
-            step[last << 8 | byte] = twin
-            last = link[last]
-        link[there] = twin
-        if fresh < 0:
-            return twin
-        link[fresh] = twin
-        return fresh
-
     def hop(self, at: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         """Where one more byte leads, and ``(number, length)`` of the strings that end there, longest first.
 
@@ -173,7 +132,7 @@ class Vocabulary:
         age = {word: k for k, word in enumerate(words)}
         self.made = {(age[a], age[b]): age[a + b] for a, b in pairs}
         self.parts = [(k, k) for k in range(len(singles))] + [(age[a], age[b]) for a, b in pairs]
-        self.automaton = SuffixAutomaton(self.bytes)
+        self.automaton = TokenAutomaton(self.bytes)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tablelore.llm import bpe_dp, crf_quality, line_chunks, packing, simhash_tiles, topk_search, url_filter, warc
+from tablelore.llm import bpe_dp, crf_quality, line_chunks, packing, simhash_tiles, substring_dedup, topk_search, url_filter, warc
 from tablelore.llm.url_filter import Rule
 from tablelore.session import shared_dir
 
@@ -34,6 +34,10 @@ def op6_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_tiles.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
@@ -166,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_crf_quality": op4_crf_quality,
     "op5_url_filter": op5_url_filter,
     "op6_bpe_dp": op6_bpe_dp,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_tiles": op8_simhash_tiles,
     "op10_line_chunks": op10_line_chunks,
 }
