@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tablelore.llm import bpe_dp, crf_quality, line_chunks, packing, simhash_tiles, substring_dedup, topk_search, url_filter, warc
+from tablelore.llm import bpe_dp, crf_quality, line_chunks, packing, pii, simhash_tiles, substring_dedup, topk_search, url_filter, warc
 from tablelore.llm.url_filter import Rule
 from tablelore.session import shared_dir
 
@@ -132,6 +132,11 @@ FROM spelled s LEFT JOIN fitting f USING (page_id) LEFT JOIN list l ON s.canon =
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_chunks.remove_repeated_chunks(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept", 256).alias("kept_sha256"))
@@ -172,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_dp": op6_bpe_dp,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_tiles": op8_simhash_tiles,
+    "op9_pii": op9_pii,
     "op10_line_chunks": op10_line_chunks,
 }
 
