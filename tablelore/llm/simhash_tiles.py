@@ -151,3 +151,19 @@ def near_duplicates(
     return rows.join(members, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one document of every near-duplicate group: that with the smallest doc_id.
+
+    Rows that repeat a doc_id are one document, of which one row stays. Rows without a
+    doc_id cannot be named as anyone's duplicate and stay.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    found = near_duplicates(docs, radius, shingle, id_col, text_col)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
+    # planned as a shuffle at every size: what stays grows with the documents
+    named = rows.join(stay.hint("merge"), F.col("doc_id") == F.col("stay"), "left_semi").dropDuplicates(["doc_id"])
+    return named.select("row.*").union(rows.where("doc_id is null").select("row.*"))
