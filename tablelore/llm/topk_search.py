@@ -29,8 +29,7 @@ from tablelore.session import write_once
 LISTS = 2
 #: Bytes of vectors in a tile, and tiles of vectors and of queries in a cell of the grid.
 TILE_BYTES = 1 << 19
-CELL_TILES = 4
-CELL_QUERY_TILES = 8
+CELL = (4, 8)
 MOST_TASKS = 20_000
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
@@ -49,14 +48,14 @@ def scaled(vector, scale: float) -> np.ndarray | None:
     return out if out.ndim == 1 and np.isfinite(out).all() else None
 
 
-def _tiles(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
+def _tiles(vectors: DataFrame, id_col: str, vec_col: str, scale: float, tile_bytes: int) -> DataFrame:
     """``tile`` and the packed ids and scaled vectors of a bounded number of rows."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = [(i, v) for i, x in zip(batch["id"].tolist(), batch["vec"]) if (v := scaled(x, scale)) is not None]
             dims = max((len(v) for _, v in good), default=0)
-            step = max(1, TILE_BYTES // (8 * max(1, dims)))
+            step = max(1, tile_bytes // (8 * max(1, dims)))
             for k in range(0, len(good), step):
                 part = good[k : k + step]
                 matrix = np.zeros((len(part), dims))
@@ -89,7 +88,9 @@ def _lists(queries: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
 
 def _meetings(vectors: pd.DataFrame, queries: pd.DataFrame):
     """Every tile of queries against every tile of vectors, the query's own vector set to minus infinity."""
-    dims = int(max(vectors["dims"].max(), queries["dims"].max())) if len(vectors) and len(queries) else 0
+    if vectors.empty or queries.empty:
+        return
+    dims = int(max(vectors["dims"].max(), queries["dims"].max()))
     for q in queries.itertuples():
         q_ids, q_matrix = _unpack(q, dims)
         yield q, q_ids, (_meeting(q_ids, q_matrix, *_unpack(v, dims)) for v in vectors.itertuples())
@@ -172,6 +173,8 @@ def top_k(
     scale: float = 64.0,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
+    tile_bytes: int = TILE_BYTES,
+    cell: tuple[int, int] = CELL,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k items of highest score for every row of ``queries``.
 
@@ -185,10 +188,9 @@ def top_k(
     gets its own list. Empty tables give an empty result. Other columns play no part,
     whatever their names.
     """
-    spark = items.sparkSession
-    vectors, asked = _tiles(items, id_col, vec_col, scale), _tiles(queries, id_col, vec_col, scale)
-    columns = max(1, -(-asked.count() // CELL_QUERY_TILES))
-    rows = max(1, -(-vectors.count() // CELL_TILES))
+    vectors = _tiles(items, id_col, vec_col, scale, tile_bytes)
+    asked = _tiles(queries, id_col, vec_col, scale, tile_bytes)
+    rows, columns = (max(1, -(-tiles.count() // most)) for tiles, most in zip((vectors, asked), cell))
 
     def numbered(tiles: DataFrame, groups: int) -> DataFrame:
         """Tiles dealt evenly to the groups: partitions count from zero, and so do tiles in them."""
