@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pandas as pd
@@ -230,21 +231,32 @@ def test_find_private(spark):
     assert out.select("row.*").columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     rows = out.collect()
     assert len(rows) == len(texts)
+    actions = plain_revealing(texts, pii.NEAR, pii.SUPPORT, 0.55)
     for r in rows:
         text = r["row"]["text"]
-        base = plain_spans(text or "")
-        assert r["base"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base)
-        assert r["spans"].startswith(r["base"])
+        base, added = plain_spans(text or ""), []
+        for m in re.finditer(r"\S+", text or ""):
+            core = m.group().strip(string.punctuation)
+            if core.lower() in actions and all(m.end() <= a or m.start() >= b for _, a, b in base):
+                start = m.start() + m.group().index(core)
+                added.append((actions[core.lower()], start, start + len(core)))
+        write = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (r["base"], r["spans"]) == (write(base), write(base + sorted(added)))
         assert (r["sanitised"] is None) == (text is None)
     by_text = {r["row"]["text"]: r for r in rows}
     assert by_text["Zanzibar, without an address"]["spans"] == "general:0:8"
     assert by_text["Zanzibar, without an address"]["sanitised"] == "[word], without an address"
-    assert by_text["quux7z! alone"]["sanitised"] == "! alone"
     assert by_text["anna@mail.example.com of the 10.0.0.255"]["sanitised"] == "[EMAIL] of the [IP]"
     assert all(not r["spans"] for t, r in by_text.items() if t and t.startswith("plain text"))
     assert pii.find_private(frame(spark, [])).collect() == []
 
 
+def test_sanitise():
+    spans = [("email", 0, 5), ("removed", 6, 9), ("general", 10, 12), ("general", 13, 15), ("card", 16, 25), ("phone", 20, 30)]
+    assert pii.sanitise("a@b.c xyz 12 ab +1-234-567-8901234", spans) == "[EMAIL]  [number] [word] [CARD]1234"
+    assert pii.sanitise("", []) == ""
+
+
 def plain_best_fit(sizes, opening, lengths):
     """Every open bin is looked at for every piece."""
     bins = []
