@@ -1,118 +1,168 @@
-"""Value-based comparison of two query results."""
+"""Value-based comparison of two query results.
+
+Columns are aligned once for the whole result, by what they hold. Whole numbers,
+decimals, dates and text must be the same to the last character; only where one of two
+aligned columns is a floating-point one may fractions differ, by a relative amount that
+knows no decimal places. Rows equal in every bit are counted off first, so tolerance is
+only worked out for what is left.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import write_once
+from ..session import scratch, write_once
 from ..tables import ref
 
-# Two numbers are equal when they agree to this many significant digits.
-DIGITS = 9
+#: Two fractions are equal when they differ by no more than this part of the larger one.
+RELATIVE = 1e-9
+# Neighbours on a logarithmic scale whose steps are wider than the tolerance.
+_STEP = 1e-8
+_WHOLE = float(1 << 53)
+_PLAIN = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
 
 
-_CELL = "struct<text:string,exponent:int,digits:bigint>"
+def _exact(value: Column, data_type: T.DataType) -> Column:
+    """A cell as text: numbers, also those kept as text, without closing zeros."""
+    if isinstance(data_type, (T.StringType, T.DecimalType, T.IntegralType)):
+        text = F.trim(value.cast("string")) if isinstance(data_type, T.StringType) else value.cast("string")
+        short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        short = F.when(short == "-0", "0").otherwise(short)
+        return F.when(text.rlike(_PLAIN), F.when(text.contains("."), short).otherwise(text)).otherwise(value.cast("string"))
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.to_json(F.struct(value.alias("v")))
+    return value.cast("string")
 
 
-def _numeric(value: Column, data_type: T.DataType) -> Column:
-    """The number a cell stands for, or null: numbers and numbers kept as text."""
-    if isinstance(data_type, T.NumericType):
-        return value.cast("double")
+def _number(value: Column, data_type: T.DataType) -> Column:
+    """A cell as a finite number, or null."""
     if isinstance(data_type, T.StringType):
-        bare = F.trim(value)
-        plain = bare.try_cast("double").isNotNull() & bare.rlike("[0-9]$|[.]$")
-        return F.when(plain, bare.try_cast("double"))
-    return F.lit(None).cast("double")
+        number = F.when(F.trim(value).rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), F.trim(value).try_cast("double"))
+    elif isinstance(data_type, T.NumericType):
+        number = value.cast("double")
+    else:
+        return F.lit(None).cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def _real(data_type: T.DataType) -> bool:
+    return isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType)
+
 
+def _marks(df: DataFrame) -> list[tuple]:
+    """What each column holds, whatever the order of its rows: exact sums of hashes, and a number's statistics."""
+    parts = []
+    for f in df.schema.fields:
+        text, number = _exact(ref(f.name), f.dataType), _number(ref(f.name), f.dataType)
+        hashed = F.sum(F.pmod(F.xxhash64(text), F.lit(1 << 31)))
+        parts.append(F.struct(F.count(text), hashed, F.count(number), F.min(number), F.max(number), F.avg(number)))
+    return [tuple(mark) for mark in df.agg(*(p.alias(f"m{i}") for i, p in enumerate(parts))).first()] if parts else []
 
-def _on_grids(df: DataFrame, *keep: Column) -> DataFrame:
-    """``cells`` and ``shifted`` of every row, next to the columns in ``keep``.
 
-    Worked out column by column in small steps, which keeps the generated code short.
+def _alike(a: tuple, b: tuple, real: bool) -> bool:
+    if not real:
+        return a[:2] == b[:2]
+    close = lambda x, y: x == y or None not in (x, y) and abs(x - y) <= 1e-6 * max(abs(x), abs(y))
+    return a[2] == b[2] and all(close(x, y) for x, y in zip(a[3:], b[3:]))
+
+
+def align(expected: DataFrame, actual: DataFrame) -> list[tuple[int, int, bool]]:
+    """``(expected, actual, real)`` columns that belong together, one pairing for the whole result.
+
+    Columns with the same contents come first, those of the same name before others; what
+    is left is paired by name, then by position.
     """
+    here, there = expected.schema.fields, actual.schema.fields
+    marks, others = _marks(expected), _marks(actual)
+    pairs = [(i, j, _real(f.dataType) or _real(g.dataType)) for i, f in enumerate(here) for j, g in enumerate(there)]
+    same = {(i, j): here[i].name.lower() == there[j].name.lower() for i, j, _ in pairs}
+    alike = {(i, j): _alike(marks[i], others[j], real) for i, j, real in pairs}
+    order = sorted(pairs, key=lambda p: (not alike[p[:2]], not same[p[:2]], p[0] != p[1] if alike[p[:2]] else False, p[0], p[1]))
+    out: list[tuple[int, int, bool]] = []
+    for i, j, real in order:
+        if all(i != a and j != b for a, b, _ in out):
+            out.append((i, j, real))
+    return sorted(out)
+
+
+def _cells(df: DataFrame, columns: list[tuple[int, bool]], *keep: Column) -> DataFrame:
+    """``exact`` texts and ``real`` numbers of every row in aligned order, next to the columns in ``keep``."""
     fields = df.schema.fields
-    steps = df.select(
-        *keep,
-        *[_numeric(ref(f.name), f.dataType).alias(f"__n{i}") for i, f in enumerate(fields)],
-        *[ref(f.name).cast("string").alias(f"__t{i}") for i, f in enumerate(fields)],
-    )
-    kept = [name for name in steps.columns if not name.startswith(("__n", "__t"))]
-    each = range(len(fields))
-    number = [F.col(f"__n{i}") for i in each]
-    # zero, NaN and the infinities have no place on the grid and stay text
-    grid = [(F.abs(n) < float("inf")) & (n != 0) for n in number]
-    text = [F.when(n == 0, F.lit("0")).otherwise(F.col(f"__t{i}")) for i, n in enumerate(number)]
-    steps = steps.select(
-        *kept,
-        *[F.when(~F.coalesce(g, F.lit(False)), t).alias(f"__t{i}") for i, (g, t) in enumerate(zip(grid, text))],
-        *[F.when(g, F.floor(F.log10(F.abs(n))).cast("int")).alias(f"__e{i}") for i, (g, n) in enumerate(zip(grid, number))],
-        *[F.col(f"__n{i}") for i in each],
-    )
-    steps = steps.select(
-        *kept,
-        *[F.col(f"__{kind}{i}") for kind in "te" for i in each],
-        *[
-            (F.col(f"__n{i}") * F.pow(F.lit(10.0), F.lit(DIGITS - 1) - F.col(f"__e{i}"))).alias(f"__m{i}")
-            for i in each
-        ],
+    exact, reals = [], []
+    for k, real in columns:
+        value, kind = ref(fields[k].name), fields[k].dataType
+        text = _exact(value, kind)
+        if real:
+            number = _number(value, kind)
+            reals.append(F.when(number == 0, F.lit(0.0)).otherwise(number))
+            text = F.when(number.isNull(), text).otherwise(F.lit("#"))
+        exact.append(text)
+    return df.select(
+        *keep, F.array(*exact).cast("array<string>").alias("exact"), F.array(*reals).cast("array<double>").alias("real")
     )
 
-    def row(shift: float) -> Column:
-        cells = [
-            F.struct(
-                F.col(f"__t{i}").alias("text"),
-                F.col(f"__e{i}").alias("exponent"),
-                F.floor(F.col(f"__m{i}") + shift).alias("digits"),
-            )
-            for i in each
-        ]
-        return F.sort_array(F.array(*cells)) if cells else F.array().cast(f"array<{_CELL}>")
-
-    return steps.select(*kept, row(0.5).alias("cells"), row(0.0).alias("shifted"))
-
-
-def _shown(cells: Column) -> Column:
-    """Cells as one line of text, for reporting a difference."""
-    return F.array_join(
-        F.transform(
-            cells,
-            lambda c: F.coalesce(
-                c["text"],
-                (c["digits"] * F.pow(F.lit(10.0), c["exponent"] - (DIGITS - 1))).cast("string"),
-                F.lit("null"),
-            ),
-        ),
-        ", ",
-    )
 
+def _close(a: Column, b: Column) -> Column:
+    whole = (F.rint(a) == a) & (F.rint(b) == b) & (F.abs(a) < _WHOLE) & (F.abs(b) < _WHOLE)
+    near = ~whole & (F.abs(a - b) <= RELATIVE * F.greatest(F.abs(a), F.abs(b)))
+    return a.eqNullSafe(b) | F.coalesce(near, F.lit(False))
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Each row as sorted cells, so that names and column order drop out.
 
-    ``cells`` and ``shifted`` place numbers on two grids half a step apart: two close
-    numbers that fall on different sides of a step on one grid share one on the other.
-    """
-    return _on_grids(df)
+def _all_close(a: str, b: str, n: int) -> Column:
+    return reduce(and_, (_close(F.col(a)[k], F.col(b)[k]) for k in range(n)), F.lit(True))
+
+
+def _shown(exact: Column, real: Column, pairs: list[tuple[int, int, bool]]) -> Column:
+    """The cells of a row as text, in the expected order."""
+    cells, at = [], 0
+    for k, (_, _, is_real) in enumerate(pairs):
+        cells.append(F.coalesce(real[at].cast("string"), exact[k]) if is_real else exact[k])
+        at += is_real
+    return F.array(*cells).cast("array<string>")
 
 
-def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def _bucket(real: Column) -> Column:
+    """The place of a row's first number on a logarithmic scale; close numbers are at most one step apart."""
+    first = F.get(real, 0)
+    place = F.floor(F.ln(F.abs(first)) / _STEP).cast("long")
+    return F.coalesce(F.when(first != 0, place * 2 + F.when(first < 0, 1).otherwise(0)), F.lit(1 << 62))
+
+
+def differences(expected: DataFrame, actual: DataFrame, pairs: list[tuple[int, int, bool]] | None = None) -> DataFrame:
     """Rows whose number of copies differs: ``(cells, expected, actual)``."""
+    pairs = align(expected, actual) if pairs is None else pairs
+    one = lambda name, other: (F.lit(1).alias(name), F.lit(0).alias(other))
     sums = [F.sum("expected").alias("expected"), F.sum("actual").alias("actual")]
-    uneven = F.col("expected") != F.col("actual")
     counts = (
-        canonical(expected).withColumns({"expected": F.lit(1), "actual": F.lit(0)})
-        .unionByName(canonical(actual).withColumns({"expected": F.lit(0), "actual": F.lit(1)}))
-        .groupBy("cells", "shifted")
+        _cells(expected, [(i, real) for i, _, real in pairs], *one("expected", "actual"))
+        .unionByName(_cells(actual, [(j, real) for _, j, real in pairs], *one("actual", "expected")))
+        .groupBy("exact", "real")
         .agg(*sums)
+        .where("expected <> actual")
+        .withColumn("surplus", F.col("expected") - F.col("actual"))
     )
-    open_rows = counts.groupBy("cells").agg(*sums).where(uneven).select("cells")
-    return (
-        counts.join(open_rows, "cells", "left_semi")
-        .groupBy(F.col("shifted").alias("cells"))
-        .agg(*sums)
-        .where(uneven)
+    n = sum(real for *_, real in pairs)
+    if n:
+        # every row goes by the least expected row it is close to
+        left = write_once(counts.select("exact", "real", "surplus", _bucket(F.col("real")).alias("at")), "surplus")
+        wanted = left.where("surplus > 0").select("exact", "at", F.col("real").alias("like"))
+        around = left.withColumn("at", F.explode(F.array(*(F.col("at") + 2 * d for d in (-1, 0, 1)))))
+        met = around.join(wanted, ["exact", "at"]).where(_all_close("real", "like", n))
+        named = met.groupBy("exact", "real").agg(F.min("like").alias("like"))
+        matched = left.join(named.withColumnsRenamed({"exact": "e", "real": "r"}), F.col("exact").eqNullSafe(F.col("e")) & F.col("real").eqNullSafe(F.col("r")), "left")
+        counts = (
+            matched.groupBy("exact", F.coalesce("like", "real").alias("real"))
+            .agg(F.sum("surplus").alias("surplus"))
+            .where("surplus <> 0")
+        )
+    return counts.select(
+        _shown(F.col("exact"), F.col("real"), pairs).alias("cells"),
+        F.greatest("surplus", F.lit(0)).alias("expected"), F.greatest(-F.col("surplus"), F.lit(0)).alias("actual"),
     )
 
 
@@ -125,40 +175,49 @@ def compare_rows(expected: DataFrame, actual: DataFrame | None, ordered_by: list
     """
     spark = expected.sparkSession
     if actual is None:
-        return spark.range(1).select(F.lit(False).alias("equal"), F.lit("no result rows").alias("detail"))
+        return _verdict(spark, False, "no result rows")
     wide, narrow = len(expected.columns), len(actual.columns)
-    if ordered_by:
-        pairs = positions(expected, ordered_by).alias("e").join(
-            positions(actual, ordered_by).alias("a"), "position", "full_outer"
-        )
-        same = F.col("e.cells").eqNullSafe(F.col("a.cells")) | F.col("e.shifted").eqNullSafe(F.col("a.shifted"))
-        diff = pairs.where(~same).select(
-            F.coalesce("e.cells", "a.cells").alias("cells"),
-            F.col("e.cells").isNotNull().cast("int").alias("expected"),
-            F.col("a.cells").isNotNull().cast("int").alias("actual"),
-        )
+    if wide != narrow:
+        return _verdict(spark, False, f"column count {narrow}, expected {wide}")
+    pairs = align(expected, actual)
+    with scratch(spark) as write:
+        if ordered_by:
+            diff = _by_position(expected, actual, ordered_by, pairs, write)
+        else:
+            diff = differences(expected, actual, pairs)
+        missing, extra = F.col("expected") > F.col("actual"), F.col("actual") > F.col("expected")
         found = diff.agg(
-            F.count(F.lit(1)).alias("bad"), F.min("cells").alias("first"),
-            F.sum("expected").alias("e"), F.sum("actual").alias("a"),
-        )
-    else:
-        found = differences(expected, actual).agg(
-            F.count(F.lit(1)).alias("bad"), F.min("cells").alias("first"),
-            F.sum("expected").alias("e"), F.sum("actual").alias("a"),
-        )
-    gap = F.coalesce("a", F.lit(0)) - F.coalesce("e", F.lit(0))
-    empty = (F.col("bad") == 0) & F.lit(wide == narrow)
-    detail = (
-        F.when(F.lit(wide != narrow), F.lit(f"column count {narrow}, expected {wide}"))
-        .when(F.col("bad") == 0, F.lit(""))
-        .when(gap != 0, F.concat(F.lit("row count differs by "), gap.cast("string"), F.lit("; first difference "), _shown(F.col("first"))))
-        .otherwise(F.concat(F.lit("first difference "), _shown(F.col("first"))))
+            F.count(F.lit(1)).alias("bad"), F.sum(F.col("actual") - F.col("expected")).alias("gap"),
+            F.min(F.when(missing, F.col("cells"))).alias("missing"), F.min(F.when(extra, F.col("cells"))).alias("extra"),
+        ).first()
+    if not found["bad"]:
+        return _verdict(spark, True, "")
+    line = lambda cells: ", ".join("null" if c is None else c for c in cells)
+    parts = [f"row count differs by {found['gap']}"] if found["gap"] else []
+    parts += [f"{what} {line(found[name])}" for what, name in (("expected", "missing"), ("got", "extra")) if found[name] is not None]
+    return _verdict(spark, False, "; ".join(parts))
+
+
+def _verdict(spark, equal: bool, detail: str) -> DataFrame:
+    return spark.range(1).select(F.lit(equal).alias("equal"), F.lit(detail).alias("detail"))
+
+
+def _by_position(expected: DataFrame, actual: DataFrame, order: list[str], pairs, write) -> DataFrame:
+    """Cells of rows that differ at their position: one row for what was expected, one for what came."""
+    here = positions(expected, [(i, real) for i, _, real in pairs], order, write).withColumnsRenamed({"exact": "e", "real": "r"})
+    there = positions(actual, [(j, real) for _, j, real in pairs], order, write)
+    joined = here.join(there, "position", "full_outer")
+    same = F.col("e").eqNullSafe(F.col("exact")) & _all_close("r", "real", sum(real for *_, real in pairs))
+    wrong = joined.where(~F.coalesce(same, F.lit(False)))
+    sides = F.array(
+        F.struct(_shown(F.col("e"), F.col("r"), pairs).alias("cells"), F.lit(1).alias("expected"), F.lit(0).alias("actual"), F.col("e").isNotNull().alias("there")),
+        F.struct(_shown(F.col("exact"), F.col("real"), pairs).alias("cells"), F.lit(0).alias("expected"), F.lit(1).alias("actual"), F.col("exact").isNotNull().alias("there")),
     )
-    return found.select(empty.alias("equal"), detail.alias("detail"))
+    return wrong.select(F.inline(sides)).where("there").drop("there")
 
 
-def positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """Canonical rows numbered in a total order; ``-name`` sorts descending.
+def positions(df: DataFrame, columns: list[tuple[int, bool]], order: list[str], write) -> DataFrame:
+    """Cells of rows numbered in a total order; ``-name`` sorts descending.
 
     Rows are range-partitioned, sorted within partitions and written once; the sizes of
     the partitions then shift local numbers to global ones, so no task sees all rows.
@@ -169,18 +228,18 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
         for key, name in zip(keys, order)
     ]
     ranged = (
-        _on_grids(df, *[ref(name.removeprefix("-")).alias(key) for key, name in zip(keys, order)])
+        _cells(df, columns, *[ref(name.removeprefix("-")).alias(key) for key, name in zip(keys, order)])
         .repartitionByRange(*sorts)
         .sortWithinPartitions(*sorts)
-        .select("cells", "shifted", F.monotonically_increasing_id().alias("id"))
+        .select("exact", "real", F.monotonically_increasing_id().alias("id"))
     )
-    numbered = write_once(ranged, "positions").select(
-        "cells", "shifted", F.shiftright("id", 33).alias("part"),
+    numbered = write(ranged, "positions").select(
+        "exact", "real", F.shiftright("id", 33).alias("part"),
         F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("local"),
     )
     sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return numbered.join(F.broadcast(starts), "part").select(
-        (F.col("start") + F.col("local")).alias("position"), "cells", "shifted"
+        (F.col("start") + F.col("local")).alias("position"), "exact", "real"
     )

@@ -15,10 +15,12 @@ from pyspark.sql import types as T
 
 from ..session import write_once
 from ..tables import Tables, column_rows, small_table
-from ..types import COLUMNS
+from ..types import COLUMNS, TOP_VALUES
 from .lanes import lane_class, lanes_of, long_form, native_lanes, text_lanes, text_sql, union_all
 
+#: Leading values that are reported, and that are found: columns with no more list all theirs.
 TOP = 5
+LEADERS = 25
 RANKED_KINDS = ("text", "boolean", "other")
 
 
@@ -49,7 +51,7 @@ def profile_dataset(spark: SparkSession, tables: Tables) -> DataFrame:
     wide = {
         row.cid: (row.floor, row.listed)
         for row in listed.join(stats.select("cid", "long_top"), "cid")
-        .where((F.col("listed") < TOP) | (F.col("long_top") >= F.col("floor")))
+        .where((F.col("listed") < LEADERS) | (F.col("long_top") >= F.col("floor")))
         .where(F.col("long_top").isNotNull())
         .collect()
     }
@@ -80,9 +82,9 @@ def value_counts(tables: Tables, meta: list[dict], lanes: tuple[str, ...]) -> Da
 
 
 def _top_rows(counts: DataFrame, then: Column) -> DataFrame:
-    """The TOP most frequent rows per column; Spark trims before the shuffle."""
+    """The most frequent rows per column; Spark trims before the shuffle."""
     order = Window.partitionBy("cid").orderBy(F.col("count").desc(), then)
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
 
 
 def _stats_and_top(tables: Tables, meta: list[dict]) -> DataFrame:
@@ -156,10 +158,10 @@ def _long_top_values(
     """Spell out the most frequent values of columns whose leaders include long text.
 
     ``wide`` maps a column to the count of its last listed value and how many were
-    listed. Where the fifth count is above one, the values at least that frequent
+    listed. Where the last leader's count is above one, the values at least that frequent
     are looked up by digest. Where it is one, the values listed with a higher count
     are looked up and the rest are the first ones in text order among all others;
-    each task keeps only its own first five, so the text is not shuffled.
+    each task keeps only its own first ones, so the text is not shuffled.
     """
     rows = [row for row in meta if row["cid"] in wide]
     texts = union_all(
@@ -174,8 +176,8 @@ def _long_top_values(
     key = F.coalesce(F.col("h"), F.col("s").cast("binary"))
     keyed = keyed.select("cid", "value", key.alias("key"))
 
-    deep = [cid for cid, (floor, listed) in wide.items() if listed == TOP and floor > 1]
-    flat = [cid for cid, (floor, listed) in wide.items() if listed == TOP and floor == 1]
+    deep = [cid for cid, (floor, listed) in wide.items() if listed == LEADERS and floor > 1]
+    flat = [cid for cid, (floor, listed) in wide.items() if listed == LEADERS and floor == 1]
     listed_key = F.coalesce(F.col("digest"), F.col("value").cast("binary"))
     wanted = top.where(
         F.col("cid").isin([c for c in wide if c not in deep]) & ((F.col("count") > 1) | ~F.col("cid").isin(flat))
@@ -224,7 +226,7 @@ def _assemble(spark: SparkSession, meta: list[dict], stats: DataFrame, ranked: D
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "value", "count"))),
             lambda item: F.struct(item["value"].alias("value"), item["count"].alias("count")),
-        ).alias("top_values")
+        ).alias("leaders")
     )
     lanes = sorted({lane_class(row["data_type"]) for row in meta})
     wide_decimals = [
@@ -271,7 +273,8 @@ def _assemble(spark: SparkSession, meta: list[dict], stats: DataFrame, ranked: D
             F.when(measured, edge("min")).alias("min"),
             F.when(measured, edge("max")).alias("max"),
             F.when(F.col("kind") == "numeric", mean).alias("avg"),
-            F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
+            F.slice(F.coalesce("leaders", F.array().cast(TOP_VALUES)), 1, TOP).alias("top_values"),
+            F.when(F.col("distinct_count") <= LEADERS, F.col("leaders.value")).alias("all_values"),
         )
     )
 

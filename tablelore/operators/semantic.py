@@ -82,7 +82,7 @@ def derive_dimensions(profile: DataFrame, keys: DataFrame, entities: DataFrame)
     )
     date, boolean = F.col("kind") == "date", F.col("kind") == "boolean"
     word = F.col("kind").isin("text", "other") & few
-    listed = boolean | ((distinct <= LISTED_DISTINCT) & (F.size("top_values") > 0))
+    listed = boolean | ((distinct <= LISTED_DISTINCT) & (F.size("all_values") > 0))
     return (
         profile.join(keys, ["table", "column"], "left_anti")
         .where(date | boolean | word)
@@ -96,7 +96,7 @@ def derive_dimensions(profile: DataFrame, keys: DataFrame, entities: DataFrame)
             "column",
             F.when(date, "time").otherwise("categorical").alias("kind"),
             F.when(date, "day").alias("grain"),
-            F.when(~date & listed, F.col("top_values.value")).alias("values"),
+            F.when(~date & listed, F.col("all_values")).alias("values"),
             F.lit(None).cast("string").alias("description"),
             F.array().cast("array<string>").alias("synonyms"),
         )
@@ -207,7 +207,7 @@ def build_model(
 
 _PROFILE_SHAPE = (
     "table string, table_ordinal int, ordinal int, column string, kind string, row_count bigint, "
-    "distinct_count bigint, top_values array<struct<value:string,count:bigint>>"
+    "distinct_count bigint, all_values array<string>"
 )
 
 

@@ -14,7 +14,8 @@ from ..operators.profile import profile_dataset
 from ..operators.relationships import discover_relationships
 from ..operators.semantic import SemanticModel, build_model
 from ..session import write_once
-from ..sources.artifacts import fingerprint, read_artifacts, write_artifacts
+from ..operators.terms import TOP_K, resolve_terms, term_catalog
+from ..sources.artifacts import fingerprint, read_artifacts, read_curation, read_terms, write_artifacts, write_terms
 from ..sources.files import load_folder
 from ..tables import Tables
 
@@ -27,6 +28,7 @@ class Dataset:
     profile: DataFrame
     model: SemanticModel
     _catalog: MetricCatalog | None = None
+    _terms: DataFrame | None = None
 
     @property
     def relationships(self) -> DataFrame:
@@ -37,6 +39,15 @@ class Dataset:
             self._catalog = MetricCatalog.of(self.model)
         return query_metric(self.tables, self._catalog, MetricRequest(name, tuple(dimensions), tuple(filters)))
 
+    def resolve(self, *words: str, k: int = TOP_K) -> DataFrame:
+        """The schema objects that business words mean best, with a position for each word."""
+        if self._terms is None:
+            self._terms = term_catalog(self.model)
+        spark = self.profile.sparkSession
+        asked = spark.createDataFrame([(str(i), w) for i, w in enumerate(words)], "query_id string, query string")
+        found = resolve_terms(asked, self._terms, k)
+        return asked.withColumnRenamed("query", "word").join(found, "query_id").drop("query_id")
+
 
 def keep(model: SemanticModel) -> SemanticModel:
     """The model with its catalog tables written once, so later steps do not redo it."""
@@ -56,6 +67,19 @@ def prepare(
     """Profile, discover, curate, model and annotate a set of tables."""
     profile = profile_dataset(spark, tables)
     edges = discover_relationships(spark, tables, profile)
+    return curate(spark, tables, profile, edges, verdicts, overrides, glossary)
+
+
+def curate(
+    spark: SparkSession,
+    tables: Tables,
+    profile: DataFrame,
+    edges: DataFrame,
+    verdicts: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    glossary: DataFrame | None = None,
+) -> Dataset:
+    """Apply what people have said to inferred edges, then model and annotate."""
     if verdicts is not None or overrides is not None:
         verdicts = verdicts if verdicts is not None else spark.createDataFrame([], "key string, verdict string")
         overrides = overrides if overrides is not None else edges.limit(0)
@@ -66,18 +90,34 @@ def prepare(
     return Dataset(tables, profile, keep(model))
 
 
-def prepare_folder(spark: SparkSession, folder: str, cache: str | None = None) -> Dataset:
-    """Prepare a folder of files, reusing stored output while the files are unchanged."""
+def prepare_folder(
+    spark: SparkSession,
+    folder: str,
+    cache: str | None = None,
+    verdicts: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    glossary: DataFrame | None = None,
+) -> Dataset:
+    """Prepare a folder of files, reusing stored output while the files are unchanged.
+
+    What is stored is what was inferred. Verdicts, overrides and the glossary, given here
+    or stored beside it, are applied anew each time.
+    """
     loaded = load_folder(spark, folder)
     if not loaded.tables:
         raise ValueError(f"no supported data files in {folder}")
+    said = {"verdicts": verdicts, "overrides": overrides, "glossary": glossary}
     if cache is None:
-        return prepare(spark, loaded.tables)
+        return prepare(spark, loaded.tables, **said)
     source = fingerprint(loaded.files, loaded.fingerprints)
     stored = read_artifacts(spark, cache, source)
     if stored is None:
         fresh = prepare(spark, loaded.tables)
         write_artifacts(cache, source, fresh.profile, fresh.model)
+        write_terms(cache, source, term_catalog(fresh.model))
         stored = read_artifacts(spark, cache, source)
     profile, model = stored
-    return Dataset(loaded.tables, profile, model)
+    said = read_curation(spark, cache) | {name: df for name, df in said.items() if df is not None}
+    if said:
+        return curate(spark, loaded.tables, profile, model.relationships, **said)
+    return Dataset(loaded.tables, profile, model, _terms=read_terms(spark, cache, source))

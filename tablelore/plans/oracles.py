@@ -254,7 +254,7 @@ keyc AS (
 topv AS (
   SELECT t, c, string_agg(v, '|' ORDER BY rn) AS listed FROM (
     SELECT t, c, v, row_number() OVER (PARTITION BY t, c ORDER BY count(*) DESC, v) AS rn
-    FROM cells WHERE v IS NOT NULL AND k IN ('text', 'boolean') GROUP BY t, c, v) WHERE rn <= 5 GROUP BY t, c
+    FROM cells WHERE v IS NOT NULL AND k IN ('text', 'boolean') GROUP BY t, c, v) WHERE rn <= 25 GROUP BY t, c
 ),
 free AS (SELECT p.* FROM prof p LEFT JOIN keyc USING (t, c) WHERE keyc.t IS NULL),
 dims AS (
@@ -486,7 +486,9 @@ def _loss(edge) -> str:
 def _format(cast: str = "") -> str:
     return (
         "SELECT o_orderstatus, count(*) AS orders, sum(o_custkey)::BIGINT AS keys, "
-        "round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"
+        "round(sum(o_totalprice), 2) AS total, sum(o_orderkey)::BIGINT AS order_keys, "
+        "strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last, "
+        "string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_orderstatus"
     )
 
 
@@ -505,7 +507,8 @@ def _cast(column: str, table: str) -> str:
 ORACLES: dict[str, str] = {
     "S1_folder_scan": _union(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW_COLUMNS),
     "S2_parquet": "SELECT l_linestatus, count(*) AS lines, sum(l_orderkey)::BIGINT AS keys FROM lineitem GROUP BY l_linestatus",
-    "S2_csv": _format(), "S2_tsv": _format(), "S2_jsonl": _format(),
+    "S2_csv": _format(), "S2_tsv": _format(), "S2_jsonl": _format(), "S2_json": _format(), "S2_ndjson": _format(),
+    "S7_stale": "SELECT true AS changed, 2 * count(*) AS n FROM orders",
     "S5_listing": _union(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{kind}' AS kind, count(*) AS row_count FROM {t}"
         for t, columns in RAW_COLUMNS.items() for i, (c, (_, kind)) in enumerate(columns.items())
@@ -513,12 +516,13 @@ ORACLES: dict[str, str] = {
     "S6_sample": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50",
     "S7_artifacts": STAR_MODEL + "SELECT t AS table_name, name, agg FROM meas",
     "S8_export_csv": (
-        "SELECT c_custkey || ',' || chr(34) || chr(34) || chr(34) || c_name || chr(34) || chr(34) || ', ' "
-        "|| c_mktsegment || chr(34) || ',' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'NULL') || ',' "
+        "SELECT 'c_custkey,quoted,segment,c_acctbal' AS line UNION ALL "
+        "SELECT c_custkey || ',' || chr(34) || ' ' || chr(34) || chr(34) || c_name || chr(34) || chr(34) || ', ' "
+        "|| c_mktsegment || '  ' || chr(34) || ',' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'NULL') || ',' "
         "|| CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR "
         "ELSE c_acctbal::VARCHAR END AS line FROM customer"
     ),
-    "S8_export_json": """SELECT c_custkey, '"' || c_name || '", ' || c_mktsegment AS quoted,
+    "S8_export_json": """SELECT c_custkey, ' "' || c_name || '", ' || c_mktsegment || '  ' AS quoted,
       nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal FROM customer""",
     "S9_documents": "SELECT sum(length(text) + 1)::BIGINT AS characters FROM benchmark",
     "S11_redact": r"""
@@ -605,6 +609,7 @@ ORACLES: dict[str, str] = {
     "R13_identity": STAR_CHAIN + f"SELECT {KEY} AS key, confidence FROM edges",
     "V1_reject": RAW_CHAIN + f"SELECT {E4}, confidence FROM edges WHERE {KEY} NOT IN ({_REJECTED})",
     "V2_upsert": CURATED_CHAIN + f"SELECT {E4}, confidence, cardinality, ordinal FROM curated",
+    "S7_curated": CURATED_CHAIN + f"SELECT {E4}, confidence, cardinality, ordinal FROM curated",
     "V3_summary": CURATED_CHAIN + f"""
       SELECT (SELECT count(*) FROM edges WHERE {KEY} IN ({_REJECTED})) AS rejected,
         (SELECT count(*) FROM edges WHERE {KEY} IN (SELECT {KEY} FROM overrides)) AS overridden,
@@ -751,15 +756,28 @@ ORACLES: dict[str, str] = {
     "L14_left_distinct": """SELECT count(DISTINCT o_orderkey::VARCHAR) AS distinct_from,
         count(DISTINCT CASE WHEN k IS NOT NULL THEN o_orderkey::VARCHAR END) AS matched
       FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey::VARCHAR AS k FROM lineitem) ON o_orderkey::VARCHAR = k""",
-    "E1_compare": """SELECT 'renamed' AS test, true AS equal UNION ALL
-      SELECT 'changed', NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    "E1_compare": """
+      WITH o AS (SELECT *, o_orderpriority = '1-URGENT' AS urgent, 10.0::DOUBLE ** (o_orderkey % 8) AS power FROM orders)
+      SELECT 'renamed' AS test, NOT EXISTS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM o
+        EXCEPT ALL SELECT o_orderkey::VARCHAR::BIGINT, o_orderstatus, o_totalprice FROM o) AS equal
+      UNION ALL SELECT 'changed', NOT EXISTS (SELECT o_orderkey, o_totalprice FROM o
+        EXCEPT ALL SELECT o_orderkey, o_totalprice + CASE WHEN urgent THEN 0.5 ELSE 0 END FROM o)
+      UNION ALL SELECT 'long keys', NOT EXISTS (SELECT o_orderkey * 1000000000 FROM o
+        EXCEPT ALL SELECT o_orderkey * 1000000000 + urgent::INT FROM o)
+      UNION ALL SELECT 'below powers of ten', bool_and(abs(power - power * (1 - 2e-16::DOUBLE)) <= 1e-9 * power) FROM o
+      UNION ALL SELECT 'swapped in a row', NOT EXISTS (SELECT o_orderkey, o_custkey FROM o
+        EXCEPT ALL SELECT CASE WHEN urgent THEN o_custkey ELSE o_orderkey END, CASE WHEN urgent THEN o_orderkey ELSE o_custkey END FROM o)""",
     "E1_differences": """
       WITH e AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
       a AS (SELECT o_orderkey, o_orderstatus,
         o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0 END AS o_totalprice FROM orders)
       SELECT (SELECT count(*) FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM a)) AS missing,
         (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM e)) AS extra""",
-    "E2_ordered": "SELECT 'same order' AS test, true AS equal UNION ALL SELECT 'other order', (SELECT count(*) FROM orders) <= 1",
+    "E2_ordered": """
+      WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS k, o_totalprice AS v FROM orders),
+      a AS (SELECT row_number() OVER (ORDER BY -o_orderkey) AS i, -o_orderkey AS k, o_totalprice AS v FROM orders)
+      SELECT 'same order' AS test, NOT EXISTS (SELECT * FROM e EXCEPT ALL SELECT * FROM e) AS equal
+      UNION ALL SELECT 'other order', NOT EXISTS (SELECT * FROM e JOIN a USING (i) WHERE e.k <> a.k OR e.v <> a.v)""",
     "E3_suite": """SELECT * FROM (VALUES ('edge', 'relationship', 'pass'), ('edge-absent', 'relationship', 'pass'),
       ('edge-missing', 'relationship', 'fail'), ('entity', 'entity', 'pass'), ('entity-gap', 'entity', 'fail'),
       ('metric', 'metric', 'pass'), ('metric-fan-out', 'metric', 'pass'), ('metric-unknown', 'metric', 'pass'),

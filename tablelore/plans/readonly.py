@@ -7,10 +7,25 @@ import re
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
-READING = ("Explain", "Show", "Describe", "Desc")
-# plan nodes that write or run programs without being commands to the parser
-ACTING = ("Insert", "Append", "Overwrite", "Write", "ScriptTransformation")
+#: Parsed plan nodes that only read, by class name; anything else is refused.
+QUERIES = frozenset(
+    """
+    Aggregate Distinct Except Expand Filter Generate GlobalLimit GroupingSets Intersect Join LateralJoin LocalLimit
+    LocalRelation Offset OneRowRelation PipeOperator Pivot Project Range RelationTimeTravel RepartitionByExpression Sample
+    Sort SubqueryAlias Union Unpivot UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation
+    UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedWith View Window
+    WithWindowDefinition
+    """.split()
+)
+#: Statements that only tell about tables; what they name or explain is checked too.
+TELLING = frozenset(
+    "DescribeRelation DescribeColumn DescribeFunctionCommand DescribeQueryCommand ExplainCommand ShowColumns "
+    "ShowFunctions ShowTables ShowViews UnresolvedTableOrView UnresolvedNamespace CurrentNamespace".split()
+)
+#: Functions that run other programs' code or read outside the tables.
+OUTSIDE = frozenset("reflect java_method try_reflect read_files input_file_name input_file_block_start input_file_block_length".split())
+#: Table functions that make rows from their arguments alone.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 
 
 class NotReadOnly(ValueError):
@@ -45,40 +60,68 @@ def split_statements(sql: str) -> list[str]:
 
 
 def is_read_only(spark: SparkSession, text: str) -> bool:
-    """True when every statement parses and no part of any plan writes or configures.
+    """True when every statement is known to do nothing but read registered tables.
 
-    Spark's parser builds the plan; the whole tree is walked, including common table
-    expressions, so a write behind ``WITH`` is found.
+    Spark's parser builds the plan. Each node of it, of every subquery, common table
+    expression and expression must be of a known kind; relations must be views or tables
+    of the session, not paths; and functions that reach outside the tables are refused.
     """
     statements = split_statements(unfenced(text))
-    return bool(statements) and all(_reads(spark, statement) for statement in statements)
+    names = {t.name.lower() for t in spark.catalog.listTables()} if statements else set()
+    return bool(statements) and all(_reads(spark, statement, names) for statement in statements)
+
+
+def _items(scala) -> list:
+    """The members of a Scala collection."""
+    iterator, out = scala.iterator(), []
+    while iterator.hasNext():
+        out.append(iterator.next())
+    return out
+
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
 
-def _reads(spark: SparkSession, statement: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    loader = jvm.Thread.currentThread().getContextClassLoader()
-    acting = [loader.loadClass(_LOGICAL + name) for name in ("Command", "ParsedStatement")]
+
+def _reads(spark: SparkSession, statement: str, names: set[str]) -> bool:
+    loader = spark.sparkContext._jvm.Thread.currentThread().getContextClassLoader()
+    plan_class = loader.loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    subquery = loader.loadClass("org.apache.spark.sql.catalyst.expressions.PlanExpression")
     try:
         root = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
     except ParseException:
         return False
-    pending = [root]
-    while pending:
-        node = pending.pop()
-        name = node.getClass().getSimpleName()
-        if name.startswith(ACTING):
-            return False
-        if any(kind.isInstance(node) for kind in acting):
-            if not name.startswith(READING):
+    database = spark.catalog.currentDatabase().lower()
+    plans, expressions, relations, named = [root], [], [], set(names)
+    while plans or expressions:
+        if expressions:
+            e = expressions.pop()
+            kind = _kind(e)
+            if kind == "UnresolvedFunction" and _items(e.nameParts())[-1].lower() in OUTSIDE:
                 return False
-            continue  # an explained or described statement is not executed
-        for group in (node.children(), node.innerChildren()):
-            nodes = group.iterator()
-            while nodes.hasNext():
-                child = nodes.next()
-                if loader.loadClass(_LOGICAL + "LogicalPlan").isInstance(child):
-                    pending.append(child)
-    return True
+            if subquery.isInstance(e):
+                plans.append(e.plan())
+            expressions += _items(e.children())
+            continue
+        node = plans.pop()
+        kind = _kind(node)
+        if kind not in QUERIES and not (kind in TELLING):
+            return False
+        if kind in ("UnresolvedRelation", "UnresolvedTableOrView"):
+            relations.append([p.lower() for p in _items(node.multipartIdentifier())])
+        elif kind == "UnresolvedTableValuedFunction" and _items(node.name())[-1].lower() not in TABLE_FUNCTIONS:
+            return False
+        elif kind == "UnresolvedWith":
+            for entry in _items(node.cteRelations()):
+                named.add(entry._1().lower())
+                plans.append(entry._2())
+        elif kind == "ExplainCommand":
+            plans.append(node.logicalPlan())
+        elif kind == "DescribeQueryCommand":
+            plans.append(node.plan())
+        plans += [n for n in [*_items(node.children()), *_items(node.innerChildren())] if plan_class.isInstance(n)]
+        expressions += _items(node.expressions())
+    return all(r[-1] in named and (len(r) == 1 or r[-1] in names and r[:-1] in ([database], ["spark_catalog", database])) for r in relations)
 
 
 def run_sql(spark: SparkSession, text: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates: ``spark.checkpoint.dir``.
 
     A checkpoint folder set on the context counts too. Only a local-mode session may
-    fall back to a temporary folder, because there every task runs on this machine.
+    fall back to a temporary folder, because there every task runs on this machine; a
+    cluster needs an address whose scheme says where the folder is. ``file:`` is taken
+    to be a mounted file system that all executors share.
     """
     context = spark.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
+        if not local and not urlsplit(configured).scheme:
+            default = spark._jsparkSession.sessionState().newHadoopConf().get("fs.defaultFS", "file:///")
+            if urlsplit(default).scheme == "file":
+                raise RuntimeError(f"{configured} names a folder of each machine; give an address with a scheme")
         return configured
-    if not context.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="tablelore-")
     return _LOCAL_SCRATCH[context.applicationId]
 
 
-def write_once(df: DataFrame, label: str) -> DataFrame:
+def write_once(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage to recompute when executors are lost, and its size is
@@ -52,6 +62,22 @@ def write_once(df: DataFrame, label: str) -> DataFrame:
     broadcast.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediates when nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``write(df, label)`` as :func:`write_once`, into a folder that is removed at the end."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield lambda df, label: write_once(df, label, folder)
+    finally:
+        discard(spark, folder)

@@ -54,6 +54,23 @@ def read_terms(spark: SparkSession, folder: str, source: str) -> DataFrame | Non
     return spark.read.parquet(f"{folder}/{source}/terms") if _written(spark, f"{folder}/{source}/terms") else None
 
 
+CURATION = ("verdicts", "overrides", "glossary")
+
+
+def write_curation(folder: str, **parts: DataFrame) -> None:
+    """Store people's ``verdicts``, ``overrides`` or ``glossary``; they do not depend on the source files."""
+    for name, df in parts.items():
+        if name not in CURATION:
+            raise ValueError(f"no curation is called {name}")
+        df.write.mode("overwrite").parquet(f"{folder}/curation/{name}")
+
+
+def read_curation(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What people have stored, by name."""
+    places = {name: f"{folder}/curation/{name}" for name in CURATION}
+    return {name: spark.read.parquet(place) for name, place in places.items() if _written(spark, place)}
+
+
 def _written(spark: SparkSession, path: str) -> bool:
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
@@ -89,6 +106,8 @@ def export_csv(df: DataFrame, folder: str) -> None:
         .option("nullValue", "NULL")
         .option("emptyValue", "")
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("lineSep", "\r\n")
         .csv(folder)
     )

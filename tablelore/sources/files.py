@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +21,7 @@ FORMATS = ("parquet", "csv", "tsv", "json", "jsonl", "ndjson")
 class LoadedFolder:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     files: dict[str, str] = field(default_factory=dict)  # table: path
-    fingerprints: dict[str, str] = field(default_factory=dict)  # table: size and time
+    fingerprints: dict[str, str] = field(default_factory=dict)  # table: state of its files
     skipped: list[str] = field(default_factory=list)
 
 
@@ -24,14 +29,40 @@ def extension(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower()
 
 
+#: Lines of a delimited file that are looked at to tell its delimiter and header.
+SNIFFED = 50
+DELIMITERS = (",", ";", "\t", "|")
+_NUMBER_OR_DATE = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|\d{4}-\d\d?-\d\d?([T ].*)?|true|false", re.I)
+
+
+def sniff(lines: list[str], delimiters: tuple[str, ...] = DELIMITERS) -> tuple[str, bool]:
+    """``(delimiter, header)`` of a delimited file, from its first lines.
+
+    The delimiter is the one that cuts the lines into the most, equally many cells. The
+    first line is a header unless one of its cells is empty, a number, a date or a truth value.
+    """
+    found = [(",", [[]])]
+    for d in delimiters:
+        rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=d))
+        widths = Counter(len(r) for r in rows if r)
+        if widths:
+            width, n = widths.most_common(1)[0]
+            found.append((d, rows, (n >= 0.8 * sum(widths.values()), width)))
+    delimiter, rows = max(found[1:], key=lambda f: f[2])[:2] if len(found) > 1 else found[0]
+    first = next((r for r in rows if r), [])
+    return delimiter, all(c.strip() and not _NUMBER_OR_DATE.fullmatch(c.strip()) for c in first)
+
+
 def read_file(
-    spark: SparkSession, path: str, schema: str | None = None, one_line_records: bool = False
+    spark: SparkSession, path: str, schema: str | None = None, one_line_records: bool | None = None
 ) -> DataFrame | None:
     """One data file as a lazy DataFrame, or None for an unknown extension.
 
-    Without a schema, text formats are read once more to infer one. Quoted line breaks
-    are kept, which ties a delimited file to one task; ``one_line_records`` says there
-    are none and lets Spark split large files.
+    Delimiter and header of a CSV file are told from its first lines; columns without a
+    header are ``column0`` and so on. Without a schema, text formats are read once more
+    to infer one. Files whose records hold line breaks cannot be split between tasks;
+    unless ``one_line_records`` says so, whether there are any is found out by the tasks
+    (a line with an odd number of quotes) and for JSON from the first lines.
     """
     kind = extension(path)
     if kind == "parquet":
@@ -39,40 +70,55 @@ def read_file(
     if kind not in FORMATS:
         return None
     reader = spark.read.schema(schema) if schema else spark.read
-    if kind in ("csv", "tsv"):
-        return (
-            reader.option("header", True)
-            .option("inferSchema", schema is None)
-            .option("sep", "\t" if kind == "tsv" else ",")
-            .option("multiLine", not one_line_records)
-            .option("escape", '"')
-            .csv(path)
-        )
-    return reader.option("multiLine", kind == "json").json(path)
+    lines = spark.read.text(path)
+    first = [row.value.removeprefix("\ufeff") for row in lines.where("length(trim(value)) > 0").limit(SNIFFED).collect()]
+    if kind not in ("csv", "tsv"):
+        if one_line_records is None:
+            one_line_records = kind != "json" or not first or all(x.strip()[0] == "{" and x.strip()[-1] == "}" for x in first)
+        return reader.option("multiLine", not one_line_records).json(path)
+    if one_line_records is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        one_line_records = lines.where(quotes % 2 == 1).isEmpty()
+    delimiter, header = sniff(first, ("\t",) if kind == "tsv" else DELIMITERS)
+    table = (
+        reader.option("header", header)
+        .option("inferSchema", schema is None)
+        .option("sep", delimiter)
+        .option("multiLine", not one_line_records)
+        .option("escape", '"')
+        .csv(path)
+    )
+    return table if header or schema else table.toDF(*(f"column{i}" for i in range(len(table.columns))))
 
 
-def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, bool, str]]:
-    """(name, path, is a directory, fingerprint) of a folder's entries, by name.
+def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]:
+    """(name, path, is a directory) of a folder's entries, by name.
 
     Goes through Hadoop's file system API, so any path the cluster can read works.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     statuses = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    entries = [
-        (
-            status.getPath().getName(),
-            status.getPath().toString(),
-            status.isDirectory(),
-            f"{status.getLen()}-{status.getModificationTime()}",
-        )
-        for status in statuses
-    ]
-    return sorted(entries)
+    return sorted((s.getPath().getName(), s.getPath().toString(), s.isDirectory()) for s in statuses)
+
+
+def state(spark: SparkSession, path: str) -> str:
+    """Changes when any file at or below ``path`` is added, removed, renamed or rewritten.
+
+    Files are gone through one at a time and only their hashes are added up, so neither
+    their number nor their order matters.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    total, n = 0, 0
+    while files.hasNext():
+        f = files.next()
+        fact = f"{f.getPath().toString()}\0{f.getLen()}\0{f.getModificationTime()}"
+        total, n = (total + int.from_bytes(hashlib.sha256(fact.encode()).digest())) % (1 << 256), n + 1
+    return f"{n}-{total:064x}"
 
 
 def load_folder(
-    spark: SparkSession, folder: str, schemas: dict[str, str] | None = None, one_line_records: bool = False
+    spark: SparkSession, folder: str, schemas: dict[str, str] | None = None, one_line_records: bool | None = None
 ) -> LoadedFolder:
     """Every supported file at the top level of ``folder`` as one lazy table.
 
@@ -83,7 +129,7 @@ def load_folder(
     """
     out = LoadedFolder()
     taken: set[str] = set()
-    for name, path, is_directory, fingerprint in _listing(spark, folder):
+    for name, path, is_directory in _listing(spark, folder):
         known = "." in name and extension(name) in FORMATS
         if not known:
             if not is_directory:
@@ -92,7 +138,7 @@ def load_folder(
         table = unique_name(safe_name(name), taken)
         out.tables[table] = read_file(spark, path, (schemas or {}).get(table), one_line_records)
         out.files[table] = path
-        out.fingerprints[table] = fingerprint
+        out.fingerprints[table] = state(spark, path)
     return out
 
 

@@ -75,7 +75,12 @@ def count_rows(tables: Tables) -> DataFrame:
     return counts
 
 
+#: Rows that a peek shows at most.
+PEEK = 50
+
+
 def sample_rows(df: DataFrame, limit: int = 5, order_by: list[str] | None = None) -> DataFrame:
-    """A peek of 1 to 50 rows; with ``order_by`` the peek is repeatable."""
-    n = max(1, min(50, int(limit)))
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+    """A peek of ``limit`` rows, 1 to ``PEEK``; with ``order_by`` it is repeatable. Other limits are refused."""
+    if not 1 <= int(limit) <= PEEK:
+        raise ValueError(f"a sample has 1 to {PEEK} rows, not {limit}")
+    return (df.orderBy(*order_by) if order_by else df).limit(int(limit))

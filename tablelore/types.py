@@ -31,7 +31,7 @@ TOP_VALUES = "array<struct<value:string,count:bigint>>"
 PROFILE = (
     COLUMNS
     + ", row_count bigint, null_count bigint, null_percent double, distinct_count bigint, "
-    + f"min string, max string, avg double, top_values {TOP_VALUES}"
+    + f"min string, max string, avg double, top_values {TOP_VALUES}, all_values array<string>"
 )
 
 RELATIONSHIPS = (
