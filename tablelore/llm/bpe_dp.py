@@ -24,12 +24,14 @@ from tablelore.llm.suffix_automaton import SuffixAutomaton
 
 #: Fixed value: the pattern that cuts text into the pieces that are encoded on their own.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words, and pieces of words, that a worker remembers at most in each of two generations.
-REMEMBERED = 1 << 18
+#: Words that a worker remembers at most in each of two generations.
+REMEMBERED = 1 << 19
 #: Longer ones are not worth remembering.
 LONG = 64
 #: Rows handed back at once.
 ROWS = 500
+#: Bytes from the start of a piece that are remembered as they are.
+HEAD = 6
 _SHIFT = 20
 
 
@@ -54,10 +56,20 @@ a7dd a7dd a7e2 a7e2 a7f1 a7f1 ab6c ab6d 107bb 107bf 10940 10959 10ec5 10ec7 10ed
 _NEWER = regex.compile("[" + "".join(f"\\U{int(a, 16):08x}-\\U{int(b, 16):08x}" for a, b in zip(NEWER[::2], NEWER[1::2])) + "]")
 
 
+def _newer(text: str) -> bool:
+    """Whether there are such characters; most texts have none beyond the first 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _NEWER.search(text) is not None
+    return False
+
+
 class Remembered:
     """A memory of two generations: what was not asked for in a whole generation is forgotten."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.make = make
@@ -71,7 +83,7 @@ class Remembered:
             value = self.make(key)
             if len(key) > LONG:
                 return value
-        if len(self.young) >= REMEMBERED:
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = value
         return value
@@ -81,10 +93,9 @@ class TokenAutomaton(SuffixAutomaton):
     """Tells which of some byte strings end where a text has been read to."""
 
     def __init__(self, strings: list[bytes]):
-        super().__init__(bits=8)
+        super().__init__()
         self.size = [len(s) for s in strings]
         last = [self.add(s)[-1] for s in strings]
-        self.seal()
         self.ends: list[list[int]] = [[] for _ in self.length]
         for number, state in enumerate(last):
             self.ends[state].append(number)
@@ -99,10 +110,10 @@ class TokenAutomaton(SuffixAutomaton):
         The answer is remembered in ``hops`` under ``at * 256 + byte``; at 0 nothing has been read.
         """
         state, matched = self._pairs[at]
-        while (state << 8 | byte) not in self.step:
+        while byte not in self.step[state]:
             state = self.link[state]
             matched = self.length[state]
-        here = (self.step[state << 8 | byte], matched + 1)
+        here = (self.step[state][byte], matched + 1)
         there = self._numbers.get(here)
         if there is None:
             there = self._numbers[here] = len(self._pairs)
@@ -142,8 +153,9 @@ class Vocabulary:
         for text, number in self.special.items():
             self.by_id[number] = text.encode()
         self._fits: dict[int, bool] = {}
-        self._piece = Remembered(lambda p: _pack(self.encode_piece(p.encode())))
-        self._word = Remembered(self._pieces)
+        self._piece = Remembered(lambda p: _pack(self.encode_piece(p.encode())), REMEMBERED >> 3)
+        self._word = Remembered(lambda w: self._pieces(" " + w), REMEMBERED)  # the word after a space
+        self._heads: dict[bytes, tuple[int, list[int]]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' bytes gives just these two tokens.
@@ -169,9 +181,25 @@ class Vocabulary:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece, by last tokens of prefixes."""
+        head = piece[:HEAD]
+        known = self._heads.get(head)
+        if known is None:
+            known = self._extended(0, [0], head)
+            if len(self._heads) >= REMEMBERED >> 3:
+                self._heads.clear()
+            self._heads[head] = known
+        last = known[1] if len(piece) <= HEAD else self._extended(known[0], known[1].copy(), piece[HEAD:])[1]
+        out, end = [], len(piece)
+        while end:
+            token = (last[end] >> _SHIFT) - 1
+            out.append(self.ids[token])
+            end -= len(self.bytes[token])
+        out.reverse()
+        return out
+
+    def _extended(self, at: int, last: list[int], piece: bytes) -> tuple[int, list[int]]:
+        """``last`` holds the last token of every prefix so far, moved up by ``_SHIFT``, with 0 for none."""
         hops, hop, fits = self.automaton.hops, self.automaton.hop, self._fits
-        at = 0
-        last = [0]  # of every prefix so far, moved up by _SHIFT; 0 stands for none
         for byte in piece:
             at, ending = hops.get(at << 8 | byte) or hop(at, byte)
             for token, size in ending:
@@ -183,17 +211,11 @@ class Vocabulary:
             else:
                 raise ValueError("the vocabulary cannot encode these bytes")
             last.append(fit)
-        out, end = [], len(piece)
-        while end:
-            token = (last[end] >> _SHIFT) - 1
-            out.append(self.ids[token])
-            end -= len(self.bytes[token])
-        out.reverse()
-        return out
+        return at, last
 
     def _fit(self, before: int, token: int) -> int:
         """The token moved up, or 0 where it cannot follow; kept for the next time."""
-        if len(self._fits) >= REMEMBERED * 2:
+        if len(self._fits) >= REMEMBERED:
             self._fits.clear()
         good = not before or self.compatible((before >> _SHIFT) - 1, token)
         fit = self._fits[before | token] = (token + 1) << _SHIFT if good else 0
@@ -206,6 +228,8 @@ class Vocabulary:
         return [text[a:b] for a, b in spans]
 
     def _pieces(self, word: str) -> bytes:
+        if word[1:].isalpha() and word[0] == " ":
+            return _pack(self.encode_piece(word.encode()))
         return b"".join(map(self._piece, self.pieces.findall(word)))
 
     def _ordinary(self, text: str) -> bytes:
@@ -216,10 +240,11 @@ class Vocabulary:
         """
         if not text:
             return b""
-        if self.spaced.search(text) or not text.isascii() and _NEWER.search(text):
+        if self.spaced.search(text) or _newer(text):
             return b"".join(map(self._piece, self.cut_pieces(text)))
         first, *more = text.split(" ")
-        return b"".join(map(self._word, [first] * bool(first) + [" " + w for w in more]))
+        known, seldom = self._word.young.get, self._word
+        return self._pieces(first) + b"".join([known(w) or seldom(w) for w in more])
 
     spaced = regex.compile(r"\s\s")
 

@@ -1,67 +1,57 @@
-"""A suffix automaton of several sequences of small numbers."""
+"""A suffix automaton of several sequences."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Hashable, Iterable
 
 
 class SuffixAutomaton:
     """Knows every run of symbols in the sequences added to it.
 
-    ``step[state << bits | symbol]`` is the next state; ``length`` is that of a state's
-    longest run, and ``link`` leads to the state of the longest suffix that is another's.
+    ``step[state][symbol]`` is the next state; ``length`` is that of a state's longest run,
+    and ``link`` leads to the state of its longest suffix that is another state's.
     """
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.step: dict[int, int] = {}
+    def __init__(self) -> None:
+        self.step: list[dict[Hashable, int]] = [{}]
         self.length, self.link = [0], [-1]
-        self._arcs: list[list[int]] = [[]]
 
-    def add(self, sequence: Iterable[int]) -> list[int]:
+    def add(self, sequence: Iterable[Hashable]) -> list[int]:
         """The states of the sequence's prefixes; later additions leave them valid."""
-        at, path = 0, []
+        step, length, link = self.step, self.length, self.link
+        last, path = 0, []
         for symbol in sequence:
-            at = self._extend(at, symbol)
-            path.append(at)
+            there = step[last].get(symbol)
+            if there is None:
+                fresh = len(length)
+                length.append(length[last] + 1)
+                step.append({})
+                while last >= 0 and symbol not in step[last]:
+                    step[last][symbol] = fresh
+                    last = link[last]
+                if last < 0:
+                    link.append(0)
+                else:
+                    link.append(-1)  # until it is known
+                    link[fresh] = self._only(last, symbol)
+                last = fresh
+            else:
+                last = self._only(last, symbol)
+            path.append(last)
         return path
 
-    def _extend(self, last: int, symbol: int) -> int:
-        step, length, link, bits = self.step, self.length, self.link, self.bits
-        there = step.get(last << bits | symbol)
-        if there is not None and length[there] == length[last] + 1:
+    def _only(self, state: int, symbol: Hashable) -> int:
+        """The state of just the longest run of ``state`` with ``symbol`` after it; split off if longer ones share it."""
+        step, length, link = self.step, self.length, self.link
+        there = step[state][symbol]
+        if length[there] == length[state] + 1:
             return there
-        fresh = -1
-        if there is None:
-            fresh = self._state(length[last] + 1, 0, [])
-            while last >= 0 and (last << bits | symbol) not in step:
-                step[last << bits | symbol] = fresh
-                self._arcs[last].append(symbol)
-                last = link[last]
-            if last < 0:
-                return fresh
-            there = step[last << bits | symbol]
-            if length[there] == length[last] + 1:
-                link[fresh] = there
-                return fresh
-        twin = self._state(length[last] + 1, link[there], list(self._arcs[there]))
-        for s in self._arcs[there]:
-            step[twin << bits | s] = step[there << bits | s]
-        while last >= 0 and step.get(last << bits | symbol) == there:
-            step[last << bits | symbol] = twin
-            last = link[last]
+        twin = len(length)
+        length.append(length[state] + 1)
+        link.append(link[there])
+        step.append(step[there].copy())
+        while state >= 0 and step[state].get(symbol) == there:
+            step[state][symbol] = twin
+            state = link[state]
         link[there] = twin
-        if fresh < 0:
-            return twin
-        link[fresh] = twin
-        return fresh
-
-    def _state(self, length: int, link: int, arcs: list[int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self._arcs.append(arcs)
-        return len(self.length) - 1
-
-    def seal(self) -> None:
-        """Give back what only further additions need."""
-        self._arcs = []
+        return twin
