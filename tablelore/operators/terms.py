@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..functions.vectors import cosine_block, matrix
+from ..session import write_once
 from .lanes import union_all
 from .semantic import SemanticModel
 
@@ -20,6 +21,10 @@ RRF_K = 60
 
 # Vectors held by one task at a time; larger sets are worked through in blocks.
 BLOCK_VALUES = 16_000_000
+# Numbers in a block of the grid, blocks of queries in a cell, and tasks at most.
+GRID_VALUES = 1 << 17
+CELL_BLOCKS = 4
+MOST_TASKS = 20_000
 
 
 def term_catalog(model: SemanticModel) -> DataFrame:
@@ -127,28 +132,64 @@ def rank_hits(scores: DataFrame) -> DataFrame:
     return scores.where("score > 0").withColumn("rank", F.row_number().over(order))
 
 
-def nearest_vectors(queries: DataFrame, items: DataFrame, k: int = TOP_K) -> DataFrame:
+def nearest_vectors(queries: DataFrame, items: DataFrame, k: int = TOP_K, block_values: int = GRID_VALUES) -> DataFrame:
     """The ``k`` most similar items of every query: ``(query_id, item_id, score, rank)``.
 
-    ``queries`` is ``(query_id, vector)`` and the smaller side; ``items`` is
-    ``(item_id, vector)`` and stays where it is. Blocks of queries of a fixed size go to
-    the tasks, each task returns only its own best ``k`` per query, and the final
-    ranking sees at most ``k`` rows per query and batch. More queries mean more blocks.
+    ``queries`` is ``(query_id, vector)``, ``items`` is ``(item_id, vector)``. Tasks pack both
+    into blocks of a bounded size, which meet in the cells of a grid: one block of items
+    with a few of queries. A cell returns at most ``k`` items per query, and the final
+    ranking sees only those. Nothing passes through the driver.
     """
-    found = [_nearest_block(items, ids, block, k) for ids, block in _blocks(queries, "query_id")]
-    if not found:
-        found = [_nearest_block(items, np.zeros(0, "int64"), np.zeros((0, 1)), k)]
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return (
-        union_all(found)
-        .where("score > 0")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
+    asked, stock = _packed(queries, "query_id", block_values), _packed(items, "item_id", block_values)
+    rows, columns = max(1, stock.count()), max(1, -(-asked.count() // CELL_BLOCKS))
+    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(rows * columns, MOST_TASKS)
+    left = stock.withColumn("row", own(rows)).withColumn("column", each(columns)).repartition(tasks, "row", "column")
+    right = asked.withColumn("column", own(columns)).withColumn("row", each(rows)).repartition(tasks, "row", "column")
+
+    def best(items_: pd.DataFrame, queries_: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})]
+        for q in queries_.itertuples():
+            query_ids, rows_ = _unpacked(q)
+            for i in items_.itertuples():
+                item_ids, others = _unpacked(i)
+                scores = cosine_block(rows_, others)
+                top = [np.lexsort((item_ids, -row))[:k] for row in scores]
+                at = np.repeat(np.arange(len(top)), [len(t) for t in top])
+                which = np.concatenate(top)
+                out.append(pd.DataFrame({"query_id": query_ids[at], "item_id": item_ids[which], "score": scores[at, which]}))
+        return pd.concat(out)
+
+    found = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(
+        best, "query_id bigint, item_id bigint, score double"
     )
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+    return found.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _packed(vectors: DataFrame, key: str, values: int) -> DataFrame:
+    """Rows of at most about ``values`` numbers: ids and a matrix, packed, and a block number."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            whole, ids = matrix(frame["vector"]), frame[key].to_numpy(dtype="int64")
+            step = max(1, values // max(1, whole.shape[1]))
+            for at in range(0, len(ids), step):
+                part = whole[at : at + step]
+                yield pd.DataFrame({"width": [part.shape[1]], "ids": [ids[at : at + step].tobytes()], "vectors": [part.tobytes()]})
+
+    packed = vectors.where(F.col(key).isNotNull()).select(key, "vector").mapInPandas(pack, "width int, ids binary, vectors binary")
+    return write_once(packed.withColumn("block", F.monotonically_increasing_id()), "vectors")
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row.ids, dtype="int64")
+    return ids, np.frombuffer(row.vectors, dtype="float64").reshape(len(ids), row.width)
 
 
 def _blocks(vectors: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bounded blocks of vectors on the driver, one partition in memory at a time."""
+    """Bounded blocks of the catalog's vectors; a catalog has a row for each thing in the schema."""
     ids: list = []
     rows: list = []
     held = 0
@@ -163,25 +204,6 @@ def _blocks(vectors: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.array(ids), matrix(rows)
 
 
-def _nearest_block(items: DataFrame, ids: np.ndarray, block: np.ndarray, k: int) -> DataFrame:
-    shared = items.sparkSession.sparkContext.broadcast((ids, block))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shared.value
-        for frame in frames:
-            item_ids = frame["item_id"].to_numpy()
-            scores = cosine_block(matrix(frame["vector"]), queries)
-            for j, query_id in enumerate(query_ids):
-                top = np.lexsort((item_ids, -scores[:, j]))[:k]
-                yield pd.DataFrame(
-                    {"query_id": query_id, "item_id": item_ids[top], "score": scores[top, j]}
-                )
-
-    return items.select("item_id", "vector").mapInPandas(
-        best, "query_id bigint, item_id bigint, score double"
-    )
-
-
 def resolve_terms(
     queries: DataFrame,
     catalog: DataFrame,

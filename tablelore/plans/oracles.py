@@ -374,6 +374,13 @@ PAGE_CHAIN = _lexical(
     _terms(RAW_MODEL), "SELECT page_id AS query_id, url || ' ' || html AS query FROM pages", "query_id"
 )
 
+
+
+def _letters(x: str) -> str:
+    """How often each letter occurs in a text, as a list of doubles."""
+    return "[" + ", ".join(f"(length(lower({x})) - length(replace(lower({x}), '{c}', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
 CENTROIDS = """
 cent AS (
   SELECT label, list(x ORDER BY i) AS vector FROM (
@@ -695,6 +702,17 @@ ORACLES: dict[str, str] = {
       SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS score
       FROM embeddings JOIN cent USING (label)""",
     "T5_ranks": PHRASE_CHAIN + "SELECT qkey AS query, term_id, rank::INTEGER AS rank FROM ranked",
+    "T6_fusion": PHRASE_CHAIN + f""",
+      qv AS (SELECT qkey, {_letters('query')} AS v FROM asked), tv AS (SELECT term_id, {_letters('term')} AS v FROM catalog),
+      cosines AS (SELECT qkey, term_id, list_inner_product(q.v, t.v)
+          / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(t.v, t.v))) AS score
+        FROM qv q, tv t WHERE list_sum(q.v) > 0 AND list_sum(t.v) > 0),
+      near AS (SELECT qkey, term_id, row_number() OVER (PARTITION BY qkey ORDER BY score DESC, term_id) AS vrank FROM cosines WHERE score > 0),
+      fused AS (SELECT coalesce(n.qkey, r.qkey) AS query, coalesce(n.term_id, r.term_id) AS term_id,
+          coalesce(1.0::DOUBLE / (60 + rank), 0.0) + coalesce(1.0::DOUBLE / (60 + vrank), 0.0) AS score
+        FROM near n FULL JOIN ranked r ON n.qkey = r.qkey AND n.term_id = r.term_id)
+      SELECT query, position::INTEGER AS position, term_id, round(score, 9) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, term_id) AS position FROM fused) WHERE position <= 5""",
     "T7_nearest": f"""WITH {CENTROIDS}
       SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
@@ -705,7 +723,7 @@ ORACLES: dict[str, str] = {
       round(1.0::DOUBLE / (60 + rank), 9) AS score FROM ranked WHERE rank <= 5""",
     "T8_resolve_phrases": PHRASE_CHAIN + f"""SELECT qkey AS query, rank::INTEGER AS position, {TARGET} AS target,
       round(1.0::DOUBLE / (60 + rank), 9) AS score FROM ranked JOIN catalog USING (term_id) WHERE rank <= 5""",
-    "T9_vectors": TERMS_CHAIN + "SELECT term_id, term, 256 AS width FROM catalog",
+    "T9_vectors": TERMS_CHAIN + f"SELECT term_id, term, 256 AS width, len({_words('text')})::INTEGER AS words FROM catalog",
     "G1_parse": """
       SELECT p_partkey AS payload_id, p_name AS term, p_type AS definition, p_brand || ',' || p_type AS synonyms,
         nullif(p_type, 'PROMO') AS map_table, CASE WHEN p_type <> 'PROMO' THEN p_brand END AS map_column,

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
@@ -644,6 +644,9 @@ def star_terms(spark, sf_dir) -> DataFrame:
     )
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def phrases(spark, sf_dir) -> DataFrame:
     """Search phrases found in the data: one per distinct label-like value."""
     sources = (
@@ -702,11 +705,17 @@ def t5_ranks(spark, sf_dir):
     return ranked.join(phrases(spark, sf_dir), "query_id").select("query", "term_id", "rank")
 
 
+def _letters(text: str) -> Column:
+    """How often each letter occurs: vectors that any engine can make."""
+    low = F.lower(F.col(text))
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("float") for c in LETTERS))
+
+
 def t6_fusion(spark, sf_dir):
-    asked = terms.hashing_vectors(phrases(spark, sf_dir), "query")
-    catalog = terms.hashing_vectors(star_terms(spark, sf_dir), "text")
+    asked = phrases(spark, sf_dir).withColumn("vector", _letters("query"))
+    catalog = star_terms(spark, sf_dir).withColumn("vector", _letters("term"))
     found = terms.resolve_terms(asked, catalog, vectors=True)
-    return found.select("query_id", "position", "term", F.round("score", 9).alias("score"))
+    return found.join(asked.select("query_id", "query"), "query_id").select("query", "position", "term_id", F.round("score", 9).alias("score"))
 
 
 def t7_nearest(spark, sf_dir):
@@ -740,7 +749,9 @@ def t8_phrases(spark, sf_dir):
 
 def t9_vectors(spark, sf_dir):
     catalog = terms.hashing_vectors(star_terms(spark, sf_dir), "text")
-    return catalog.select("term_id", "term", F.size("vector").alias("width"))
+    # every word is counted in one of the vector's places
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return catalog.select("term_id", "term", F.size("vector").alias("width"), total.cast("int").alias("words"))
 
 
 # --- glossary --------------------------------------------------------------------
@@ -945,12 +956,10 @@ def _by_role(key: str):
 
 
 def l9_natural_key(spark, sf_dir):
-    """Parts reach a price list by brand, a text key that is not an id."""
+    """Parts reach a price list by brand, a text key that is not an id; both are combined per brand first."""
     parts = raw_table(spark, sf_dir, "part")
-    brands = parts.groupBy("p_brand").agg(F.max("p_retailprice").alias("top_price"))
-    return parts.select("p_brand", "p_size").join(brands, "p_brand").groupBy("p_brand").agg(
-        F.count(F.lit(1)).alias("n"), F.max("top_price").alias("top_price")
-    )
+    prices = parts.groupBy("p_brand").agg(F.max("p_retailprice").alias("top_price"))
+    return parts.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).join(prices, "p_brand")
 
 
 def l10_top(spark, sf_dir):
