@@ -8,11 +8,15 @@ repeat the measure's rows, or could be read in two ways, is refused.
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..tables import Tables, ref
 from .lanes import union_all
@@ -216,8 +220,40 @@ def _same(left: DataFrame, a: str, right: DataFrame, b: str) -> Column:
     return F.col(a) == F.col(b)
 
 
+def _comparable(value, data_type: T.DataType) -> bool:
+    """Whether an operand is of the column's kind, so that no cast can fail while a job runs."""
+    if isinstance(data_type, T.StringType):
+        return isinstance(value, str)
+    if isinstance(data_type, T.BooleanType):
+        return isinstance(value, bool)
+    if isinstance(data_type, T.NumericType):
+        if isinstance(value, str):
+            return re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", value) is not None
+        return isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if isinstance(value, str):
+            try:
+                return bool(datetime.fromisoformat(value.strip()))
+            except ValueError:
+                return False
+        return isinstance(value, date)
+    return False
+
+
+def check_operands(tables: Tables, plan: MetricPlan) -> None:
+    """Refuse filters that compare a column with something of another kind."""
+    for table, column, item in plan.filters:
+        kind = tables[table].schema[column].dataType
+        if not _comparable(item.value, kind):
+            raise MetricRefused(
+                "wrong_operand", f"{table}.{column} is {kind.simpleString()} and cannot be compared with {item.value!r}."
+            )
+
+
 def query_metric(tables: Tables, catalog: MetricCatalog, request: MetricRequest) -> DataFrame:
-    return run_plan(tables, plan_metric(catalog, request))
+    plan = plan_metric(catalog, request)
+    check_operands(tables, plan)
+    return run_plan(tables, plan)
 
 
 def join_loss(tables: Tables, edges: list) -> DataFrame:

@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.curation import apply_verdicts
 from ..operators.glossary import merge_glossary
@@ -80,6 +81,12 @@ def curate(
     glossary: DataFrame | None = None,
 ) -> Dataset:
     """Apply what people have said to inferred edges, then model and annotate."""
+    if overrides is not None:
+        keys = profile.where("distinct_count < row_count - null_count").select(F.col("table").alias("to_table"), F.col("column").alias("to_column"))
+        loose = overrides.join(keys, ["to_table", "to_column"]).collect()
+        if loose:
+            named = ", ".join(sorted(f"{e.from_table}.{e.from_column}->{e.to_table}.{e.to_column}" for e in loose))
+            raise ValueError(f"these overrides lead to columns with repeated values, which would count rows twice: {named}")
     if verdicts is not None or overrides is not None:
         verdicts = verdicts if verdicts is not None else spark.createDataFrame([], "key string, verdict string")
         overrides = overrides if overrides is not None else edges.limit(0)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tablelore.operators import curation, metrics, relationships as rel, semantic
 from tablelore.operators.metrics import Filter, MetricCatalog, MetricRefused, MetricRequest, plan_metric
-from tablelore.plans.dataset import prepare
+from tablelore.plans.dataset import prepare, prepare_folder
+from tablelore.sources.artifacts import write_curation
 from tablelore.types import RELATIONSHIPS, VERDICTS
 
 
@@ -209,3 +210,35 @@ def test_batch_validation_agrees_with_exceptions(spark, shop):
     got = {r.request_id: r.status for r in metrics.validate_requests(spark, shop.model, frame_).collect()}
     assert got == want
     assert len(set(want.values())) >= 6
+
+
+@pytest.mark.parametrize(
+    "column, value, allowed",
+    [
+        ("country", 5, False), ("country", "NO", True), ("country", True, False), ("amount", "12.5", True), ("amount", "a lot", False),
+        ("amount", 3, True), ("amount", True, False), ("day", "2024-02-30", False), ("day", "2024-02-29", True), ("day", 20240229, False),
+        ("flag", "true", False), ("flag", True, True), ("tags", "x", False),
+    ],
+)
+def test_operands_are_checked_before_any_job(spark, column, value, allowed):
+    table = spark.createDataFrame([], "country string, amount double, day date, flag boolean, tags array<string>")
+    plan = metrics.MetricPlan("t", "count", None, "t_count", filters=[("t", column, metrics.Filter(column, "=", value))])
+    if allowed:
+        metrics.check_operands({"t": table}, plan)
+    else:
+        with pytest.raises(metrics.MetricRefused) as refused:
+            metrics.check_operands({"t": table}, plan)
+        assert refused.value.code == "wrong_operand"
+
+
+def test_overrides_must_lead_to_keys(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,b_id\n1,1\n2,1\n3,2\n")
+    (tmp_path / "b.csv").write_text("id,code\n1,x\n2,x\n")
+    made = prepare_folder(spark, str(tmp_path), str(tmp_path / "cache"))
+    good = made.relationships.where("from_table = 'a'").selectExpr("*")
+    bad = good.withColumn("to_column", F.lit("code"))
+    with pytest.raises(ValueError, match="a.b_id->b.code"):
+        prepare_folder(spark, str(tmp_path), str(tmp_path / "cache"), overrides=bad)
+    write_curation(str(tmp_path / "cache"), verdicts=spark.createDataFrame([("a.b_id->b.id", "rejected")], "key string, verdict string"))
+    assert prepare_folder(spark, str(tmp_path), str(tmp_path / "cache")).relationships.count() == good.count() - 1
+    assert made.resolve("code").first()["word"] == "code"
