@@ -119,23 +119,21 @@ def measure_overlap(
     whose foreign column is empty has no row.
     """
     types = {(t, f.name): f.dataType for t, df in tables.items() for f in df.schema.fields}
-    numbers: dict[tuple[str, str], int] = {}
-    cells: dict[tuple[int, str], tuple[str, str]] = {}
-    wanted = []
-    for seq, (from_table, from_column, to_table, to_column) in enumerate(pairs):
-        ends = [(from_table, from_column), (to_table, to_column)]
-        classes = {lane_class(types[end]) for end in ends}
-        lane = classes.pop() if len(classes) == 1 else "text"
-        for end in ends:
-            numbers.setdefault(end, len(numbers))
-            cells[numbers[end], lane] = end
-        wanted.append({"seq": seq, "lane": lane, "f": numbers[ends[0]], "t": numbers[ends[1]]})
-
-    words = [f"w{i}" for i in range(len(numbers) // BITS + 1)]
+    lanes_used, wanted = [], []
+    for from_table, from_column, to_table, to_column in pairs:
+        classes = {lane_class(types[end]) for end in ((from_table, from_column), (to_table, to_column))}
+        lanes_used.append(classes.pop() if len(classes) == 1 else "text")
+    cells = _numbered([((f, fc, lane), (t, tc, lane)) for (f, fc, t, tc), lane in zip(pairs, lanes_used)])
+    for seq, ((from_table, from_column, to_table, to_column), lane) in enumerate(zip(pairs, lanes_used)):
+        group, f = cells[from_table, from_column, lane]
+        wanted.append({"seq": seq, "lane": lane, "g": group, "f": f, "t": cells[to_table, to_column, lane][1]})
+
+    widest = max(number for _, number in cells.values()) + 1
+    words = [f"w{i}" for i in range((widest - 1) // BITS + 1)]
     by_lane: dict[str, dict[str, list]] = {}
-    for (number, lane), (table, column) in cells.items():
+    for (table, column, lane), (group, number) in cells.items():
         data_type = types[table, column]
-        labels = {
+        labels = {"g": str(group)} | {
             word: f"{1 << (number % BITS) if i == number // BITS else 0}L" for i, word in enumerate(words)
         }
         if lane == "text":
@@ -150,22 +148,22 @@ def measure_overlap(
         values = union_all([long_form(tables[t], by_table[t], lanes) for t in sorted(by_table)])
         held.append(
             values.where(" or ".join(f"{name} is not null" for name in lanes))
-            .groupBy(*lanes)
+            .groupBy("g", *lanes)
             .agg(*[F.bit_or(word).alias(word) for word in words])
-            .groupBy(*words)
+            .groupBy("g", *words)
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit(lane).alias("lane"), "n", F.array(*words).alias("held"))
+            .select(F.lit(lane).alias("lane"), "g", "n", F.array(*words).alias("held"))
         )
     holders = union_all(held)
     members = holders.withColumn(
         "f",
         F.explode(
-            F.filter(F.sequence(F.lit(0), F.lit(len(numbers) - 1)), lambda i: _has_bit("held", i))
+            F.filter(F.sequence(F.lit(0), F.lit(widest - 1)), lambda i: _has_bit("held", i))
         ),
     )
-    asked = small_table(spark, wanted, "seq int, lane string, f int, t int")
+    asked = small_table(spark, wanted, "seq int, lane string, g int, f int, t int")
     return (
-        members.join(asked, ["lane", "f"])
+        members.join(asked, ["lane", "g", "f"])
         .groupBy("seq")
         .agg(
             F.sum("n").alias("distinct_from"),
@@ -174,6 +172,27 @@ def measure_overlap(
     )
 
 
+def _numbered(links: list[tuple[tuple, tuple]]) -> dict[tuple, tuple[int, int]]:
+    """``(group, number in it)`` of every column that is linked to another.
+
+    Only columns that are compared, directly or through others, share a group, so the
+    numbers, and with them the width of a row, do not grow with the schema.
+    """
+    above: dict[tuple, tuple] = {}
+
+    def top(end: tuple) -> tuple:
+        while above.setdefault(end, end) != end:
+            end = above[end]
+        return end
+
+    for a, b in links:
+        above[top(a)] = top(b)
+    groups: dict[tuple, list[tuple]] = {}
+    for end in above:
+        groups.setdefault(top(end), []).append(end)
+    return {end: (g, n) for g, ends in enumerate(groups.values()) for n, end in enumerate(ends)}
+
+
 def _has_bit(words: str, number):
     word = F.element_at(F.col(words), (F.floor(number / BITS) + 1).cast("int"))
     bit = F.call_function("shiftright", word, (number % BITS).cast("int"))

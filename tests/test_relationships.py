@@ -147,3 +147,12 @@ def test_best_target_prefers_confidence_then_name(spark):
         "seq int, from_table string, from_column string, to_table string, to_column string, confidence int, name_similarity double",
     )
     assert [r.to_table for r in rel.best_targets(edges).select(F.col("to_table")).collect()] == ["k2"]
+
+
+def test_row_width_does_not_grow_with_the_schema():
+    """Columns that are never compared share no group, so the numbers in a group stay small."""
+    links = [((f"t{i}", "a", "whole"), (f"u{i}", "id", "whole")) for i in range(500)]
+    links += [(("v", f"c{i}", "whole"), ("w", "id", "whole")) for i in range(3)]
+    found = rel._numbered(links)
+    assert len(found) == 1004 and max(number for _, number in found.values()) == 3
+    assert all(found[a][0] == found[b][0] for a, b in links) and len({g for g, _ in found.values()}) == 501
