@@ -199,6 +199,25 @@ def plain_chunks(text, mean):
     return out + [held] * bool(held)
 
 
+def plain_dedup(ids, texts, mean=4):
+    """``(kept, lines, lines removed)`` of every row, going through the rows in order of their ids."""
+    seen, result = set(), {}
+    for k in sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0)):
+        if (ids[k], texts[k]) in result:
+            continue
+        kept, gone = [], 0
+        for chunk in plain_chunks(texts[k], mean) if texts[k] is not None else []:
+            body = "\n".join(chunk)
+            if len(chunk) > 1 and body.strip() and body in seen:
+                gone += len(chunk)
+            else:
+                kept.append(body)
+            seen.add(body)
+        n = len(texts[k].split("\n")) if texts[k] is not None else 0
+        result[ids[k], texts[k]] = ("\n".join(kept) if texts[k] is not None else None, n, gone)
+    return [result[i, t] for i, t in zip(ids, texts)]
+
+
 def test_line_chunks(spark):
     rng = random.Random(8)
     block = [f"shared line {k}" for k in range(40)]
@@ -210,22 +229,7 @@ def test_line_chunks(spark):
     ids = list(range(len(texts)))
     ids[9] = None
     texts, ids = texts + [texts[10]], ids + [ids[10]]  # a repeated row
-    seen, want = set(), []
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0))
-    result = {}
-    for k in order:
-        if (ids[k], texts[k]) not in result:
-            kept, gone = [], 0
-            for chunk in plain_chunks(texts[k], 4) if texts[k] is not None else []:
-                body = "\n".join(chunk)
-                if len(chunk) > 1 and body.strip() and body in seen:
-                    gone += len(chunk)
-                else:
-                    kept.append(body)
-                seen.add(body)
-            n = len(texts[k].split("\n")) if texts[k] is not None else 0
-            result[ids[k], texts[k]] = ("\n".join(kept) if texts[k] is not None else None, n, gone)
-        want.append((ids[k], *result[ids[k], texts[k]]))
+    want = [(i, *found) for i, found in zip(ids, plain_dedup(ids, texts))]
     got = line_chunks.remove_repeated_chunks(frame(spark, texts, ids))
     assert got.select("row.*").columns == ["doc_id", "text", "fingerprint", "component_id", "row", "key"]
     key = lambda r: (r[0] is None, r[0] or 0)

@@ -12,7 +12,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from test_llm_near_copies import plain_components, plain_dedup, plain_simhash
 from tablelore.llm import bpe_dp, crf_quality, packing, pii, queries
+from tablelore.session import write_once
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, n_tokens string, ids string, row string, kept string, spans string, length string"
@@ -306,27 +308,58 @@ def test_packed_documents(spark):
     assert packing.pack_documents(frame(spark, [])).collect() == []
 
 
+def plain_stage(name, docs, field):
+    """What a stage keeps, as ``{doc_id: text}``, by the operators' definitions over all documents."""
+    ids, texts = list(docs), list(docs.values())
+    if name == "quality_rules":
+        def keeps(text):
+            n, *_, repeated = crf_quality.base_counts(text)
+            features, sizes = crf_quality.line_features(text)
+            content = sizes[field.decode(features) == 1].sum()
+            return n >= 50 and 100 * repeated <= 50 * n and content >= 0.5 * sizes.sum()
+
+        return {i: t for i, t in docs.items() if keeps(t)}
+    if name == "line_dedup":
+        return {i: kept for i, (kept, _, _) in zip(ids, plain_dedup(ids, texts))}
+    if name == "simhash_near_dedup":
+        roots = plain_components(ids, [plain_simhash(t) for t in texts], 2)
+        return {i: t for i, t, root in zip(ids, texts, roots) if i == root}
+    actions = plain_revealing(texts, pii.NEAR, pii.SUPPORT, pii.DISCLOSURE)
+    out = {}
+    for i, text in docs.items():
+        spans = plain_spans(text)
+        for m in re.finditer(r"\S+", text):
+            core = m.group().strip(string.punctuation)
+            if core.lower() in actions and all(m.end() <= a or m.start() >= b for _, a, b in spans[: len(plain_spans(text))]):
+                start = m.start() + m.group().index(core)
+                spans.append((actions[core.lower()], start, start + len(core)))
+        out[i] = pii.sanitise(text, spans)
+    return out
+
+
 def test_pipeline(spark):
-    """Every stage against its operator's own definition, on what its predecessor kept."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    """Every stage against brute force on what its predecessor kept, and all of them together."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = crf_quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     before = docs
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SF).cache()
+        after = write_once(stage(spark, before, SF), name)
         assert after.columns == list(corpus_pipeline.COLUMNS), name
-        assert after.schema == docs.schema or [f.dataType for f in after.schema] == [f.dataType for f in docs.schema]
-        ids = {r["doc_id"] for r in before.select("doc_id").collect()}
-        kept = {r["doc_id"] for r in after.select("doc_id").collect()}
-        assert kept and kept <= ids
-        if name in ("line_dedup", "pii"):
-            assert kept == ids
-        assert after.where("n_chars <> length(text)").count() == 0
+        assert [f.dataType for f in after.schema] == [f.dataType for f in docs.schema]
+        rows = after.collect()
+        texts = plain_stage(name, texts, field)
+        assert {r["doc_id"]: r["text"] for r in rows} == texts and len(rows) == len(texts), name
+        assert all(r["n_chars"] == len(r["text"]) for r in rows)
         before = after
-    texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    assert not any(pii.base_spans(t) for t in texts.values())
+    assert 0 < len(texts) < docs.count()
+    words = {i: len(t.encode().split()) for i, t in texts.items()}
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF).toPandas()
-    assert packed.groupby("doc_id")["length"].sum().to_dict() == {i: len(t.encode().split()) for i, t in texts.items()}
+    assert packed.groupby("doc_id")["length"].sum().to_dict() == words
     whole = corpus_pipeline.run(spark, SF).toPandas()
-    assert sorted(whole.groupby("doc_id")["length"].sum().items()) == sorted(packed.groupby("doc_id")["length"].sum().items())
+    assert whole.groupby("doc_id")["length"].sum().to_dict() == words
+    for _, b in whole[whole["length"] > 0].groupby("bin_id"):
+        assert b["bin_length"].iloc[0] == min(x for x in packing.LENGTHS if x >= b["length"].sum())
 
 
 def test_bpe_query(spark, library):
