@@ -531,7 +531,12 @@ ORACLES: dict[str, str] = {
     ),
     "S8_export_json": """SELECT c_custkey, ' "' || c_name || '", ' || c_mktsegment || '  ' AS quoted,
       nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal FROM customer""",
-    "S9_documents": "SELECT sum(length(text) + 1)::BIGINT AS characters FROM benchmark",
+    "S9_documents": """
+      WITH lines AS (
+        SELECT 'txt' AS extension, unnest(string_split(text, chr(10))) AS line FROM benchmark
+        UNION ALL SELECT 'json', to_json({'text': text})::VARCHAR FROM benchmark)
+      SELECT extension, count(*) AS items, sum(length(line))::BIGINT AS characters, max(md5(line)) AS largest_digest
+      FROM lines WHERE line <> '' GROUP BY extension""",
     "S11_redact": r"""
       SELECT doc_id, md5(clean) AS digest, length(clean)::INTEGER AS characters FROM (
         SELECT doc_id, regexp_replace(regexp_replace(

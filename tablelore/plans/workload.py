@@ -208,14 +208,23 @@ def s8_json(spark, sf_dir):
 
 
 def s9_documents(spark, sf_dir):
+    """Whole documents of two extensions: how many items and characters came in, and whose."""
+
     def build():
         path = f"{shared_dir(spark)}/intake-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-        raw_table(spark, sf_dir, "benchmark").select("text").write.mode("overwrite").text(path)
-        files = spark.read.text(path).select(F.input_file_name().alias("path")).distinct()
+        items = raw_table(spark, sf_dir, "benchmark").select("text")
+        items.write.mode("overwrite").text(f"{path}/plain")
+        items.write.mode("overwrite").json(f"{path}/records")
+        files = spark.read.text([f"{path}/plain", f"{path}/records"]).select(F.input_file_name().alias("path")).distinct()
         return [row.path for row in files.collect()]
 
     paths = _kept(spark, sf_dir, "intake", build)
-    return load_documents(spark, paths).agg(F.sum(F.length("text")).alias("characters"))
+    lines = load_documents(spark, paths).select(
+        F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("extension"), "text", F.explode(F.split("text", "\n")).alias("line")
+    )
+    return lines.where("line <> ''").groupBy("extension").agg(
+        F.count(F.lit(1)).alias("items"), F.sum(F.length("line")).alias("characters"), F.max(F.md5("line")).alias("largest_digest")
+    )
 
 
 def s11_redact(spark, sf_dir):
