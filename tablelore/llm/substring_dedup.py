@@ -5,11 +5,12 @@ meet. The key of a window is the least hash of the short word runs in it, which
 same wherever the window stands; neighbouring windows of one key form a segment. Keys that
 only one document has are dropped by an aggregation over keys alone, before any text moves.
 
-A shard is the distinct segments of some keys, a bounded number of words. Its suffix
-automaton is built in the task that needs it (it is ten times as large as its text, so the
-text is what travels), every state learns the smallest document it occurs in, and the
-segments are streamed through it: where the matching statistics reach the window length,
-the state tells the first document with that window. Copies of a segment are streamed once.
+A shard is the distinct segments of some keys, a bounded number of words. Suffix automata
+of its segments, one a key, are built in the task that needs them (they are ten times as
+large as their text, so the text is what travels), every state learns the smallest document
+it occurs in, and the segments are streamed through: where the matching statistics reach
+the window length, the state tells the first document with that window. Copies of a segment
+are streamed once.
 
 A key that more than ``CROWDED`` documents have would make a shard too large. The windows of
 such keys are compared by 128-bit digests of their words instead, grouped with map-side
@@ -19,7 +20,9 @@ combine, so one key may hold any share of the corpus.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,8 +40,11 @@ RUN = 10
 LONGEST = 1000
 #: Documents that may share a key before its windows are compared by digest.
 CROWDED = 4096
-#: Words in a shard, about.
-SHARD_WORDS = 150_000
+#: Rows handed back at once, about.
+ROWS = 4096
+#: Words in a shard, about, and tasks that shards are dealt to at most.
+SHARD_WORDS = 300_000
+MOST_TASKS = 20_000
 _SEGMENT = "key long, seg binary, doc_id long, version long, a int"
 
 
@@ -96,64 +102,72 @@ def _all_segments(docs: DataFrame, window: int, run: int) -> DataFrame:
 def _segment_texts(suspects: DataFrame, window: int, crowded: bool, texts: bool) -> DataFrame:
     """The segments of crowded keys, or of the others, with their words if asked for."""
 
+    names = ["key", "seg", "doc_id", "version", "a"] + ["words"] * texts
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for batch in batches:
-            for doc, version, text, segs in zip(batch["doc_id"].tolist(), batch["version"].tolist(), batch["text"], batch["segs"]):
-                words = text.encode().split()
-                out = []
-                for s in segs:
-                    if s["crowded"] != crowded:
+            for row in batch.itertuples():
+                words = row.text.encode().split()
+                for key, a, b, c in zip(row.keys.tolist(), row.a.tolist(), row.b.tolist(), row.crowded.tolist()):
+                    if c != crowded:
                         continue
-                    spans = [(s["a"], s["b"])] if not crowded else [(k, k) for k in range(s["a"], s["b"] + 1)]
+                    spans = [(a, b)] if not crowded else [(k, k) for k in range(a, b + 1)]
                     for a, b in spans:
                         body = b" ".join(words[a : b + window])
-                        out.append((s["key"], hashlib.md5(body).digest(), doc, version, a) + ((body,) if texts else ()))
-                if out:
-                    yield pd.DataFrame(out, columns=["key", "seg", "doc_id", "version", "a"] + ["words"] * texts)
+                        out.append((key, hashlib.md5(body).digest(), row.doc_id, row.version, a) + ((body,) if texts else ()))
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
     return suspects.mapInPandas(read, _SEGMENT + ", words binary" * texts)
 
 
-def first_documents(segments: list[list[bytes]], documents: list[int], window: int) -> list[list[int]]:
-    """For every window of every segment the smallest document that a segment with that window belongs to."""
-    numbers: dict[bytes, int] = {}
-    coded = [[numbers.setdefault(w, len(numbers)) for w in words] for words in segments]
-    automaton = SuffixAutomaton(bits=32)
-    never = max(documents, default=0) + 1
-    paths = [automaton.add(c) for c in coded]
-    automaton.seal()
+def first_documents(reference: list[tuple[list[bytes], int]], segments: list[list[bytes]], window: int) -> list[list[int | None]]:
+    """For every window of every segment the smallest document whose reference segments have it, or None."""
+    automaton = SuffixAutomaton()
+    paths = [(automaton.add(words), doc) for words, doc in reference]
     length, link, step = automaton.length, automaton.link, automaton.step
+    never = max((doc for _, doc in reference), default=0) + 1
     first = [never] * len(length)
-    for path, doc in zip(paths, documents):
+    for path, doc in paths:
         for state in path:
             if doc < first[state]:
                 first[state] = doc
-    for state in np.argsort(np.asarray(length), kind="stable")[:0:-1].tolist():
+    for state in sorted(range(1, len(length)), key=length.__getitem__, reverse=True):
         if first[state] < first[link[state]]:
             first[link[state]] = first[state]
     out = []
-    for c in coded:
+    for words in segments:
         state, matched, found = 0, 0, []
-        for symbol in c:
-            while state and (state << 32 | symbol) not in step:
+        for k, word in enumerate(words):
+            there = step[state].get(word)
+            while there is None and state:
                 state = link[state]
                 matched = length[state]
-            state = step.get(state << 32 | symbol, 0)
-            matched = min(matched + 1, window) if state else 0
-            while state and length[link[state]] >= matched:
-                state = link[state]
-            if matched == window:
-                found.append(first[state])
+                there = step[state].get(word)
+            if there is None:
+                matched = 0
+            else:
+                state = there
+                matched += 1
+                if matched > window:
+                    matched = window
+                while length[link[state]] >= matched:
+                    state = link[state]
+            if k >= window - 1:
+                found.append(first[state] if matched == window else None)
         out.append(found)
     return out
 
 
-def _runs(values: list[int], below: int) -> Iterator[tuple[int, int, int]]:
+def _runs(values: list[int | None], below: int) -> Iterator[tuple[int, int, int]]:
     """``(first, last, value)`` of runs of equal values under ``below``."""
     start = 0
     for k in range(1, len(values) + 1):
         if k == len(values) or values[k] != values[start]:
-            if values[start] < below:
+            if values[start] is not None and values[start] < below:
                 yield start, k - 1, values[start]
             start = k
 
@@ -174,14 +188,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, crowde
     found = parts.join(shared.hint("merge"), "key").groupBy("doc_id", "version").agg(
         F.collect_set(F.struct("key", "a", "b", "crowded")).alias("segs")
     )
-    found = found.withColumnsRenamed({"doc_id": "d", "version": "v"})
+    fields = {"keys": "key", "a": "a", "b": "b", "crowded": "crowded"}  # columns of plain arrays are read fastest
+    found = found.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), *(F.col(f"segs.{c}").alias(n) for n, c in fields.items()))
     texts = rows.join(found.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("version") == F.col("v"))).drop("d", "v")
-    texts = texts.groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("segs").alias("segs"))
+    texts = texts.groupBy("doc_id", "version").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in fields))
     suspects = write_once(texts, "suspects")
 
     def stream(table: pd.DataFrame) -> pd.DataFrame:
-        firsts = first_documents([w.split() for w in table["words"]], table["low"].tolist(), window)
-        out = [(seg, *r) for seg, high, found in zip(table["seg"], table["high"].tolist(), firsts) for r in _runs(found, high)]
+        """A segment of a key's last document is nobody's reference, one of its first document needs none."""
+        out = []
+        for _, rows in itertools.groupby(sorted(zip(table["key"], table["low"], table["high"], table["seg"], table["words"])), key=itemgetter(0)):
+            rows = list(rows)
+            least, most = min(r[1] for r in rows), max(r[2] for r in rows)
+            reference = [(r[4].split(), r[1]) for r in rows if r[1] < most]
+            later = [r for r in rows if r[2] > least]
+            for r, found in zip(later, first_documents(reference, [r[4].split() for r in later], window)):
+                out += [(r[3], *run) for run in _runs(found, r[2])]
         return pd.DataFrame(out, columns=["seg", "i", "j", "least"])
 
     distinct = (
@@ -192,7 +214,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, crowde
     distinct = write_once(distinct, "reference")
     words = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-words // (6 * shard_words)))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(min(shards, 20_000), "shard")
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(min(shards, MOST_TASKS), "shard")
     seen = write_once(dealt.groupBy("shard").applyInPandas(stream, "seg binary, i int, j int, least long"), "first-documents")
     places = _segment_texts(suspects, window, crowded=False, texts=False)
     spans = places.join(seen.hint("merge"), "seg").where("least < doc_id").select(
@@ -236,21 +258,25 @@ def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, **sizes:
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, version, text, spans in zip(batch["doc_id"].tolist(), batch["version"].tolist(), batch["text"], batch["spans"]):
-                words = text.encode().split()
+            for row in batch.itertuples():
+                words, spans = row.text.encode().split(), row.spans
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                for s in spans:
-                    edge[s["start"]] += 1
-                    edge[s["stop"]] -= 1
+                np.add.at(edge, spans >> 32, 1)
+                np.add.at(edge, spans & 0xFFFFFFFF, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                out.append((doc, version, int(gone.sum()), kept.decode()))
+                out.append((row.doc_id, row.version, int(gone.sum()), kept.decode()))
+                if len(out) >= ROWS // 8:
+                    yield pd.DataFrame(out, columns=["d", "v", "n_removed", "kept"])
+                    out = []
             yield pd.DataFrame(out, columns=["d", "v", "n_removed", "kept"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
     spans, suspects = repeated_spans(rows, window, **sizes)
-    spans = spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    # both ends in one number: plain arrays take the least memory in the tasks
+    ends = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
+    spans = spans.groupBy("doc_id", "version").agg(F.collect_set(ends).alias("spans"))
     texts = suspects.select("doc_id", "version", "text").join(spans.hint("merge"), ["doc_id", "version"])
     return rows, write_once(texts.mapInPandas(keep, "d long, v long, n_removed long, kept string"), "shortened")
 
