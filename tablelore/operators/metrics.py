@@ -32,6 +32,17 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 }
 
 
+# What a refusal says; one request and a batch of them say the same.
+UNKNOWN_METRIC = 'Unknown metric "%s"; known: %s'
+UNKNOWN_DIMENSION = 'Unknown dimension "%s"; known: %s'
+UNKNOWN_FILTER = 'Unknown filter column "%s".'
+UNSUPPORTED = 'Unsupported filter operator "%s".'
+AMBIGUOUS_NAME = '"%s" is on more than one table (%s); qualify it as table.name.'
+AMBIGUOUS_JOIN = '"%s" is ambiguous: %s refers to %s by more than one key (%s).'
+FAN_OUT = '"%s" would fan out "%s": one %s row can match many %s rows. Ask for a metric of %s instead.'
+NOT_JOINABLE = '"%s" is on %s, which %s does not reach in one join.'
+
+
 class MetricRefused(ValueError):
     """The request has no single safe answer; ``code`` says why."""
 
@@ -104,7 +115,7 @@ def _pick(found: list, base: str, what: str):
     owners = list(dict.fromkeys(row.table for row in found))
     if len(owners) > 1:
         raise MetricRefused(
-            "ambiguous_name", f'"{what}" is on more than one table ({", ".join(owners)}); qualify it as table.name.'
+            "ambiguous_name", AMBIGUOUS_NAME % (what, ", ".join(owners))
         )
     return found[0]
 
@@ -121,7 +132,7 @@ def _join(plan: MetricPlan, catalog: MetricCatalog, target: str, what: str) -> N
         keys = " or ".join(f"{plan.base}.{e.from_column}" for e in forward)
         raise MetricRefused(
             "ambiguous_join",
-            f'"{what}" is ambiguous: {plan.base} refers to {target} by more than one key ({keys}).',
+            AMBIGUOUS_JOIN % (what, plan.base, target, keys),
         )
     if forward:
         plan.joins[target] = (forward[0].from_column, forward[0].to_column)
@@ -129,10 +140,9 @@ def _join(plan: MetricPlan, catalog: MetricCatalog, target: str, what: str) -> N
     if any(e.from_table == target and e.to_table == plan.base for e in catalog.edges):
         raise MetricRefused(
             "fan_out",
-            f'"{what}" would fan out "{plan.metric}": one {plan.base} row can match many {target} rows. '
-            f"Ask for a metric of {target} instead.",
+            FAN_OUT % (what, plan.metric, plan.base, target, target),
         )
-    raise MetricRefused("not_joinable", f'"{what}" is on {target}, which {plan.base} does not reach in one join.')
+    raise MetricRefused("not_joinable", NOT_JOINABLE % (what, target, plan.base))
 
 
 def plan_metric(catalog: MetricCatalog, request: MetricRequest) -> MetricPlan:
@@ -140,25 +150,25 @@ def plan_metric(catalog: MetricCatalog, request: MetricRequest) -> MetricPlan:
     measure = next((m for m in catalog.measures if m.name == request.metric), None)
     if measure is None:
         raise MetricRefused(
-            "unknown_metric", f'Unknown metric "{request.metric}"; known: {_names(catalog.measures)}'
+            "unknown_metric", UNKNOWN_METRIC % (request.metric, _names(catalog.measures))
         )
     plan = MetricPlan(measure.table, measure.agg, measure.column, request.metric)
     for name in request.dimensions:
         found = [d for d in catalog.dimensions if _matches(d, name, "name")]
         if not found:
             raise MetricRefused(
-                "unknown_dimension", f'Unknown dimension "{name}"; known: {_names(catalog.dimensions)}'
+                "unknown_dimension", UNKNOWN_DIMENSION % (name, _names(catalog.dimensions))
             )
         dimension = _pick(found, plan.base, name)
         _join(plan, catalog, dimension.table, name)
         plan.groups.append((dimension.table, dimension.column, name))
     for item in request.filters:
         if item.op not in OPERATORS:
-            raise MetricRefused("unsupported_operator", f'Unsupported filter operator "{item.op}".')
+            raise MetricRefused("unsupported_operator", UNSUPPORTED % item.op)
         found = [d for d in catalog.dimensions if _matches(d, item.column, "name", "column")]
         found = found or [m for m in catalog.measures if m.column and _matches(m, item.column, "column")]
         if not found:
-            raise MetricRefused("unknown_filter_column", f'Unknown filter column "{item.column}".')
+            raise MetricRefused("unknown_filter_column", UNKNOWN_FILTER % item.column)
         target = _pick(found, plan.base, item.column)
         _join(plan, catalog, target.table, item.column)
         plan.filters.append((target.table, target.column, item))
@@ -282,7 +292,7 @@ def join_loss(tables: Tables, edges: list) -> DataFrame:
 
 
 def validate_requests(spark: SparkSession, model: SemanticModel, requests: DataFrame) -> DataFrame:
-    """Check many requests against the model with joins: ``(request_id, status, subject)``.
+    """Check many requests against the model with joins: ``(request_id, status, subject, reason)``.
 
     ``requests`` has ``request_id``, ``metric``, ``dimensions array<string>`` and
     ``filters array<struct<column,op,value>>``. The first problem in request order is
@@ -311,21 +321,23 @@ def validate_requests(spark: SparkSession, model: SemanticModel, requests: DataF
         ).alias("position", "part"),
     ).select("request_id", "base", "position", "part.*")
 
-    owners = model.dimensions.select(F.lit("dimension").alias("role"), "name", "table").unionByName(
-        model.dimensions.select(F.lit("filter").alias("role"), "name", "table")
-    ).unionByName(model.dimensions.select(F.lit("filter").alias("role"), F.col("column").alias("name"), "table"))
+    at = F.struct("entity_ordinal", "ordinal").alias("at")
+    dimensions = model.dimensions.select("name", "column", "table", at)
+    owners = dimensions.select(F.lit("dimension").alias("role"), "name", "table", "at").unionByName(
+        dimensions.select(F.lit("filter").alias("role"), "name", "table", "at")
+    ).unionByName(dimensions.select(F.lit("filter").alias("role"), F.col("column").alias("name"), "table", "at"))
     by_measure = model.measures.where("column is not null").select(
-        F.lit("filter").alias("role"), F.col("column").alias("name"), "table"
+        F.lit("filter").alias("role"), F.col("column").alias("name"), "table", at
     )
     by_measure = by_measure.join(owners, ["role", "name"], "left_anti")
     owners = owners.unionByName(by_measure)
-    owners = owners.unionByName(
-        owners.select("role", F.concat_ws(".", "table", "name").alias("name"), "table")
-    ).distinct()
+    owners = owners.unionByName(owners.select("role", F.concat_ws(".", "table", "name").alias("name"), "table", "at"))
+    owners = owners.groupBy("role", "name", "table").agg(F.min("at").alias("at"))
 
-    edges = model.relationships.select("from_table", "to_table")
+    edges = model.relationships.select("from_table", "to_table", "from_column", "ordinal")
+    in_order = F.sort_array(F.collect_list(F.struct("ordinal", "from_column")))["from_column"]
     forward = edges.groupBy(F.col("from_table").alias("base"), F.col("to_table").alias("table")).agg(
-        F.count(F.lit(1)).alias("keys")
+        F.count(F.lit(1)).alias("keys"), in_order.alias("key_names")
     )
     back = edges.select(
         F.col("to_table").alias("base"), F.col("from_table").alias("table"), F.lit(True).alias("reverse")
@@ -338,11 +350,12 @@ def validate_requests(spark: SparkSession, model: SemanticModel, requests: DataF
         .agg(
             F.countDistinct("table").alias("owners"),
             F.max("own").alias("own"),
-            F.min("table").alias("any_table"),
+            F.sort_array(F.collect_list(F.struct("at", "table")))["table"].alias("tables"),
         )
-        .withColumn("table", F.when(F.col("own"), F.col("base")).otherwise(F.col("any_table")))
+        .withColumn("table", F.when(F.col("own"), F.col("base")).otherwise(F.get("tables", F.lit(0))))
         .join(forward, ["base", "table"], "left")
         .join(back, ["base", "table"], "left")
+        .join(named.select("request_id", "metric"), "request_id")
     )
     local = F.col("table") == F.col("base")
     problem = (
@@ -356,16 +369,32 @@ def validate_requests(spark: SparkSession, model: SemanticModel, requests: DataF
         .when(F.col("reverse"), "fan_out")
         .otherwise("not_joinable")
     )
+    known = {
+        what: ", ".join(r["name"] for r in sorted(df.select("entity_ordinal", "ordinal", "name").collect())) or "(none)"
+        for what, df in (("metrics", model.measures), ("dimensions", model.dimensions))  # as many as the schema has
+    }
+    say = lambda text, *values: F.format_string(text, *(F.col(v) if isinstance(v, str) else v for v in values))
+    key_list = F.array_join(F.transform("key_names", lambda k: F.concat_ws(".", "base", k)), " or ")
+    reason = (
+        F.when(F.col("problem") == "unsupported_operator", say(UNSUPPORTED, "op"))
+        .when(F.col("problem") == "unknown_dimension", say(UNKNOWN_DIMENSION, "name", F.lit(known["dimensions"])))
+        .when(F.col("problem") == "unknown_filter_column", say(UNKNOWN_FILTER, "name"))
+        .when(F.col("problem") == "ambiguous_name", say(AMBIGUOUS_NAME, "name", F.array_join("tables", ", ")))
+        .when(F.col("problem") == "ambiguous_join", say(AMBIGUOUS_JOIN, "name", "base", "table", key_list))
+        .when(F.col("problem") == "fan_out", say(FAN_OUT, "name", "metric", "base", "table", "table"))
+        .otherwise(say(NOT_JOINABLE, "name", "table", "base"))
+    )
     first = (
         found.withColumn("problem", problem)
         .where("problem is not null")
+        .withColumn("reason", reason)
         .groupBy("request_id")
-        .agg(F.min_by(F.struct("problem", "name"), "position").alias("bad"))
+        .agg(F.min_by(F.struct("problem", "name", "reason"), "position").alias("bad"))
     )
+    unknown = F.col("base").isNull()
     return named.join(first, "request_id", "left").select(
         "request_id",
-        F.when(F.col("base").isNull(), "unknown_metric")
-        .otherwise(F.coalesce("bad.problem", F.lit("ok")))
-        .alias("status"),
-        F.when(F.col("base").isNull(), F.col("metric")).otherwise(F.col("bad.name")).alias("subject"),
+        F.when(unknown, "unknown_metric").otherwise(F.coalesce("bad.problem", F.lit("ok"))).alias("status"),
+        F.when(unknown, F.col("metric")).otherwise(F.col("bad.name")).alias("subject"),
+        F.when(unknown, say(UNKNOWN_METRIC, "metric", F.lit(known["metrics"]))).otherwise(F.col("bad.reason")).alias("reason"),
     )

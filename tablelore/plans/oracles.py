@@ -473,8 +473,12 @@ def _reach(rows) -> str:
         STAR_CHAIN
         + f""",
 asked AS (SELECT * FROM (VALUES {_requests(rows)}) AS a(request_id, base, target, subject))
-SELECT request_id, status, CASE WHEN status <> 'ok' THEN subject END AS subject FROM (
-  SELECT request_id, subject, CASE WHEN base = target THEN 'ok'
+SELECT request_id, status, CASE WHEN status <> 'ok' THEN subject END AS subject, CASE status
+    WHEN 'fan_out' THEN '"' || subject || '" would fan out "' || base || '_count": one ' || base || ' row can match many '
+      || target || ' rows. Ask for a metric of ' || target || ' instead.'
+    WHEN 'not_joinable' THEN '"' || subject || '" is on ' || target || ', which ' || base || ' does not reach in one join.'
+    END AS reason FROM (
+  SELECT request_id, base, target, subject, CASE WHEN base = target THEN 'ok'
     WHEN (SELECT count(*) FROM edges e WHERE e.from_table = base AND e.to_table = target) = 1 THEN 'ok'
     WHEN (SELECT count(*) FROM edges e WHERE e.from_table = base AND e.to_table = target) > 1 THEN 'ambiguous_join'
     WHEN (SELECT count(*) FROM edges e WHERE e.from_table = target AND e.to_table = base) > 0 THEN 'fan_out'
@@ -678,7 +682,12 @@ ORACLES: dict[str, str] = {
         ('first-problem', 'customers_count', 'colour', 'shade', '='), ('ok-own', 'orders_count', 'orderstatus', NULL, '='))
         AS a(request_id, metric, dim, filt, op))
       SELECT request_id, status, CASE status WHEN 'unknown_metric' THEN metric WHEN 'unknown_dimension' THEN dim
-          WHEN 'ok' THEN NULL ELSE filt END AS subject FROM (
+          WHEN 'ok' THEN NULL ELSE filt END AS subject,
+        CASE status WHEN 'unknown_metric' THEN 'Unknown metric "' || metric || '"; known: '
+            || (SELECT string_agg(name, ', ' ORDER BY tp, cp) FROM meas)
+          WHEN 'unknown_dimension' THEN 'Unknown dimension "' || dim || '"; known: ' || (SELECT string_agg(name, ', ' ORDER BY tp, cp) FROM dims)
+          WHEN 'unsupported_operator' THEN 'Unsupported filter operator "' || op || '".'
+          WHEN 'unknown_filter_column' THEN 'Unknown filter column "' || filt || '".' END AS reason FROM (
         SELECT *, CASE WHEN metric NOT IN (SELECT name FROM meas) THEN 'unknown_metric'
           WHEN dim IS NOT NULL AND dim NOT IN (SELECT name FROM dims) THEN 'unknown_dimension'
           WHEN op NOT IN ('=', '!=', '<', '<=', '>', '>=') THEN 'unsupported_operator'
@@ -691,9 +700,11 @@ ORACLES: dict[str, str] = {
     ]),
     "Q9_ambiguous": _chain(_transfer_cells()) + """
       SELECT 'two-keys' AS request_id, CASE WHEN count(*) > 1 THEN 'ambiguous_join' WHEN count(*) = 1 THEN 'ok'
-        ELSE 'not_joinable' END AS status, CASE WHEN count(*) <> 1 THEN 'mktsegment' END AS subject
+        ELSE 'not_joinable' END AS status, CASE WHEN count(*) <> 1 THEN 'mktsegment' END AS subject,
+        CASE WHEN count(*) > 1 THEN '"mktsegment" is ambiguous: transfers refers to customers by more than one key ('
+          || string_agg('transfers.' || from_column, ' or ' ORDER BY from_column) || ').' END AS reason
       FROM edges WHERE from_table = 'transfers' AND to_table = 'customers'
-      UNION ALL SELECT 'own', 'ok', NULL""",
+      UNION ALL SELECT 'own', 'ok', NULL, NULL""",
     "Q10_not_joinable": _reach([
         ("two-hops", "lineitems", "customers", "mktsegment"),
         ("siblings", "events", "orders", "orderstatus"),
