@@ -134,24 +134,32 @@ def _stats(counts: DataFrame, lanes: tuple[str, ...], meta: list[dict]) -> DataF
         measures += [F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}")]
     long = F.col("h").isNotNull() if "h" in lanes else F.lit(False)
     measures.append(F.max(F.when(long, F.col("n"))).alias("long_top"))
-    for row in meta:
-        if row["kind"] == "numeric" and lane_class(row["data_type"]) == "text":
-            # decimals beyond 18 digits travel as text
-            here = F.col("cid") == row["cid"] if "s" in lanes else F.lit(False)
-            text = F.col("s") if "s" in lanes else F.lit(None).cast("string")
-            exact = F.when(here, text.try_cast(row["data_type"].simpleString()))
-            measures += [
-                F.min(exact).cast("string").alias(f"min_{row['cid']}"),
-                F.max(exact).cast("string").alias(f"max_{row['cid']}"),
-                (F.sum(exact.cast("double") * F.col("n")) / F.sum(F.when(exact.isNotNull(), F.col("n")))).alias(
-                    f"mean_{row['cid']}"
-                ),
-            ]
+    # decimals beyond 18 digits travel as text; one set of measures serves all such columns
+    wide = _wide_decimals(meta)
+    text = F.when(F.col("cid").isin(wide), F.col("s")) if "s" in lanes and wide else F.lit(None).cast("string")
+    measures += [
+        F.min_by(text, _in_order(text)).alias("min_w"),
+        F.max_by(text, _in_order(text)).alias("max_w"),
+        (F.sum(text.try_cast("double") * F.col("n")) / F.sum(F.when(text.isNotNull(), F.col("n")))).alias("mean_w"),
+    ]
     stats = counts.groupBy("cid").agg(*measures)
     fields = [name for name in stats.columns if name != "cid"]
     return stats.select("cid", F.struct(*fields).alias("stats"), F.lit("stats").alias("part"))
 
 
+def _wide_decimals(meta: list[dict]) -> list[int]:
+    return [row["cid"] for row in meta if row["kind"] == "numeric" and lane_class(row["data_type"]) == "text"]
+
+
+def _in_order(text: Column) -> Column:
+    """Decimals of at most 38 digits as texts that sort like the numbers."""
+    digits = F.ltrim(F.lit("-"), text)
+    fraction = F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("")
+    padded = F.concat(F.lpad(F.substring_index(digits, ".", 1), 38, "0"), F.rpad(fraction, 38, "0"))
+    turned = F.translate(padded, "0123456789", "9876543210")
+    return F.when(text.startswith("-"), F.concat(F.lit("0"), turned)).otherwise(F.concat(F.lit("1"), padded))
+
+
 def _long_top_values(
     spark: SparkSession, tables: Tables, meta: list[dict], wide: dict[int, tuple[int, int]], top: DataFrame
 ) -> DataFrame:
@@ -229,10 +237,7 @@ def _assemble(spark: SparkSession, meta: list[dict], stats: DataFrame, ranked: D
         ).alias("leaders")
     )
     lanes = sorted({lane_class(row["data_type"]) for row in meta})
-    wide_decimals = [
-        row["cid"] for row in meta
-        if row["kind"] == "numeric" and lane_class(row["data_type"]) == "text"
-    ]
+    wide = F.col("cid").isin(_wide_decimals(meta))
 
     def edge(side: str) -> Column:
         whole, real, local = F.col(f"{side}_k"), F.col(f"{side}_d"), F.col(f"{side}_t")
@@ -247,16 +252,13 @@ def _assemble(spark: SparkSession, meta: list[dict], stats: DataFrame, ranked: D
                 scale = int(lane[len("decimal"):])
                 value = (whole.cast(T.DecimalType(19, 0)) * F.lit(10.0 ** -scale).cast(f"decimal(18,{scale})"))
                 out = out.when(F.col("lane") == lane, value.cast(f"decimal(18,{scale})").cast("string"))
-        for cid in wide_decimals:
-            out = out.when(F.col("cid") == cid, F.col(f"{side}_{cid}"))
-        return out
+        return out.when(wide, F.col(f"{side}_w"))
 
     mean = F.col("mean")
     for lane in lanes:
         if lane.startswith("decimal"):
             mean = F.when(F.col("lane") == lane, F.col("mean") / 10 ** int(lane[len("decimal"):])).otherwise(mean)
-    for cid in wide_decimals:
-        mean = F.when(F.col("cid") == cid, F.col(f"mean_{cid}")).otherwise(mean)
+    mean = F.when(wide, F.col("mean_w")).otherwise(mean)
 
     rows = F.coalesce("row_count", F.lit(0))
     nulls = rows - F.coalesce("present", F.lit(0))
