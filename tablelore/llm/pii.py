@@ -36,8 +36,10 @@ NEAR = 5
 SUPPORT = 3
 #: Share of an entity's information from which on a term discloses it.
 DISCLOSURE = 0.95
-#: Bits of the table of terms that is sent to the tasks, at most.
-MOST_BITS = 1 << 26
+#: Bits of the table of terms that is sent to the tasks: for each term, at least, and at most.
+TERM_BITS = 1 << 10
+LEAST_BITS = 1 << 20
+MOST_BITS = 1 << 27
 _CLASS = "\x00"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -129,7 +131,7 @@ def terms_near(text: str, near: int) -> set[tuple[str, str]]:
 def _bit_table(terms: DataFrame, column: str) -> np.ndarray:
     """A table with a bit set for the hash of every term; its size depends on their number, up to a bound."""
     n = terms.count()
-    bits = min(MOST_BITS, 1 << max(10, (16 * n).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (TERM_BITS * n).bit_length()))
     spot = F.xxhash64(column).bitwiseAND(F.lit(bits - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
     table = np.zeros(bits >> 6, dtype=np.int64)
