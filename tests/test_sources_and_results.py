@@ -118,7 +118,7 @@ def test_csv_export(spark, tmp_path):
     assert text.split("\r\n")[0] == 'id,"na,me",gone,num,list'
     assert '1,"a ""q"", b",NULL,0.3,"[1,2]"\r\n' in text
     assert "2,,x,5,NULL\r\n" in text
-    artifacts.export_csv(spark.createDataFrame([("  a  ",)], "s string"), str(tmp_path / "spaces"))
+    artifacts.export_csv(spark.createDataFrame([("  a  ",)], "s string").coalesce(1), str(tmp_path / "spaces"))
     assert next((tmp_path / "spaces").glob("*.csv")).read_text(newline="").split("\r\n")[1].strip('"') == "  a  "
     artifacts.export_json(df.drop("list"), str(tmp_path / "json"))
     first = json.loads(next((tmp_path / "json").glob("*.json")).read_text().splitlines()[0])
