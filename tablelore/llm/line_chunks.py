@@ -83,9 +83,10 @@ def remove_repeated_chunks(
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"),
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"),
     )
-    found = chunks(rows.drop("row"), mean_lines, min_lines)
+    text = F.col("row").getField(text_col).cast("string")  # read from the row, so that it moves once
+    found = chunks(rows.select("doc_id", "version", text.alias("text")), mean_lines, min_lines)
     keyed = found.withColumn("key", F.xxhash64("body"))
     spread = keyed.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     repeated = write_once(spread.where("least <> most").select("key"), "chunk-keys")
@@ -101,12 +102,12 @@ def remove_repeated_chunks(
     joined = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["version"] == gone["gone_version"]), "left")
     removed = F.coalesce(F.aggregate("sizes", F.lit(0), lambda total, s: total + s["n"]), F.lit(0)).cast("long")
     left = _let(
-        pieces(F.col("text"), mean_lines),
+        pieces(text, mean_lines),
         lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone")), lambda k: F.get(all_, k)["body"]),
     )
     return joined.select(
         "row", rows["doc_id"],
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("kept"),
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
         removed.alias("n_removed_lines"),
     )
