@@ -160,10 +160,12 @@ def revealing_terms(
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = Counter(p for text in batch["text"] for p in terms_near(text, near))
-            yield pd.DataFrame([(*p, n) for p, n in found.items()], columns=["entity", "term", "n"])
+            rows = [(e, t, kind_of(t), n) for (e, t), n in found.items()]
+            yield pd.DataFrame(rows, columns=["entity", "term", "kind", "n"])
 
     texts = docs.select("text").where("text is not null")
-    joint = texts.mapInPandas(pairs, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("both"))
+    joint = texts.mapInPandas(pairs, "entity string, term string, kind string, n long")
+    joint = joint.groupBy("entity", "term", "kind").agg(F.sum("n").alias("both"))
     joint = write_once(joint, "entity-terms")
     alone = joint.where("term = ''").select("entity", F.col("both").alias("n_entity"))
     likely = joint.where((F.col("both") >= support) & (F.col("term") != "") & ~F.col("term").startswith(_CLASS))
@@ -194,11 +196,9 @@ def revealing_terms(
     scored = likely.join(frequency, "term").join(alone, "entity").where(
         degree(F.col("both"), F.col("n_entity"), F.col("n_term")) >= disclosure
     )
-    digit, alpha = F.col("term").rlike(r"^\p{Nd}+$"), F.col("term").rlike(r"^\p{L}+$")
-    kind = F.concat(F.lit(_CLASS), F.when(digit, "number").when(alpha, "word").otherwise("code"))
     classes = joint.where(F.col("term").startswith(_CLASS)).select("entity", F.col("term").alias("kind"), F.col("both").alias("kind_both"))
     n_kind = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for k, n in kinds.items()), F.lit(1))
-    judged = scored.withColumn("kind", kind).join(classes, ["entity", "kind"], "left")
+    judged = scored.withColumn("kind", F.concat(F.lit(_CLASS), "kind")).join(classes, ["entity", "kind"], "left")
     still = F.coalesce(degree(F.col("kind_both"), F.col("n_entity"), n_kind) >= disclosure, F.lit(False))
     return judged.groupBy("term").agg(F.when(F.max(still), "removed").otherwise("general").alias("action"))
 
@@ -222,9 +222,10 @@ def find_private(
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"),
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"),
     )
-    masked = write_once(revealing_terms(rows.select("text"), near, support, disclosure), "revealing-terms")
+    text = F.col("row").getField(text_col).cast("string")  # read from the row, so that it moves once
+    masked = write_once(revealing_terms(rows.select(text.alias("text")), near, support, disclosure), "revealing-terms")
     table = _bit_table(masked, "term")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,7 +236,7 @@ def find_private(
             ]
             yield pd.DataFrame(hits, columns=["doc_id", "version", "term"])
 
-    texts = rows.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "version", "text")
+    texts = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "version", text.alias("text")).where("text is not null")
     hits = texts.mapInPandas(probe, "doc_id string, version long, term string").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = hits.join(masked, "term").groupBy("doc_id", "version").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
     known = write_once(known, "document-terms").withColumnsRenamed({"doc_id": "d", "version": "v"})
@@ -249,7 +250,7 @@ def find_private(
         for texts, terms in batches:
             yield pd.DataFrame([_spans(t, x) for t, x in zip(texts, terms)], columns=names)
 
-    return both.select("row", "doc_id", spans("text", "terms").alias("s")).select("row", "doc_id", "s.*")
+    return both.select("row", "doc_id", spans(text, "terms").alias("s")).select("row", "doc_id", "s.*")
 
 
 def _spans(text: str | None, terms) -> tuple:
