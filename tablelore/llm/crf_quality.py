@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Labelled documents to train on, and the longest text among them.
+#: Labelled documents to train on, and the longest text among them in characters and lines.
 TRAIN_DOCUMENTS = 4000
 TRAIN_CHARS = 50_000
+TRAIN_LINES = 2000
 MIN_WORDS = 50
 MAX_REPEATED = 50
 MIN_CONTENT = 0.5
@@ -192,10 +193,12 @@ def fit(documents: list[np.ndarray], labels: list[int], rounds: int = 200, rate:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS,
+    docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS, lines: int = TRAIN_LINES,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Field | None:
-    """A field from at most ``documents`` labelled documents of at most ``chars`` characters, chosen by a hash of their ids.
+    """A field from at most ``documents`` labelled documents of at most ``chars`` characters in ``lines`` lines.
+
+    They are chosen by a hash of their ids.
 
     None unless both labels are there. Labels other than 0 and 1, null texts and empty
     texts are left out; of several labels of a document the smallest counts.
@@ -203,12 +206,12 @@ def train(
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: line_features(t)[0].tobytes())
+        return texts.map(lambda t: line_features(t)[0].astype(np.uint8).tobytes())
 
     rated = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     rated = rated.where("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    short = texts.where((F.length("text") > 0) & (F.length("text") <= chars))
+    short = texts.where((F.length("text") > 0) & (F.length("text") <= chars) & (F.size(F.split("text", "\n", -1)) <= lines))
     chosen = short.select("doc_id").distinct().join(rated, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     sample = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = sample.select("doc_id", "label", packed("text").alias("lines")).collect()
@@ -216,7 +219,7 @@ def train(
     if len({r["label"] for r in rows}) < 2:
         return None
     width = len(_GROUPS)
-    return fit([np.frombuffer(r["lines"], dtype=np.int64).reshape(-1, width) for r in rows], [r["label"] for r in rows])
+    return fit([np.frombuffer(r["lines"], dtype=np.uint8).astype(np.int64).reshape(-1, width) for r in rows], [r["label"] for r in rows])
 
 
 def judge(
