@@ -121,7 +121,8 @@ def _segment_texts(suspects: DataFrame, window: int, crowded: bool, texts: bool)
                     out = []
         yield pd.DataFrame(out, columns=names)
 
-    return suspects.mapInPandas(read, _SEGMENT + ", words binary" * texts)
+    held = suspects.where(F.array_contains("crowded", F.lit(crowded)))
+    return held.mapInPandas(read, _SEGMENT + ", words binary" * texts)
 
 
 def first_documents(reference: list[tuple[list[bytes], int]], segments: list[list[bytes]], window: int) -> list[list[int | None]]:
