@@ -17,12 +17,12 @@ from __future__ import annotations
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelore.session import write_once
@@ -32,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("general", "removed")
 #: Words on either side of an entity that count as near it.
 NEAR = 5
-#: Documents in which a term must stand near an entity before it can be said to reveal it.
+#: Documents in which a term must stand near an entity before it can be said to
+#: reveal it; with 1 every term near an entity is judged.
 SUPPORT = 3
 #: Share of an entity's information from which on a term discloses it.
 DISCLOSURE = 0.95
@@ -128,24 +129,49 @@ def terms_near(text: str, near: int) -> set[tuple[str, str]]:
     return out
 
 
-def _bit_table(terms: DataFrame, column: str) -> np.ndarray:
-    """A table with a bit set for the hash of every term; its size depends on their number, up to a bound."""
-    n = terms.count()
+def _bit_table(rows: DataFrame, key: Column) -> np.ndarray:
+    """A table with a bit set for the hash ``key`` of every row; its size depends on their number, up to a bound."""
+    n = rows.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (TERM_BITS * n).bit_length()))
-    spot = F.xxhash64(column).bitwiseAND(F.lit(bits - 1))
+    spot = key.bitwiseAND(F.lit(bits - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
     table = np.zeros(bits >> 6, dtype=np.int64)
-    for row in terms.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+    for row in rows.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
         table[row["at"]] = row["bits"]
     return table.view(np.uint64)
 
 
+def _hit(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the bits of the hashes are set."""
+    spots = keys & np.uint64(64 * len(table) - 1)
+    return ((table[(spots >> np.uint64(6)).astype(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def _known(terms: list[str], table: np.ndarray) -> Iterator[str]:
     """The terms whose bit is set."""
-    spots = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), dtype=np.uint64, count=len(terms))
-    spots &= np.uint64(64 * len(table) - 1)
-    hit = (table[(spots >> np.uint64(6)).astype(np.int64)] >> (spots & np.uint64(63))) & np.uint64(1)
-    return (terms[k] for k in np.flatnonzero(hit).tolist())
+    keys = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), dtype=np.uint64, count=len(terms))
+    return (terms[k] for k in np.flatnonzero(_hit(keys, table)).tolist())
+
+
+def _once(texts: DataFrame) -> tuple[DataFrame, Callable[[pd.DataFrame], pd.Series]]:
+    """``texts(text)`` with keys, and what a task reads of a batch of them so that every text comes once.
+
+    Only texts whose hash comes again are shuffled, and compared whole.
+    """
+    texts = texts.select("text", F.xxhash64("text").alias("key"), F.lit(False).alias("chosen"))
+    again = texts.groupBy("key").count().where("count > 1")
+    table = _bit_table(write_once(again.select("key"), "copied-keys"), F.col("key"))
+
+    def suspect(batch: pd.DataFrame) -> np.ndarray:
+        return _hit(batch["key"].to_numpy(np.int64).view(np.uint64), table)
+
+    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[suspect(batch), ["text"]]
+
+    copied = write_once(texts.mapInPandas(suspects, "text string").distinct(), "copied-texts")
+    copied = copied.select("text", F.lit(0).cast("long").alias("key"), F.lit(True).alias("chosen"))
+    return texts.union(copied), lambda batch: batch.loc[batch["chosen"].to_numpy(bool) | ~suspect(batch), "text"]
 
 
 def _document_terms(text: str) -> list[str]:
@@ -153,29 +179,33 @@ def _document_terms(text: str) -> list[str]:
 
 
 def revealing_terms(
-    docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE
+    docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False
 ) -> DataFrame:
-    """``term, action``: what to do with the terms that disclose some entity in ``docs(text)``."""
+    """``term, action``: what to do with the terms that disclose some entity in ``docs(text)``.
+
+    With ``distinct``, texts that are equal count once.
+    """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = Counter(p for text in batch["text"] for p in terms_near(text, near))
+            found = Counter(p for text in single(batch) for p in terms_near(text, near))
             rows = [(e, t, kind_of(t), n) for (e, t), n in found.items()]
             yield pd.DataFrame(rows, columns=["entity", "term", "kind", "n"])
 
     texts = docs.select("text").where("text is not null")
+    texts, single = _once(texts) if distinct else (texts, lambda batch: batch["text"])
     joint = texts.mapInPandas(pairs, "entity string, term string, kind string, n long")
     joint = joint.groupBy("entity", "term", "kind").agg(F.sum("n").alias("both"))
     joint = write_once(joint, "entity-terms")
     alone = joint.where("term = ''").select("entity", F.col("both").alias("n_entity"))
     likely = joint.where((F.col("both") >= support) & (F.col("term") != "") & ~F.col("term").startswith(_CLASS))
     wanted = write_once(likely.select("term").distinct(), "candidate-terms")
-    table = _bit_table(wanted, "term")
+    table = _bit_table(wanted, F.xxhash64("term"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n: Counter[str] = Counter()
-            for text in batch["text"]:
+            for text in single(batch):
                 terms = _document_terms(text)
                 n[""] += 1
                 n.update(_CLASS + k for k in {kind_of(t) for t in terms})
@@ -204,7 +234,7 @@ def revealing_terms(
 
 
 def find_private(
-    docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE,
+    docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with its spans and its sanitised text beside it.
@@ -216,8 +246,8 @@ def find_private(
     at all.
 
     A null text counts as empty and stays null when sanitised. Null ids pass through.
-    Repeated rows each give a row and each count in the statistics, as copies do. An empty
-    table gives an empty table. Columns of any name are carried in ``row`` without a clash.
+    Repeated rows each give a row and each count in the statistics, as copies do, unless
+    ``distinct`` is set. An empty table gives an empty table. Columns of any name are carried in ``row`` without a clash.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(
@@ -225,8 +255,8 @@ def find_private(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"),
     )
     text = F.col("row").getField(text_col).cast("string")  # read from the row, so that it moves once
-    masked = write_once(revealing_terms(rows.select(text.alias("text")), near, support, disclosure), "revealing-terms")
-    table = _bit_table(masked, "term")
+    masked = write_once(revealing_terms(rows.select(text.alias("text")), near, support, disclosure, distinct), "revealing-terms")
+    table = _bit_table(masked, F.xxhash64("term"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -133,7 +133,7 @@ FROM spelled s LEFT JOIN fitting f USING (page_id) LEFT JOIN list l ON s.canon =
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_private(_table(spark, sf_dir, "documents"))
+    found = pii.find_private(_table(spark, sf_dir, "documents"), support=1, distinct=True)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

@@ -253,6 +253,26 @@ def test_find_private(spark):
     assert pii.find_private(frame(spark, [])).collect() == []
 
 
+def planted_texts():
+    """A name beside an address of one document, a code beside a number of two, and a word that copies lift."""
+    texts = [f"plain text of the corpus, number {k}" for k in range(300)]
+    texts += ["write to Ysolde at ysolde@mail.example.com of the corpus"]
+    texts += ["the code Quux7z +1 (626) 555-5759 of the corpus", "number Quux7z, or +1 626 555 5759 of the text"]
+    return texts + ["plain marble at 10.0.0.7"] * 20 + ["the marble of the corpus"]
+
+
+def test_rare_entities_reveal_and_copies_count_once(spark, tmp_path):
+    texts = planted_texts()
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {texts[r["doc_id"]]: r["spans"] for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    assert "general:9:15" in spans[texts[300]] and "general:0:5" in spans[texts[300]]
+    assert ":9:15" in spans[texts[301]] and ":7:13" in spans[texts[302]]
+    assert spans[texts[303]] == "ip:16:24" and spans[texts[-1]] == ""
+    assert not any(spans[t] for t in texts[:300])
+    got = {r["term"]: r["action"] for r in pii.revealing_terms(frame(spark, texts), support=1, distinct=True).collect()}
+    assert got == plain_revealing(list(dict.fromkeys(texts)), pii.NEAR, 1, pii.DISCLOSURE)
+
+
 def test_sanitise():
     spans = [("email", 0, 5), ("removed", 6, 9), ("general", 10, 12), ("general", 13, 15), ("card", 16, 25), ("phone", 20, 30)]
     assert pii.sanitise("a@b.c xyz 12 ab +1-234-567-8901234", spans) == "[EMAIL]  [number] [word] [CARD]1234"
