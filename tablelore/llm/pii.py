@@ -3,7 +3,7 @@
 Patterns find the protected entities themselves: addresses and numbers. Corpus statistics
 then tell which other terms reveal one of them. With probabilities estimated from counts
 of documents, an entity ``c`` carries the information ``IC(c) = -log2 p(c)``, and a term
-``t`` found near it discloses ``PMI(c; t) = log2 p(c, t) / (p(c) p(t))`` of that. A term
+``t`` in the same document discloses ``PMI(c; t) = log2 p(c, t) / (p(c) p(t))`` of that. A term
 that discloses at least a given share of an entity's information is generalised to its
 kind of word, or removed where that kind would still disclose as much.
 
@@ -30,8 +30,9 @@ from tablelore.session import write_once
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the spans that the method adds.
 ADDED = ("general", "removed")
-#: Words on either side of an entity that count as near it.
-NEAR = 5
+#: Words on either side of an entity that count as near it; None for the whole document,
+#: the unit in which the terms' own frequencies are counted.
+NEAR = None
 #: Documents in which a term must stand near an entity before it can be said to
 #: reveal it; with 1 every term near an entity is judged.
 SUPPORT = 3
@@ -41,6 +42,8 @@ DISCLOSURE = 0.95
 TERM_BITS = 1 << 10
 LEAST_BITS = 1 << 20
 MOST_BITS = 1 << 27
+#: Counts of terms, or of pairs of an entity and a term, that a task holds before it hands them on.
+HELD = 1 << 16
 _CLASS = "\x00"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -109,26 +112,36 @@ def _free(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
     return all(end <= a or start >= b for _, a, b in spans)
 
 
-def terms_near(text: str, near: int) -> set[tuple[str, str]]:
-    """``(entity, term)`` of a document, kinds of words among the terms; every entity with the empty term too."""
+def _entity_terms(text: str, near: int | None) -> dict[str, set[str]]:
+    """The terms near every entity of a document, kinds of words among them, and the empty term."""
     spans = base_spans(text)
     if not spans:
-        return set()
+        return {}
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    if near is None:
+        taken = np.zeros(len(text) + 1, dtype=bool)
+        for _, a, b in spans:
+            taken[a:b] = True
+        found = {term_of(text[a:b]) for a, b in words if not taken[a:b].any()} - {""}
+        found |= {_CLASS + kind_of(t) for t in found} | {""}
+        return dict.fromkeys((entity(kind, text[a:b]) for kind, a, b in spans), found)
     terms = [term_of(text[a:b]) if _free(a, b, spans) else "" for a, b in words]
     starts = np.asarray([a for a, _ in words])
-    out = set()
+    out: dict[str, set[str]] = {}
     for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        out.add((name, ""))
         first = int(np.searchsorted(starts, a, side="right")) - 1
         last = int(np.searchsorted(starts, b, side="left"))
-        for t in terms[max(0, first - near) : last + near]:
-            if t:
-                out |= {(name, t), (name, _CLASS + kind_of(t))}
+        found = set(terms[max(0, first - near) : last + near]) - {""}
+        found |= {_CLASS + kind_of(t) for t in found} | {""}
+        out.setdefault(entity(kind, text[a:b]), set()).update(found)
     return out
 
 
+def terms_near(text: str, near: int | None) -> set[tuple[str, str]]:
+    """``(entity, term)`` of a document, kinds of words among the terms; every entity with the empty term too."""
+    return {(name, t) for name, terms in _entity_terms(text, near).items() for t in terms}
+
+
 def _bit_table(rows: DataFrame, key: Column) -> np.ndarray:
     """A table with a bit set for the hash ``key`` of every row; its size depends on their number, up to a bound."""
     n = rows.count()
@@ -179,7 +192,7 @@ def _document_terms(text: str) -> list[str]:
 
 
 def revealing_terms(
-    docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False
+    docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False
 ) -> DataFrame:
     """``term, action``: what to do with the terms that disclose some entity in ``docs(text)``.
 
@@ -187,10 +200,20 @@ def revealing_terms(
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[tuple[str, str]] = Counter()
+
+        def rows() -> pd.DataFrame:
+            out = [(e, t, kind_of(t), n) for (e, t), n in found.items()]
+            found.clear()
+            return pd.DataFrame(out, columns=["entity", "term", "kind", "n"])
+
         for batch in batches:
-            found = Counter(p for text in single(batch) for p in terms_near(text, near))
-            rows = [(e, t, kind_of(t), n) for (e, t), n in found.items()]
-            yield pd.DataFrame(rows, columns=["entity", "term", "kind", "n"])
+            for text in single(batch):
+                for e, terms in _entity_terms(text, near).items():
+                    found.update((e, t) for t in terms)
+                    if len(found) >= HELD:
+                        yield rows()
+        yield rows()
 
     texts = docs.select("text").where("text is not null")
     texts, single = _once(texts) if distinct else (texts, lambda batch: batch["text"])
@@ -203,14 +226,22 @@ def revealing_terms(
     table = _bit_table(wanted, F.xxhash64("term"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+
+        def rows() -> pd.DataFrame:
+            out = list(n.items())
+            n.clear()
+            return pd.DataFrame(out, columns=["term", "n"])
+
         for batch in batches:
-            n: Counter[str] = Counter()
             for text in single(batch):
                 terms = _document_terms(text)
                 n[""] += 1
                 n.update(_CLASS + k for k in {kind_of(t) for t in terms})
                 n.update(_known(terms, table))
-            yield pd.DataFrame(list(n.items()), columns=["term", "n"])
+                if len(n) >= HELD:
+                    yield rows()
+        yield rows()
 
     frequency = texts.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     frequency = frequency.join(wanted.withColumn("exact", F.lit(True)), "term", "left")
@@ -234,7 +265,7 @@ def revealing_terms(
 
 
 def find_private(
-    docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False,
+    docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with its spans and its sanitised text beside it.

@@ -273,6 +273,22 @@ def test_rare_entities_reveal_and_copies_count_once(spark, tmp_path):
     assert got == plain_revealing(list(dict.fromkeys(texts)), pii.NEAR, 1, pii.DISCLOSURE)
 
 
+def test_terms_far_from_the_entity_count(spark):
+    """A name in the first line, the address at the end; what stands beside it in some documents and far off in others."""
+    fill = " ".join(["plain text of the corpus"] * 20)
+    texts = [f"{fill} {k}" for k in range(200)]
+    texts += [f"Ysolde {fill} {k}, marble of ysolde@mail.example.com" for k in range(3)]
+    texts += [f"Ysolde marble {fill} {k} ysolde@mail.example.com" for k in range(3, 6)]
+    far = pii.terms_near(texts[200], pii.NEAR)
+    assert ("email:ysolde@mail.example.com", "ysolde") in far and ("email:ysolde@mail.example.com", "\x00word") in far
+    out = {r["row"]["text"]: r["sanitised"] for r in pii.find_private(frame(spark, texts)).collect()}
+    assert out[texts[200]] == f"[word] {fill} 0, [word] of [EMAIL]"
+    assert out[texts[203]] == f"[word] [word] {fill} 3 [EMAIL]"
+    assert all(out[t] == t for t in texts[:200])
+    got = {r["term"]: r["action"] for r in pii.revealing_terms(frame(spark, texts), near=5).collect()}
+    assert got == plain_revealing(texts, 5, pii.SUPPORT, pii.DISCLOSURE)
+
+
 def test_sanitise():
     spans = [("email", 0, 5), ("removed", 6, 9), ("general", 10, 12), ("general", 13, 15), ("card", 16, 25), ("phone", 20, 30)]
     assert pii.sanitise("a@b.c xyz 12 ab +1-234-567-8901234", spans) == "[EMAIL]  [number] [word] [CARD]1234"
