@@ -87,6 +87,25 @@ def test_fusion_against_brute_force(spark, monkeypatch, block):
         assert [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in want])
 
 
+def test_fusion_of_hashing_vectors_against_brute_force(spark):
+    names = [f"{a} {b} {i}" for i, (a, b) in enumerate((a, b) for a in ("net", "gross", "open") for b in ("revenue", "orders", "plan", "users"))]
+    asked = ["net revenue", "open order 11", "users of the plan", "nothing here", ""]
+    catalog = terms.hashing_vectors(catalog_of(spark, names), "text")
+    queries = terms.hashing_vectors(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), "query")
+    vectors = {r.term_id: np.array(r.vector) for r in catalog.collect()}
+    wanted = {r.query_id: np.array(r.vector) for r in queries.collect()}
+    got = {}
+    for r in sorted(terms.resolve_terms(queries, catalog, k=5, vectors=True).collect(), key=lambda r: (r.query_id, r.position)):
+        got.setdefault(r.query_id, []).append((r.term_id, r.score))
+    assert got
+    for i, query in enumerate(asked):
+        norms = [np.linalg.norm(vectors[j]) * np.linalg.norm(wanted[i]) for j in range(len(names))]
+        cosines = [float(vectors[j] @ wanted[i]) / n if n else 0.0 for j, n in enumerate(norms)]
+        want = fused([[lexical(query, n) for n in names], np.round(cosines, 12)], 5)
+        assert [j for j, _ in got.get(i, [])] == [j for j, _ in want]
+        assert [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in want])
+
+
 def test_semantic_hit_through_vectors(spark):
     base = catalog_of(spark, ["users", "sum_amount", "plan"])
     held = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "term_id long, vector array<double>")
