@@ -192,6 +192,13 @@ READING = (
     "select id, row_number() over (order by id) from three group by id having count(*) > 0 order by 1 limit 5", "from three |> where id > 1",
     "select * from three lateral view explode(array(1, 2)) t as x", "explain select * from three", "describe three", "show tables",
     "with recursive r(n) as (select 1 union all select n + 1 from r where n < 5) select * from r", "select * from three tablesample (5 rows)",
+    "select identifier('up' || 'per')('a'), identifier('i' || 'd') from three", "select nvl(id, 1), ceil(id), round(id, 1), url_encode('a b'), to_json(struct(id)) from three",
+    "select transform(array(id), x -> x + 1), aggregate(array(1, 2), 0, (a, x) -> a + x), map('a', 1)['a'], case when id > 1 then 'x' end from three",
+    "select sum(id) over (order by id rows between 1 preceding and current row), percentile_approx(id, 0.5) over () from three",
+    "select extract(year from date '2020-01-02'), trim(both 'x' from 'xax'), substring('abc' from 2), cast(id as string) || 'a', id between 1 and 2, 'a' like 'b%' from three",
+    "select count(distinct id), count(*) filter (where id > 1), percentile_cont(0.5) within group (order by id), try_add(1, 2), parse_url('http://a/b', 'HOST') from three",
+    "select current_date(), date_trunc('month', now()), system.builtin.abs(-1), typeof(1), current_user(), xpath_string('<a>1</a>', 'a'), variant_get(parse_json('{}'), '$.a') from three",
+    "select * from three pivot (count(*) for id in (1, 2))", "select * from values (1, upper('a')) as t(a, b)", "select unknown_column from three",
 )
 ACTING = (
     "execute immediate 'drop view three'", "call foo()", "select reflect('java.lang.System', 'currentTimeMillis')",
@@ -199,6 +206,22 @@ ACTING = (
     "select * from csv.`/etc/passwd`", "select (select max(value) from text.`/etc/passwd`)", "with x as (select * from parquet.`/a`) select * from x",
     "describe csv.`/etc/passwd`", "explain drop view three", "describe query select reflect('a', 'b')", "select * from unknown_table",
     "select * from read_files('/etc/passwd')", "set a = b", "cache table three", "add jar 'x'", "declare x int", "begin select 1; end", "refresh table three",
+    "select input_file_name() from three", "select no_such_function(1)", "select shouting('a')", "select default.shouting('a')", "select * from three lateral view reflect('a', 'b') t as x",
+    "select identifier('shou' || 'ting')('a')", "select identifier(reflect('java.lang.System', 'getProperty', 'user.home')) from three", "select identifier(lower('UPPER'))('a')",
+    "select * from values (reflect('java.lang.System', 'getProperty', 'user.home'))", "select from_avro(x, '{}') from (select binary('a') x)",
+    "select * from three where transform(array(1), x -> java_method('a', 'b'))[0] = 'x'",
+)
+#: A function that runs JVM code, spelled so that no parsed node bears its name.
+HIDDEN = "identifier('re' || 'flect')('java.lang.System', 'getProperty', 'user.home')"
+ACTING += tuple(
+    text.format(call=call)
+    for call in (HIDDEN, HIDDEN.replace("'re' || 'flect'", "'reflect'"), HIDDEN.replace("'re' || 'flect'", "'ja' || 'va_' || 'method'"), HIDDEN.replace("'re' || 'flect'", "'system.builtin.' || 'reflect'"))
+    for text in (
+        "select {call}", "select id from three where {call} = 'x'", "select (select {call})", "select * from three where id in (select length({call}) from three)",
+        "with a as (select {call} as x) select * from a", "select sum(id) over (partition by {call}) from three", "explain select {call}", "describe query select {call}",
+        "select * from three order by {call}", "select transform(array(1), x -> {call})", "select count(*) from three group by {call} having max({call}) > 'a'",
+        "select * from three t join three u on {call} = 'x'", "select * from values ({call})", "from three |> select {call}",
+    )
 )
 
 
