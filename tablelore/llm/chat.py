@@ -50,25 +50,32 @@ def _same_tree(a: str, b: str) -> Column:
     return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
 
 
-def _climb(links: DataFrame) -> list[DataFrame]:
-    """Tables ``(tree, id, up, n, total)``: in table k, ``up`` is 2 ** k messages above, null beyond the root.
-
-    ``n`` and ``total`` count and add up the scores of the messages from ``id`` to below
-    ``up``. The last table has no ``up`` left, but for messages that lead into a circle.
+def _climb(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """How far every message is below its root, and tables that lead up from it.
+
+    Table k is ``(tree, id, up, n, total)`` of the messages that have one 2 ** k messages
+    above, named ``up``; ``n`` and ``total`` count and add up the scores from ``id`` to below
+    it. The other result is ``(tree, id, n, total)``, up to the root. Messages that have
+    reached it are not looked at again, so a few long conversations cost no more than they
+    hold. Those that lead into a circle never reach one.
     """
     parents = links.select("tree", F.col("id").alias("up"))
     joined = links.alias("a").join(parents.alias("b"), _same_tree("a", "b") & (F.col("a.parent") == F.col("b.up")), "left")
-    first = joined.select("a.tree", "a.id", "b.up", F.lit(1).cast("long").alias("n"), F.col("a.score").alias("total"))
-    levels = [write_once(first, "chat-climb")]
-    most = links.count()
-    while 1 << (len(levels) - 1) <= most and not levels[-1].where("up is not null").isEmpty():
-        a, b = levels[-1].alias("a"), levels[-1].alias("b")
-        higher = a.join(b, _same_tree("a", "b") & (F.col("a.up") == F.col("b.id")), "left").select(
-            "a.tree", "a.id", "b.up",
-            (F.col("a.n") + F.coalesce("b.n", F.lit(0))).alias("n"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
+    state = write_once(joined.select("a.tree", "a.id", "b.up", F.lit(1).cast("long").alias("n"), F.col("a.score").alias("total")), "chat-climb")
+    most, levels, rooted = links.count(), [], None
+    while True:
+        there = state.where("up is null").drop("up")
+        rooted = there if rooted is None else rooted.union(there)
+        open_ = state.where("up is not null")
+        if open_.isEmpty() or 1 << len(levels) > most:
+            return levels, rooted
+        levels.append(open_)
+        known = open_.union(rooted.select("tree", "id", F.lit(None).cast(links.schema["id"].dataType).alias("up"), "n", "total"))
+        higher = open_.alias("a").join(known.alias("b"), _same_tree("a", "b") & (F.col("a.up") == F.col("b.id")))
+        state = write_once(
+            higher.select("a.tree", "a.id", "b.up", (F.col("a.n") + F.col("b.n")).alias("n"), (F.col("a.total") + F.col("b.total")).alias("total")),
+            "chat-climb",
         )
-        levels.append(write_once(higher, "chat-climb"))
-    return levels
 
 
 def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
@@ -78,18 +85,17 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     leaf. Takes ``messages(tree, id, parent, score)`` with distinct ids in a tree.
     """
     links = write_once(messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-links")
-    levels = _climb(links)
-    rooted = levels[-1].where("up is null")
-    answered = levels[0].where("up is not null").select("tree", F.col("up").alias("id")).distinct()
+    levels, rooted = _climb(links)
+    answered = links.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     leaves = rooted.alias("a").join(answered.alias("b"), _same_tree("a", "b") & (F.col("a.id") == F.col("b.id")), "left_anti")
     score = F.col("total") / F.col("n")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "id")
     ranked = leaves.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     path = ranked.select("tree", F.col("id").alias("leaf"), "rank", "score", "id", (F.col("n") - 1).alias("position"))
-    for k in reversed(range(len(levels) - 1)):
+    for k in reversed(range(len(levels))):
         # messages 2 ** k above those found so far: in all, every distance once
         path = write_once(path, "chat-path")
-        up = path.alias("a").join(levels[k].alias("b"), _same_tree("a", "b") & (F.col("a.id") == F.col("b.id")) & F.col("b.up").isNotNull())
+        up = path.alias("a").join(levels[k].alias("b"), _same_tree("a", "b") & (F.col("a.id") == F.col("b.id")))
         path = path.union(up.select("a.tree", "leaf", "rank", "score", "b.up", F.col("position") - (1 << k)))
     return path
 

@@ -197,7 +197,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     buckets = vocabulary.groupBy(_band(length).alias("band")).agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
 
     def bucketed(rows: DataFrame) -> DataFrame:
-        halves = rows.join(buckets, "band").select("*", F.inline(_halves(F.col("band"))))
+        # a row for each two lengths of words, so never more than the longest word has letters
+        halves = rows.join(F.broadcast(buckets), "band").select("*", F.inline(_halves(F.col("band"))))
         return halves.withColumn("bucket", F.pmod(F.xxhash64("first", "key"), F.col("buckets"))).drop("buckets", "key")
 
     members = bucketed(vocabulary.withColumn("band", _band(length)))

@@ -16,13 +16,13 @@ from fractions import Fraction
 from math import ceil
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import DenseMatrix, Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelore.session import write_once
 
@@ -95,16 +95,50 @@ def _times(a: BlockMatrix, b: BlockMatrix, splits: int) -> BlockMatrix:
     return BlockMatrix(product, a.rowsPerBlock, b.colsPerBlock)
 
 
+_BLOCKS = T.StructType([
+    T.StructField("at", T.StructType([T.StructField("row", T.LongType()), T.StructField("column", T.LongType())])),
+    T.StructField("matrix", MatrixUDT()),
+])
+
+_MATRIX = MatrixUDT.sqlType().names
+
+
+def _height(width: int) -> int:
+    """Rows of a block."""
+    return max(1, BLOCK_BYTES // (8 * width))
+
+
 def _panels(rows: DataFrame, n: int, width: int, centre: Centre) -> Iterator[tuple[int, BlockMatrix]]:
     """Blocks of centred rows, a bounded number at a time, and the index of their first row."""
-    height = max(1, BLOCK_BYTES // (8 * width))
+    height = _height(width)
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack(rows.sort_values("index")["x"].to_list())
+        dense = DenseMatrix(len(values), width, values.ravel(), isTransposed=True)
+        return pd.DataFrame({"at": [{"row": key[0], "column": 0}], "matrix": [dict(zip(_MATRIX, MatrixUDT().serialize(dense)))]})
+
     for start in range(0, n, height * PANEL):
         count = min(n - start, height * PANEL)
-        dealt = min(64, ceil(count / height / 4)) ** 2  # blocks go to the square root of so many partitions
+        dealt = min(64, ceil(count / height / 4)) ** 2  # a product deals blocks to the square root of so many partitions
         panel = rows.where(F.col("index").between(start, start + count - 1))
-        vectors = panel.select((F.col("index") - start).alias("index"), array_to_vector(centre.centred(F.col("x"))).alias("vector"))
-        mllib = MLUtils.convertVectorColumnsFromML(vectors.repartition(dealt, "index"), "vector")
-        yield start, IndexedRowMatrix(mllib, count, width).toBlockMatrix(height, width)
+        number = F.floor((F.col("index") - start) / height).alias("number")
+        dealt_rows = panel.select(number, "index", centre.centred(F.col("x")).alias("x")).repartition(dealt, "number")
+        blocks = dealt_rows.groupBy("number").applyInPandas(block, _BLOCKS)
+        yield start, BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, height, width, count, width), height, width)
+
+
+def _rows(blocks: BlockMatrix, start: int, height: int) -> DataFrame:
+    """``(index, whitened)``: the rows of a block matrix."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, matrix in zip(batch["at"], batch["matrix"]):
+                values = MatrixUDT().deserialize([matrix[name] for name in _MATRIX]).toArray()
+                yield pd.DataFrame({"index": start + height * at["row"] + np.arange(len(values)), "whitened": list(values)})
+
+    found = callMLlibFunc("getMatrixBlocks", blocks._java_matrix_wrapper._java_model).toDF("at", "matrix")
+    at = F.struct(F.col("at._1").cast("long").alias("row"), F.col("at._2").cast("long").alias("column")).alias("at")
+    return found.select(at, "matrix").mapInPandas(rows, "index long, whitened array<double>")
 
 
 def _scatter(blocks: BlockMatrix) -> np.ndarray:
@@ -164,10 +198,7 @@ def whiten(
 
     results = None
     for start, blocks in _panels(rows, rows.count(), width, centre):
-        model = _times(blocks, whitening, 1).toIndexedRowMatrix()._java_matrix_wrapper._java_model
-        part = callMLlibFunc("getIndexedRows", model).select(
-            (F.col("index") + start).alias("index"), vector_to_array("vector").alias("whitened")
-        )
+        part = _rows(_times(blocks, whitening, 1), start, _height(width))
         results = part if results is None else results.union(part)
     shares = F.lit([float(v / trace) for v in values])
     named = rows.select("index", "vec_id", centre.deviation(F.col("x")).alias("deviation"))
