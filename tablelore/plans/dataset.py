@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.curation import apply_verdicts
 from ..operators.glossary import merge_glossary
-from ..operators.metrics import MetricCatalog, MetricRequest, query_metric
+from ..operators.metrics import Filter, MetricCatalog, MetricRequest, query_metric, query_metrics
 from ..operators.profile import profile_dataset
 from ..operators.relationships import discover_relationships
 from ..operators.semantic import SemanticModel, build_model
@@ -35,10 +35,18 @@ class Dataset:
     def relationships(self) -> DataFrame:
         return self.model.relationships
 
-    def metric(self, name: str, dimensions: tuple[str, ...] = (), filters: tuple = ()) -> DataFrame:
+    @property
+    def catalog(self) -> MetricCatalog:
         if self._catalog is None:
             self._catalog = MetricCatalog.of(self.model)
-        return query_metric(self.tables, self._catalog, MetricRequest(name, tuple(dimensions), tuple(filters)))
+        return self._catalog
+
+    def metric(self, name: str, dimensions: tuple[str, ...] = (), filters: tuple[Filter, ...] = (), max_hops: int = 1) -> DataFrame:
+        return query_metric(self.tables, self.catalog, MetricRequest(name, tuple(dimensions), tuple(filters)), max_hops)
+
+    def metrics(self, *names: str, dimensions: tuple[str, ...] = (), filters: tuple[Filter, ...] = (), max_hops: int = 1) -> DataFrame:
+        """Several measures side by side, each at its own grain."""
+        return query_metrics(self.tables, self.catalog, names, dimensions, filters, max_hops)
 
     def resolve(self, *words: str, k: int = TOP_K) -> DataFrame:
         """The schema objects that business words mean best, with a position for each word."""

@@ -486,6 +486,42 @@ SELECT request_id, status, CASE WHEN status <> 'ok' THEN subject END AS subject,
     )
 
 
+_HOP_REQUESTS = (
+    ("one-hop", "orders", "customers", "mktsegment", "orders_count"), ("two-hops", "lineitems", "customers", "mktsegment", "sum_quantity"),
+    ("three-hops", "lineitems", "regions", "regions.name", "sum_quantity"), ("two-ways", "lineitems", "nations", "nations.name", "sum_quantity"),
+    ("half-way-down", "events", "orders", "orderstatus", "events_count"), ("down", "customers", "orders", "orderstatus", "customers_count"),
+)
+
+
+def _hops(most: int) -> str:
+    """Status of requests over chains of up to three keys; a step down is told for ways of one or two steps."""
+    rows = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in _HOP_REQUESTS)
+    joins = "one join" if most == 1 else f"{most} joins"
+    return (
+        STAR_CHAIN
+        + f""",
+asked AS (SELECT * FROM (VALUES {rows}) AS a(request_id, base, target, subject, metric)),
+step AS (SELECT from_table AS b, to_table AS t, from_table || '.' || from_column AS k FROM edges),
+ways AS (SELECT b, t, 1 AS n, k FROM step
+  UNION ALL SELECT x.b, y.t, 2, x.k || ' -> ' || y.k FROM step x JOIN step y ON x.t = y.b WHERE y.t <> x.b
+  UNION ALL SELECT x.b, z.t, 3, x.k || ' -> ' || y.k || ' -> ' || z.k FROM step x JOIN step y ON x.t = y.b JOIN step z ON y.t = z.b
+    WHERE y.t <> x.b AND z.t NOT IN (x.b, x.t)),
+met AS (SELECT request_id, base, target, subject, metric, count(k) FILTER (n = 1) AS direct, count(k) AS found,
+    string_agg(k, ' or ' ORDER BY n, k) AS shown
+  FROM asked LEFT JOIN ways ON b = base AND t = target AND n <= {most} GROUP BY ALL),
+down AS (SELECT base AS db, target AS dt, base AS parent FROM asked JOIN step ON b = target AND t = base
+  UNION ALL SELECT base, target, x.t FROM asked JOIN step x ON x.b = base JOIN step y ON y.b = target AND y.t = x.t WHERE {most} > 1),
+told AS (SELECT *, CASE WHEN direct = 1 OR (direct = 0 AND found = 1) THEN 'ok' WHEN found > 1 THEN 'ambiguous_join'
+    WHEN parent IS NOT NULL THEN 'fan_out' ELSE 'not_joinable' END AS status FROM met LEFT JOIN down ON db = base AND dt = target)
+SELECT request_id, status, CASE WHEN status <> 'ok' THEN subject END AS subject, CASE status
+    WHEN 'ambiguous_join' THEN '"' || subject || '" is ambiguous: ' || base || ' refers to ' || target || ' by more than one key (' || shown || ').'
+    WHEN 'fan_out' THEN '"' || subject || '" would fan out "' || metric || '": one ' || parent || ' row can match many '
+      || target || ' rows. Ask for a metric of ' || target || ' instead.'
+    WHEN 'not_joinable' THEN '"' || subject || '" is on ' || target || ', which ' || base || ' does not reach in {joins}.'
+    END AS reason FROM told"""
+    )
+
+
 def _loss(edge) -> str:
     a, b, c, d = edge
     return (
@@ -710,6 +746,29 @@ ORACLES: dict[str, str] = {
         ("siblings", "events", "orders", "orderstatus"),
         ("ok-filter", "lineitems", "orders", "orderstatus"),
     ]),
+    "Q10_two_hops": """SELECT c_mktsegment AS mktsegment, l_returnflag AS returnflag, round(sum(l_quantity), 2) AS sum_quantity
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2""",
+    "Q10_hops_one": _hops(1),
+    "Q10_hops_three": _hops(3),
+    "Q7_operand": """WITH typed AS (
+        SELECT 'orders' AS t, 'totalprice' AS c, any_value(typeof(o_totalprice)) AS kind FROM orders
+        UNION ALL SELECT 'orders', 'orderdate', any_value(typeof(o_orderdate)) FROM orders
+        UNION ALL SELECT 'orders', 'orderstatus', any_value(typeof(o_orderstatus)) FROM orders
+        UNION ALL SELECT 'lineitems', 'quantity', any_value(typeof(l_quantity)) FROM lineitem
+        UNION ALL SELECT 'customers', 'acctbal', any_value(typeof(c_acctbal)) FROM customer),
+      asked AS (SELECT * FROM (VALUES ('number', 'totalprice', ' 12.5 '), ('no-number', 'totalprice', 'a lot'), ('exponent', 'quantity', '1e3'),
+        ('day', 'orderdate', '1996-02-29'), ('no-day', 'orderdate', '1997-02-29'), ('no-time', 'orderdate', 'yesterday'),
+        ('text', 'orderstatus', '5'), ('parent', 'acctbal', 'rich'), ('none', 'orderstatus', NULL)) AS a(request_id, c, v)),
+      judged AS (SELECT *, v IS NOT NULL AND CASE WHEN kind IN ('DOUBLE', 'BIGINT', 'INTEGER') OR kind LIKE 'DECIMAL%' THEN try_cast(v AS DOUBLE) IS NOT NULL
+        WHEN kind IN ('DATE', 'TIMESTAMP') THEN try_cast(v AS TIMESTAMP) IS NOT NULL ELSE true END AS fits FROM asked JOIN typed USING (c))
+      SELECT request_id, CASE WHEN fits THEN 'ok' ELSE 'wrong_operand' END AS status, CASE WHEN NOT fits THEN c END AS subject,
+        CASE WHEN NOT fits THEN t || '.' || c || ' is ' || CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(kind) END
+          || ' and cannot be compared with "' || coalesce(v, 'null') || '".' END AS reason FROM judged""",
+    "L12_drill_across": """WITH o AS (SELECT c_mktsegment AS m, sum(o_totalprice) AS p, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+      e AS (SELECT c_mktsegment AS m, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1),
+      l AS (SELECT c_mktsegment AS m, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+      SELECT m AS mktsegment, round(o.p, 2) AS sum_totalprice, coalesce(o.n, 0) AS orders_count, coalesce(e.n, 0) AS events_count, round(l.q, 2) AS sum_quantity
+      FROM o FULL JOIN e USING (m) FULL JOIN l USING (m)""",
     "Q11_join_loss": _union(_loss(edge) for edge in LOSS_EDGES),
     "T1_catalog": TERMS_CHAIN + "SELECT term_id, term, kind, entity, text FROM catalog",
     "T2_targets": TERMS_CHAIN + f"SELECT term_id, {TARGET} AS target FROM catalog",

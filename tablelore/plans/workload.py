@@ -629,6 +629,54 @@ def q9_ambiguous(spark, sf_dir):
     return metrics.validate_requests(spark, dataset.model, asked)
 
 
+def hop_requests(spark: SparkSession) -> DataFrame:
+    """Tables two and three keys away, two ways to one table, and a way down half-way."""
+    asked = [
+        ("one-hop", "orders_count", "mktsegment"), ("two-hops", "sum_quantity", "mktsegment"), ("three-hops", "sum_quantity", "regions.name"),
+        ("two-ways", "sum_quantity", "nations.name"), ("half-way-down", "events_count", "orderstatus"), ("down", "customers_count", "orderstatus"),
+    ]
+    rows = [{"request_id": i, "metric": m, "dimensions": [d], "filters": []} for i, m, d in asked]
+    return small_table(
+        spark, rows, "request_id string, metric string, dimensions array<string>, filters array<struct<column:string,op:string>>"
+    )
+
+
+def q10_hops(max_hops: int):
+    def query(spark, sf_dir):
+        return metrics.validate_requests(spark, star(spark, sf_dir).model, hop_requests(spark), max_hops)
+
+    return query
+
+
+def q10_two_hops(spark, sf_dir):
+    """Line items by a column of the customers that their orders belong to."""
+    out = star(spark, sf_dir).metric("sum_quantity", ("mktsegment", "returnflag"), (metrics.Filter("orderstatus", "=", "F"),), max_hops=2)
+    return out.withColumn("sum_quantity", F.round("sum_quantity", 2))
+
+
+OPERANDS = (
+    ("number", "orders_count", "totalprice", " 12.5 "), ("no-number", "orders_count", "totalprice", "a lot"), ("exponent", "sum_quantity", "quantity", "1e3"),
+    ("day", "orders_count", "orderdate", "1996-02-29"), ("no-day", "orders_count", "orderdate", "1997-02-29"), ("no-time", "orders_count", "orderdate", "yesterday"),
+    ("text", "orders_count", "orderstatus", "5"), ("parent", "orders_count", "acctbal", "rich"), ("none", "orders_count", "orderstatus", None),
+)
+
+
+def q7_operand(spark, sf_dir):
+    """Filters whose operand is not of the column's kind."""
+    dataset = star(spark, sf_dir)
+    rows = [{"request_id": i, "metric": m, "dimensions": [], "filters": [{"column": c, "op": ">=", "value": v}]} for i, m, c, v in OPERANDS]
+    asked = small_table(
+        spark, rows, "request_id string, metric string, dimensions array<string>, filters array<struct<column:string,op:string,value:string>>"
+    )
+    return metrics.validate_requests(spark, dataset.model, asked, columns=list_columns(spark, dataset.tables))
+
+
+def l12_drill_across(spark, sf_dir):
+    """Three facts of each market segment, each added up at its own grain."""
+    out = star(spark, sf_dir).metrics("sum_totalprice", "orders_count", "events_count", "sum_quantity", dimensions=("mktsegment",), max_hops=2)
+    return out.withColumns({name: F.round(name, 2) for name in ("sum_totalprice", "sum_quantity")})
+
+
 LOSS_EDGES = (
     ("embeddings", "label", "labels", "doc_id"),
     ("labels", "doc_id", "documents", "doc_id"),
@@ -1257,6 +1305,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "Q8_fan_out": q7_to_q10("fan-out", "fan-out-filter", "ok-parent"),
     "Q9_ambiguous": q9_ambiguous,
     "Q10_not_joinable": q7_to_q10("two-hops", "siblings", "ok-filter"),
+    "Q10_two_hops": q10_two_hops,
+    "Q10_hops_one": q10_hops(1),
+    "Q10_hops_three": q10_hops(3),
+    "Q7_operand": q7_operand,
     "Q11_join_loss": q11_loss,
     "T1_catalog": t1_catalog,
     "T2_targets": t2_targets,
@@ -1289,6 +1341,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "L10_top_count": l10_top_plain,
     "L11_filtered": l11_filtered,
     "L12_two_grains": l12_two_grains,
+    "L12_drill_across": l12_drill_across,
     "L13_inflation": l13_inflation,
     "L14_left_distinct": l14_left_distinct,
     "E1_compare": e1_equal,

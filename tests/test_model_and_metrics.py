@@ -1,11 +1,13 @@
 import pytest
 from datasets import frame
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tablelore.operators import curation, metrics, relationships as rel, semantic
 from tablelore.operators.metrics import Filter, MetricCatalog, MetricRefused, MetricRequest, plan_metric
 from tablelore.plans.dataset import prepare, prepare_folder
 from tablelore.sources.artifacts import write_curation
+from tablelore.tables import list_columns
 from tablelore.types import RELATIONSHIPS, VERDICTS
 
 
@@ -190,26 +192,130 @@ def test_join_loss(spark):
     assert row.rows_lost == 3
 
 
-def test_batch_validation_agrees_with_exceptions(spark, shop):
-    catalog = MetricCatalog.of(shop.model)
-    names = ["plan", "severity", "country", "signup_date", "customers.plan", "colour"]
+def agree(spark, dataset, metrics_, names, filters, max_hops):
+    """Statuses of all requests, the same from the batch as one by one."""
     asked, want = [], {}
-    for metric in ("orders_count", "customers_count", "sum_quantity", "nope"):
+    for metric in metrics_:
         for name in names:
-            for column, op in (("plan", "="), ("quantity", "<"), ("ordered_on", "?"), ("shade", "=")):
-                request_id = f"{metric}/{name}/{column}{op}"
-                asked.append((request_id, metric, [name], [(column, op)]))
+            for column, op, value in filters:
+                request_id = f"{metric}/{name}/{column}{op}{value}"
+                asked.append((request_id, metric, [name], [(column, op, value)]))
                 try:
-                    plan_metric(catalog, MetricRequest(metric, (name,), (Filter(column, op, 1),)))
+                    plan = plan_metric(dataset.catalog, MetricRequest(metric, (name,), (Filter(column, op, value),)), max_hops)
+                    metrics.check_operands(dataset.tables, plan)
                     want[request_id] = ("ok", None)
                 except MetricRefused as refused:
                     want[request_id] = (refused.code, refused.reason)
     frame_ = spark.createDataFrame(
-        asked, "request_id string, metric string, dimensions array<string>, filters array<struct<column:string,op:string>>"
+        asked, "request_id string, metric string, dimensions array<string>, filters array<struct<column:string,op:string,value:string>>"
     )
-    got = {r.request_id: (r.status, r.reason) for r in metrics.validate_requests(spark, shop.model, frame_).collect()}
+    checked = metrics.validate_requests(spark, dataset.model, frame_, max_hops, list_columns(spark, dataset.tables))
+    got = {r.request_id: (r.status, r.reason) for r in checked.collect()}
     assert got == want
-    assert len({code for code, _ in want.values()}) >= 6
+    return {code for code, _ in want.values()}
+
+
+@pytest.mark.parametrize("max_hops", [1, 2, 3])
+def test_batch_validation_agrees_with_exceptions(spark, shop, max_hops):
+    names = ["plan", "severity", "country", "signup_date", "customers.plan", "colour"]
+    filters = [("plan", "=", "max"), ("quantity", "<", "many"), ("quantity", "<", "3"), ("ordered_on", "?", "x"), ("ordered_on", "<", "2024-02-30"), ("shade", "=", "x")]
+    codes = agree(spark, shop, ("orders_count", "customers_count", "sum_quantity", "nope"), names, filters, max_hops)
+    assert len(codes) >= 7
+
+
+def test_batch_takes_requests_without_values(spark, shop):
+    frame_ = spark.createDataFrame(
+        [("a", "orders_count", ["plan"], [("quantity", "<")])], "request_id string, metric string, dimensions array<string>, filters array<struct<column:string,op:string>>"
+    )
+    assert metrics.validate_requests(spark, shop.model, frame_).first().status == "fan_out"
+
+
+def chain(spark):
+    """A measure whose table leads over two keys to one table, over two ways to another, and half-way down to a third."""
+    n = lambda rows: [(i, *r) for i, r in enumerate(rows, 1)]
+    return prepare(spark, {
+        "areas": frame(spark, "id long, area_kind string", n([("land" if i % 3 else "sea",) for i in range(8)])),
+        "towns": frame(spark, "id long, area_id long, town_size string", n([(i % 8 + 1, ("s", "m", None)[i % 3]) for i in range(12)])),
+        "shops": frame(spark, "id long, town_id long, shop_style string", n([(i % 11 + 1 if i else None, ("old", "new", "odd")[i % 3]) for i in range(20)])),
+        "makers": frame(spark, "id long, town_id long, maker_rank string", n([(i % 12 + 1, "xyz"[i % 3]) for i in range(16)])),
+        "visits": frame(spark, "id long, shop_id long, visit_day string", n([(i % 17 + 1, f"d{i % 3}") for i in range(40)])),
+        "sales": frame(spark, "id long, shop_id long, maker_id long, paid double", n([(i % 20 + 1 if i % 9 else None, i % 16 + 1, 1.5 * i) for i in range(1, 80)])),
+    })
+
+
+def test_joins_over_several_keys(spark):
+    dataset = chain(spark)
+    edges_ = set(keys(dataset.relationships))
+    wanted = {"sales.shop_id->shops.id", "sales.maker_id->makers.id", "shops.town_id->towns.id", "makers.town_id->towns.id", "towns.area_id->areas.id", "visits.shop_id->shops.id"}
+    assert edges_ == wanted
+    for max_hops in (1, 2, 3):
+        codes = agree(
+            spark, dataset, ("sales_count", "sum_paid", "visits_count", "shops_count"), ("shop_style", "maker_rank", "town_size", "area_kind", "visit_day"),
+            [("paid", ">", "1"), ("shop_style", "=", "old"), ("town_size", "=", "s")], max_hops,
+        )
+        assert {"ok", "fan_out"} <= codes and ("ambiguous_join" in codes) == (max_hops > 1)
+    with pytest.raises(MetricRefused) as refused:  # by default one join
+        dataset.metric("visits_count", ("town_size",))
+    assert refused.value.code == "not_joinable"
+    with pytest.raises(MetricRefused, match=r"sales.shop_id -> shops.town_id or sales.maker_id -> makers.town_id|sales.maker_id -> makers.town_id or sales.shop_id -> shops.town_id") as refused:
+        dataset.metric("sum_paid", ("town_size",), max_hops=2)
+    assert refused.value.code == "ambiguous_join"
+    with pytest.raises(MetricRefused, match="one shops row can match many visits rows") as refused:
+        dataset.metric("sum_paid", ("visit_day",), max_hops=2)
+    assert refused.value.code == "fan_out"
+
+
+def test_results_over_several_keys(spark):
+    dataset = chain(spark)
+    for name, df in dataset.tables.items():
+        df.createOrReplaceTempView(f"chain_{name}")
+    got = dataset.metric("visits_count", ("area_kind", "town_size", "visit_day"), (Filter("shop_style", "!=", "odd"),), max_hops=3)
+    want = spark.sql("""
+        SELECT area_kind, town_size, visit_day, count(*) AS visits_count FROM chain_visits v JOIN chain_shops s ON v.shop_id = s.id
+        JOIN chain_towns t ON s.town_id = t.id JOIN chain_areas a ON t.area_id = a.id WHERE shop_style <> 'odd' GROUP BY ALL""")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 4
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+
+
+def test_measures_of_several_grains(spark):
+    dataset = chain(spark)
+    for name, df in dataset.tables.items():
+        df.createOrReplaceTempView(f"chain_{name}")
+    got = dataset.metrics("sum_paid", "visits_count", "sales_count", "shops_count", dimensions=("shop_style",))
+    assert got.columns == ["shop_style", "sum_paid", "visits_count", "sales_count", "shops_count"]
+    want = spark.sql("""
+        WITH f AS (SELECT shop_style, sum(paid) AS sum_paid, count(*) AS sales_count FROM chain_sales x JOIN chain_shops s ON x.shop_id = s.id GROUP BY 1),
+        v AS (SELECT shop_style, count(*) AS visits_count FROM chain_visits x JOIN chain_shops s ON x.shop_id = s.id GROUP BY 1),
+        n AS (SELECT shop_style, count(*) AS shops_count FROM chain_shops GROUP BY 1)
+        SELECT shop_style, sum_paid, coalesce(visits_count, 0) visits_count, coalesce(sales_count, 0) sales_count, coalesce(shops_count, 0) shops_count
+        FROM n FULL JOIN f USING (shop_style) FULL JOIN v USING (shop_style) ORDER BY 1""")
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    # a dimension that is null is one group, and a town without sales has none
+    far = dataset.metrics("visits_count", "shops_count", dimensions=("town_size",), max_hops=2)
+    counted = spark.sql("""
+        SELECT town_size, count(v.id) AS visits_count, count(DISTINCT s.id) AS shops_count FROM chain_shops s JOIN chain_towns t ON s.town_id = t.id
+        LEFT JOIN chain_visits v ON v.shop_id = s.id GROUP BY 1 ORDER BY 1 NULLS LAST""")
+    assert [tuple(r) for r in far.collect()] == [tuple(r) for r in counted.collect()]
+    assert [tuple(r) for r in dataset.metrics("sales_count", "visits_count").collect()] == [(79, 40)]
+
+
+def test_several_measures_refused(spark):
+    dataset = chain(spark)
+    for names, dimensions, code in (
+        (("sum_paid", "nope"), (), "unknown_metric"), (("visits_count", "shops_count"), ("visit_day",), "fan_out"), (("visits_count", "sales_count"), ("maker_rank",), "not_joinable"),
+    ):
+        with pytest.raises(MetricRefused) as refused:
+            dataset.metrics(*names, dimensions=dimensions)
+        assert refused.value.code == code
+    with pytest.raises(ValueError):
+        dataset.metrics("sum_paid", "sum_paid")
+    catalog = MetricCatalog(
+        [Row(table="a", name="a_count", agg="count", column=None), Row(table="b", name="b_count", agg="count", column=None)],
+        [Row(table="a", name="x", column="x"), Row(table="b", name="x", column="x")], [],
+    )
+    with pytest.raises(MetricRefused, match="a.x.*b.x") as refused:
+        metrics.plan_metrics(catalog, ["a_count", "b_count"], ["x"])
+    assert refused.value.code == "not_conformed"
 
 
 @pytest.mark.parametrize(
