@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .star import STAR
-from .workload import ENTRIES, KNOWN_KEYS, LOSS_EDGES, PHANTOMS, RUN_SQL
+from .workload import ENTRIES, KNOWN_KEYS, LOSS_EDGES, PHANTOMS, RUN_SQL, ZONED
 
 # column -> (type as Spark names it, kind); the order is the table's column order
 _N, _D, _T, _S = ("bigint", "numeric"), ("double", "numeric"), ("timestamp_ntz", "date"), ("string", "text")
@@ -488,17 +488,26 @@ SELECT request_id, status, CASE WHEN status <> 'ok' THEN subject END AS subject,
 
 _HOP_REQUESTS = (
     ("one-hop", "orders", "customers", "mktsegment", "orders_count"), ("two-hops", "lineitems", "customers", "mktsegment", "sum_quantity"),
-    ("three-hops", "lineitems", "regions", "regions.name", "sum_quantity"), ("two-ways", "lineitems", "nations", "nations.name", "sum_quantity"),
+    ("zone", "events", "nations", "zone", "events_count"), ("two-ways", "lineitems", "nations", "zone", "sum_quantity"),
     ("half-way-down", "events", "orders", "orderstatus", "events_count"), ("down", "customers", "orders", "orderstatus", "customers_count"),
 )
 
 
+def _zoned_cells():
+    for position, (view, (source, names)) in enumerate(sorted(ZONED.items())):
+        for ordinal, (old, new) in enumerate(names.items()):
+            if old == "zone":
+                yield view, position, "(SELECT 'Z' || n_regionkey AS zone FROM nation)", ordinal, old, new, "string", "text"
+            else:
+                yield view, position, source, ordinal, old, new, *RAW_COLUMNS[source][old]
+
+
 def _hops(most: int) -> str:
     """Status of requests over chains of up to three keys; a step down is told for ways of one or two steps."""
     rows = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in _HOP_REQUESTS)
     joins = "one join" if most == 1 else f"{most} joins"
     return (
-        STAR_CHAIN
+        _chain(_zoned_cells())
         + f""",
 asked AS (SELECT * FROM (VALUES {rows}) AS a(request_id, base, target, subject, metric)),
 step AS (SELECT from_table AS b, to_table AS t, from_table || '.' || from_column AS k FROM edges),
@@ -748,21 +757,23 @@ ORACLES: dict[str, str] = {
     ]),
     "Q10_two_hops": """SELECT c_mktsegment AS mktsegment, l_returnflag AS returnflag, round(sum(l_quantity), 2) AS sum_quantity
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2""",
-    "Q10_hops_one": _hops(1),
-    "Q10_hops_three": _hops(3),
+    "Q10_one_hop_by_default": _hops(1),
+    "Q10_paths_of_two": _hops(2),
+    "Q10_paths_of_three": _hops(3),
     "Q7_operand": """WITH typed AS (
         SELECT 'orders' AS t, 'totalprice' AS c, any_value(typeof(o_totalprice)) AS kind FROM orders
         UNION ALL SELECT 'orders', 'orderdate', any_value(typeof(o_orderdate)) FROM orders
         UNION ALL SELECT 'orders', 'orderstatus', any_value(typeof(o_orderstatus)) FROM orders
         UNION ALL SELECT 'lineitems', 'quantity', any_value(typeof(l_quantity)) FROM lineitem
-        UNION ALL SELECT 'customers', 'acctbal', any_value(typeof(c_acctbal)) FROM customer),
+        UNION ALL SELECT 'customers', 'customers.acctbal', any_value(typeof(c_acctbal)) FROM customer),
       asked AS (SELECT * FROM (VALUES ('number', 'totalprice', ' 12.5 '), ('no-number', 'totalprice', 'a lot'), ('exponent', 'quantity', '1e3'),
         ('day', 'orderdate', '1996-02-29'), ('no-day', 'orderdate', '1997-02-29'), ('no-time', 'orderdate', 'yesterday'),
-        ('text', 'orderstatus', '5'), ('parent', 'acctbal', 'rich'), ('none', 'orderstatus', NULL)) AS a(request_id, c, v)),
+        ('text', 'orderstatus', '5'), ('parent', 'customers.acctbal', 'rich'), ('none', 'orderstatus', NULL)) AS a(request_id, c, v)),
       judged AS (SELECT *, v IS NOT NULL AND CASE WHEN kind IN ('DOUBLE', 'BIGINT', 'INTEGER') OR kind LIKE 'DECIMAL%' THEN try_cast(v AS DOUBLE) IS NOT NULL
         WHEN kind IN ('DATE', 'TIMESTAMP') THEN try_cast(v AS TIMESTAMP) IS NOT NULL ELSE true END AS fits FROM asked JOIN typed USING (c))
       SELECT request_id, CASE WHEN fits THEN 'ok' ELSE 'wrong_operand' END AS status, CASE WHEN NOT fits THEN c END AS subject,
-        CASE WHEN NOT fits THEN t || '.' || c || ' is ' || CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(kind) END
+        CASE WHEN NOT fits THEN t || '.' || replace(c, t || '.', '') || ' is '
+          || CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(kind) END
           || ' and cannot be compared with "' || coalesce(v, 'null') || '".' END AS reason FROM judged""",
     "L12_drill_across": """WITH o AS (SELECT c_mktsegment AS m, sum(o_totalprice) AS p, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
       e AS (SELECT c_mktsegment AS m, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY 1),
