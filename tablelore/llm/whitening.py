@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from tablelore.session import write_once
 
-#: Bytes of a block; rows of a panel in blocks; blocks a task multiplies before its sum is handed on.
-BLOCK_BYTES, PANEL, SUMMED = 1 << 19, 1 << 14, 64
+#: Bytes of a block; blocks of a panel, and those that a task makes at once; blocks a task multiplies before its sum is handed on.
+BLOCK_BYTES, PANEL, BLOCKS_A_TASK, SUMMED = 1 << 19, 1 << 14, 16, 64
 #: Components are held to this size, which keeps them exact as floating-point numbers.
 LARGEST = 1 << 52
 #: Components with less than this part of the largest variance have none: their eigenvalue is round-off.
@@ -119,11 +119,14 @@ def _panels(rows: DataFrame, n: int, width: int, centre: Centre) -> Iterator[tup
 
     for start in range(0, n, height * PANEL):
         count = min(n - start, height * PANEL)
-        dealt = min(64, ceil(count / height / 4)) ** 2  # a product deals blocks to the square root of so many partitions
+        tasks = ceil(count / height / BLOCKS_A_TASK)
         panel = rows.where(F.col("index").between(start, start + count - 1))
         number = F.floor((F.col("index") - start) / height).alias("number")
-        dealt_rows = panel.select(number, "index", centre.centred(F.col("x")).alias("x")).repartition(dealt, "number")
-        blocks = dealt_rows.groupBy("number").applyInPandas(block, _BLOCKS)
+        dealt_rows = panel.select(number, "index", centre.centred(F.col("x")).alias("x")).repartition(tasks, "number")
+        # written, as every product reads its blocks several times
+        blocks = write_once(dealt_rows.groupBy("number").applyInPandas(block, _BLOCKS), "blocks")
+        # a product deals blocks to the square root of so many partitions
+        blocks = blocks.repartition(min(64, tasks) ** 2, "at")
         yield start, BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, height, width, count, width), height, width)
 
 
@@ -186,14 +189,15 @@ def whiten(
     fit = _numbered(rows.select("x").distinct(), "fit")
     n, sums = _sums(fit, width)
     centre = Centre(n, sums)
-    covariance = sum(_scatter(blocks) for _, blocks in _panels(fit, n, width, centre)) / n
+    panels = list(_panels(fit, n, width, centre))
+    covariance = sum(_scatter(blocks) for _, blocks in panels) / n
     matrix, values, trace = components(covariance, k)
     found = len(values)
     if not found:
         return spark.createDataFrame([], schema)
     block = ((0, 0), Matrices.dense(width, found, matrix.flatten(order="F").tolist()))
     whitening = BlockMatrix(spark.sparkContext.parallelize([block], 1), width, found, width, found)
-    projected = sum(_scatter(_times(blocks, whitening, 1)) for _, blocks in _panels(fit, n, width, centre)) / n
+    projected = sum(_scatter(_times(blocks, whitening, 1)) for _, blocks in panels) / n
     error = float(np.abs(projected - np.eye(found)).max())
 
     results = None
