@@ -3,12 +3,14 @@
 Columns are aligned once for the whole result, by what they hold. Whole numbers,
 decimals, dates and text must be the same to the last character; only where one of two
 aligned columns is a floating-point one may fractions differ, by a relative amount that
-knows no decimal places. Rows equal in every bit are counted off first, so tolerance is
-only worked out for what is left.
+knows no decimal places. Results are equal when their rows can be paired so that every
+pair is equal in that sense; equal rows are counted first, and only if counts differ are
+close ones paired.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -18,12 +20,8 @@ from pyspark.sql import types as T
 
 from ..session import scratch, write_once
 from ..tables import ref
+from .matching import RELATIVE, WHOLE, unmatched
 
-#: Two fractions are equal when they differ by no more than this part of the larger one.
-RELATIVE = 1e-9
-# Neighbours on a logarithmic scale whose steps are wider than the tolerance.
-_STEP = 1e-8
-_WHOLE = float(1 << 53)
 _PLAIN = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
 
 
@@ -108,7 +106,7 @@ def _cells(df: DataFrame, columns: list[tuple[int, bool]], *keep: Column) -> Dat
 
 
 def _close(a: Column, b: Column) -> Column:
-    whole = (F.rint(a) == a) & (F.rint(b) == b) & (F.abs(a) < _WHOLE) & (F.abs(b) < _WHOLE)
+    whole = (F.rint(a) == a) & (F.rint(b) == b) & (F.abs(a) < WHOLE) & (F.abs(b) < WHOLE)
     near = ~whole & (F.abs(a - b) <= RELATIVE * F.greatest(F.abs(a), F.abs(b)))
     return a.eqNullSafe(b) | F.coalesce(near, F.lit(False))
 
@@ -126,15 +124,13 @@ def _shown(exact: Column, real: Column, pairs: list[tuple[int, int, bool]]) -> C
     return F.array(*cells).cast("array<string>")
 
 
-def _bucket(real: Column) -> Column:
-    """The place of a row's first number on a logarithmic scale; close numbers are at most one step apart."""
-    first = F.get(real, 0)
-    place = F.floor(F.ln(F.abs(first)) / _STEP).cast("long")
-    return F.coalesce(F.when(first != 0, place * 2 + F.when(first < 0, 1).otherwise(0)), F.lit(1 << 62))
+def differences(
+    expected: DataFrame, actual: DataFrame, pairs: list[tuple[int, int, bool]] | None = None, write: Callable[[DataFrame, str], DataFrame] = write_once
+) -> DataFrame:
+    """Rows that a largest pairing leaves over, and how many copies of each: ``(cells, expected, actual)``.
 
-
-def differences(expected: DataFrame, actual: DataFrame, pairs: list[tuple[int, int, bool]] | None = None) -> DataFrame:
-    """Rows whose number of copies differs: ``(cells, expected, actual)``."""
+    ``write`` keeps intermediate tables, which the result is read from; by default they stay in the shared folder.
+    """
     pairs = align(expected, actual) if pairs is None else pairs
     one = lambda name, other: (F.lit(1).alias(name), F.lit(0).alias(other))
     sums = [F.sum("expected").alias("expected"), F.sum("actual").alias("actual")]
@@ -143,26 +139,19 @@ def differences(expected: DataFrame, actual: DataFrame, pairs: list[tuple[int, i
         .unionByName(_cells(actual, [(j, real) for _, j, real in pairs], *one("actual", "expected")))
         .groupBy("exact", "real")
         .agg(*sums)
-        .where("expected <> actual")
-        .withColumn("surplus", F.col("expected") - F.col("actual"))
     )
     n = sum(real for *_, real in pairs)
     if n:
-        # every row goes by the least expected row it is close to
-        left = write_once(counts.select("exact", "real", "surplus", _bucket(F.col("real")).alias("at")), "surplus")
-        wanted = left.where("surplus > 0").select("exact", "at", F.col("real").alias("like"))
-        around = left.withColumn("at", F.explode(F.array(*(F.col("at") + 2 * d for d in (-1, 0, 1)))))
-        met = around.join(wanted, ["exact", "at"]).where(_all_close("real", "like", n))
-        named = met.groupBy("exact", "real").agg(F.min("like").alias("like"))
-        matched = left.join(named.withColumnsRenamed({"exact": "e", "real": "r"}), F.col("exact").eqNullSafe(F.col("e")) & F.col("real").eqNullSafe(F.col("r")), "left")
-        counts = (
-            matched.groupBy("exact", F.coalesce("like", "real").alias("real"))
-            .agg(F.sum("surplus").alias("surplus"))
-            .where("surplus <> 0")
-        )
+        counts = write(counts, "rows")
+        if counts.where("expected <> actual").isEmpty():
+            counts = counts.where("expected <> actual")
+        else:
+            counts = unmatched(counts, n, write)
+    over, short = F.col("actual") - F.col("expected"), F.col("expected") - F.col("actual")
+    counts = counts.where("expected <> actual")
     return counts.select(
         _shown(F.col("exact"), F.col("real"), pairs).alias("cells"),
-        F.greatest("surplus", F.lit(0)).alias("expected"), F.greatest(-F.col("surplus"), F.lit(0)).alias("actual"),
+        F.greatest(short, F.lit(0)).alias("expected"), F.greatest(over, F.lit(0)).alias("actual"),
     )
 
 
@@ -184,7 +173,7 @@ def compare_rows(expected: DataFrame, actual: DataFrame | None, ordered_by: list
         if ordered_by:
             diff = _by_position(expected, actual, ordered_by, pairs, write)
         else:
-            diff = differences(expected, actual, pairs)
+            diff = differences(expected, actual, pairs, write)
         missing, extra = F.col("expected") > F.col("actual"), F.col("actual") > F.col("expected")
         found = diff.agg(
             F.count(F.lit(1)).alias("bad"), F.sum(F.col("actual") - F.col("expected")).alias("gap"),

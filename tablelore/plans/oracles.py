@@ -877,6 +877,15 @@ ORACLES: dict[str, str] = {
         o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 0 END AS o_totalprice FROM orders)
       SELECT (SELECT count(*) FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM a)) AS missing,
         (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM e)) AS extra""",
+    "E1_matching": """
+      WITH sides(test, side, shift) AS (VALUES ('paired crosswise', 'e', 0.0), ('paired crosswise', 'e', 1.5e-9), ('paired crosswise', 'a', 0.8e-9),
+          ('paired crosswise', 'a', 0.8e-9), ('paired in a chain', 'e', 0.0), ('paired in a chain', 'e', 0.9e-9), ('paired in a chain', 'e', 1.8e-9),
+          ('paired in a chain', 'a', 0.0), ('paired in a chain', 'a', 2.7e-9), ('paired in a chain', 'a', 0.9e-9),
+          ('one too far', 'e', 0.0), ('one too far', 'e', 1.5e-9), ('one too far', 'a', 0.8e-9), ('one too far', 'a', 3e-9)),
+      placed AS (SELECT test, side, o_orderkey AS k, v, row_number() OVER (PARTITION BY test, side, o_orderkey ORDER BY v) AS i
+        FROM (SELECT *, o_totalprice * (1 + shift::DOUBLE) AS v FROM orders, sides WHERE o_totalprice > 0))
+      SELECT e.test, bool_and(abs(e.v - a.v) <= 1e-9 * greatest(abs(e.v), abs(a.v))) AS equal
+      FROM placed e JOIN placed a ON e.test = a.test AND e.k = a.k AND e.i = a.i AND e.side = 'e' AND a.side = 'a' GROUP BY 1""",
     "E2_ordered": """
       WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey AS k, o_totalprice AS v FROM orders),
       a AS (SELECT row_number() OVER (ORDER BY -o_orderkey) AS i, -o_orderkey AS k, o_totalprice AS v FROM orders)

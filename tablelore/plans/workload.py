@@ -1161,6 +1161,19 @@ def e1_differences(spark, sf_dir):
     )
 
 
+def e1_matching(spark, sf_dir):
+    """Two close values an order against two others: pairs that no naming after the nearest would find."""
+    orders = raw_table(spark, sf_dir, "orders").where("o_totalprice > 0").select(F.lit(0.0).alias("c"), "o_orderkey", F.col("o_totalprice").alias("v"))
+    near = lambda *shifts: orders.withColumn("v", F.explode(F.array(*(F.col("v") * (1 + F.lit(s)) for s in shifts))))
+    tests = {
+        "paired crosswise": (near(0.0, 1.5e-9), near(0.8e-9, 0.8e-9)),
+        "paired in a chain": (near(0.0, 0.9e-9, 1.8e-9), near(0.0, 2.7e-9, 0.9e-9)),
+        "one too far": (near(0.0, 1.5e-9), near(0.8e-9, 3e-9)),
+    }
+    found = [compare.compare_rows(*pair).select(F.lit(test).alias("test"), "equal") for test, pair in tests.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def e2_ordered(spark, sf_dir):
     orders = raw_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     turned = orders.select("o_totalprice", "o_orderkey")
@@ -1370,6 +1383,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "L14_left_distinct": l14_left_distinct,
     "E1_compare": e1_equal,
     "E1_differences": e1_differences,
+    "E1_matching": e1_matching,
     "E2_ordered": e2_ordered,
     "E3_suite": e3_suite,
     "E4_tally": e4_tally,

@@ -1,10 +1,13 @@
 import json
 import pathlib
+import random
 from decimal import Decimal
+from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
-from tablelore.operators import compare, scoring
+from tablelore.operators import compare, matching, scoring
 from tablelore.plans.dataset import prepare_folder
 from tablelore.plans.readonly import NotReadOnly, is_read_only, run_sql, split_statements
 from tablelore.session import shared_dir
@@ -290,6 +293,60 @@ def test_comparison(spark, expected, actual, equal):
     assert found.equal is equal and (found.detail == "") is equal
 
 
+def most_pairs(expected, actual):
+    """By all ways to pair rows off."""
+    short, long = sorted((expected, actual), key=len)
+    return max((sum(all(map(matching.close, a, b)) for a, b in zip(short, order)) for order in permutations(long, len(short))), default=0)
+
+
+def test_matching_leaves_as_few_as_possible():
+    rng = random.Random(7)
+    for _ in range(600):
+        base, columns = rng.choice([1.0, -3.7, 5e9, 1e-250]), rng.choice([1, 1, 2, 3])
+        value = lambda: rng.choice([base * (1 + rng.randrange(8) * 0.45e-9), base * (1 + rng.randrange(8) * 0.45e-9), None if columns > 1 else base, base + 1])
+        sides = [[tuple(value() for _ in range(columns)) for _ in range(rng.randrange(1, 6))] for _ in range(2)]
+        counts = {r: (sides[0].count(r), sides[1].count(r)) for r in {*sides[0], *sides[1]}}
+        rows = [(r, e, a) for r, (e, a) in counts.items()]
+        left = matching.left_over(rows)
+        pairs = most_pairs(*sides)
+        assert sum(e for _, e, _ in left) == len(sides[0]) - pairs and sum(a for *_, a in left) == len(sides[1]) - pairs
+        assert all(e <= counts[r][0] and a <= counts[r][1] for r, e, a in left)
+        if columns == 1:  # both ways agree
+            assert sum(e for _, e, _ in matching._augmented(rows)) == len(sides[0]) - pairs
+
+
+def test_augmenting_takes_copies():
+    step = 0.9e-9
+    rows = [((1.0 + k * step, 2.0 + k % 2 * 2 * step), 1000 * (k % 3), 1000 * ((k + 1) % 3)) for k in range(30)]
+    left = matching.left_over(rows)
+    assert sum(e for _, e, _ in left) < sum(max(0, e - a) for _, e, a in rows)
+
+
+CLOSE_ROWS = [
+    ([(1.0,), (1 + 1.5e-9,)], [(1 + 0.8e-9,), (1 + 0.8e-9,)], True),
+    ([(1.0,), (1 + 0.9e-9,)], [(1.0,), (1 - 0.9e-9,)], True),  # the equal rows must not be taken for each other
+    ([(1.0,), (1 + 1.5e-9,)], [(1 + 0.8e-9,), (1 + 3e-9,)], False),
+    ([(0.0, 5.5)] * 3, [(0.0, 5.5 * (1 + 1e-10))] * 3, True),
+    ([(7e9 + 0.5,), (7e9 + 1.0,)], [(7e9 + 1.0,), (7e9 + 2.0,)], True),  # whole numbers only equal themselves, fractions either neighbour
+    ([(7e9,), (7e9 + 1.0,)], [(7e9 + 1.0,), (7e9 + 2.0,)], False),
+]
+
+
+@pytest.mark.parametrize("expected, actual, equal", CLOSE_ROWS)
+def test_pairs_under_tolerance(spark, expected, actual, equal):
+    schema = ", ".join(f"c{i} double" for i in range(len(expected[0])))
+    for a, b in ((expected, actual), (actual, expected)):
+        assert compare.compare_rows(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).first().equal is equal
+
+
+def test_many_rows_with_a_constant_first_column(spark):
+    rows = spark.range(12_000).select(F.lit(0.0).alias("c"), F.lit(1.5).alias("d"), (F.col("id") * 1.1 + 1e6).alias("v"), (F.col("id") % 7 + 0.1).alias("w"), F.lit(2.5).alias("x"))
+    moved = rows.withColumn("v", F.col("v") * (1 + F.lit(2e-13)))
+    assert compare.compare_rows(rows, moved).first().equal
+    found = compare.differences(rows, moved.withColumn("w", F.when(F.col("v") > 1e6 + 13_000, F.col("w") + 1).otherwise(F.col("w"))))
+    assert found.agg(F.sum("expected"), F.sum("actual")).first() == (181, 181)
+
+
 def test_what_differs_is_told(spark):
     a, b = spark.createDataFrame([(1, 8.25), (2, 0.5)], "k int, v double"), spark.createDataFrame([(1, 8.5), (2, 0.5), (3, 1.0)], "k int, v double")
     detail = compare.compare_rows(a, b).first().detail
@@ -301,11 +358,14 @@ def test_what_differs_is_told(spark):
 
 def test_no_copies_are_left_behind(spark):
     def files_below():
-        return {str(p) for p in pathlib.Path(shared_dir(spark).removeprefix("file:")).rglob("positions-*")}
+        return {str(p) for p in pathlib.Path(shared_dir(spark).removeprefix("file:")).iterdir()}
 
     before = files_below()
     a = spark.range(20)
     assert compare.compare_rows(a, a, ["id"]).first().equal
+    b = a.selectExpr("id + 0.5D as v")
+    assert compare.compare_rows(b, b.selectExpr("v * (1 + 1e-12) as v")).first().equal
+    assert not compare.compare_rows(b, b.selectExpr("v + 1 as v")).first().equal
     assert files_below() == before
 
 
