@@ -1,7 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of the last two lines decides where a chunk ends, so a
-line put in or taken out moves only the boundaries next to it. Chunks of several lines
+line put in or taken out moves only the boundaries next to it. Between equal lines such a
+hash has nothing to go by; a run of them is cut off from what is around it, and into
+pairs, so that a repeated line is found whatever the length of its runs. Chunks of several lines
 that occur more than once in the corpus are found by hash, compared byte by byte (they
 are grouped and joined on their whole text), and removed everywhere but at their first
 place. Everything is DataFrame expressions.
@@ -18,7 +20,8 @@ from tablelore.session import write_once
 
 #: A chunk ends after one line in so many, on average.
 MEAN_LINES = 4
-_BASE = 1_000_003
+#: The rolling hash is taken modulo a prime, so that no regular relation of two lines decides it.
+_PRIME, _BASE, _MIX = 2_147_483_647, 31, 48_271
 _HEX = 7
 
 
@@ -30,13 +33,24 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _stops(lines: Column, mean_lines: int) -> Column:
     """The numbers of the last lines of chunks."""
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, _HEX), 16, 10).cast("long"))
-    last = F.size(lines) - 1
+    n = F.size(lines)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(lines, i) != F.get(lines, i - 1)))
 
-    def ends(h: Column, i: Column) -> Column:
-        rolled = F.get(h, i) + _BASE * F.coalesce(F.get(h, i - 1), F.lit(0))
-        return (i == last) | (F.pmod(rolled, F.lit(mean_lines)) == 0)
+    def chosen(h: Column, i: Column) -> Column:
+        rolled = F.pmod(_BASE * F.get(h, i) + F.coalesce(F.get(h, i - 1), F.lit(0)), F.lit(_PRIME))
+        return F.pmod(F.pmod(rolled * _MIX, F.lit(_PRIME)), F.lit(mean_lines)) == 0
 
-    return _let(hashes, lambda h: F.filter(F.sequence(F.lit(0), last), lambda i: ends(h, i)))
+    def of_runs(h: Column, starts: Column) -> Column:
+        def of_run(start: Column, r: Column) -> Column:
+            after = F.coalesce(F.get(starts, r + 1), n)
+            end, next_end = after - 1, F.coalesce(F.get(starts, r + 2), n) - 1
+            pairs = F.filter(F.sequence(start, end), lambda i: (i == end) | (((i - start) % 2 == 1) & (i != end - 1)))
+            single = (after == n) | (next_end > after) | chosen(h, start)
+            return F.when(end > start, pairs).when(single, F.array(start)).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(starts, of_run))
+
+    return _let(hashes, lambda h: _let(starts, lambda s: of_runs(h, s)))
 
 
 def pieces(text: Column, mean_lines: int = MEAN_LINES) -> Column:

@@ -148,8 +148,16 @@ WITH lines AS (
     FROM documents WHERE text IS NOT NULL
 ), hashed AS (
     SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines
+), paired AS (
+    SELECT *, lag(h) OVER w AS before, line IS NOT DISTINCT FROM lag(line) OVER w AS same FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+    SELECT *, sum((NOT same)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM paired
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS j, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs
 ), marked AS (
-    SELECT *, (h + 1000003 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS stop FROM hashed
+    SELECT *, CASE WHEN n > 1 THEN j = n OR (j % 2 = 0 AND j <> n - 1)
+        ELSE coalesce(lead(n) OVER (PARTITION BY doc_id ORDER BY i), 1) > 1
+            OR ((31 * h + coalesce(before, 0)) % 2147483647 * 48271) % 2147483647 % 4 = 0 END AS stop FROM placed
 ), numbered AS (
     SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
     FROM marked

@@ -52,8 +52,8 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, bits)``: the fingerprint of every row, as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, bits)``: the fingerprint of every row, as a signed long; columns in ``keep`` stay."""
 
     @F.pandas_udf("long")
     def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             whole = np.fromiter((simhash(t, shingle) for t in texts), dtype=np.uint64, count=len(texts))
             yield pd.Series(whole.view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), bits(F.col(text_col).cast("string")).alias("bits"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, bits(F.col(text_col).cast("string")).alias("bits"))
 
 
 def _counts(bits) -> list:
@@ -128,6 +128,12 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
     return pairs.select("left", "right").mapInPandas(compare, "u long, v long")
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes(bits, ...)`` with the ``root`` fingerprint of their component."""
+    roots = connected_components(links(classes.select("bits"), radius)).select(F.col("node").alias("bits"), "root")
+    return write_once(classes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits")), "rooted")
+
+
 def near_duplicates(
     docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -143,9 +149,7 @@ def near_duplicates(
     """
     rows = write_once(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = write_once(rows.groupBy("bits").agg(F.min("doc_id").alias("least")), "classes")
-    roots = connected_components(links(classes, radius)).select(F.col("node").alias("bits"), "root")
-    rooted = classes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    rooted = write_once(rooted, "rooted")
+    rooted = _rooted(classes, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.join(ids, "root").select("bits", "component_id")
     return rows.join(members, "bits").select(
@@ -156,14 +160,21 @@ def near_duplicates(
 def one_of_each(
     docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of every near-duplicate group: that with the smallest doc_id.
+    """``docs`` with one row of every component of near-duplicate texts.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a
-    doc_id cannot be named as anyone's duplicate and stay.
+    That is a row with the smallest doc_id; of several, that with the smallest fingerprint,
+    then the smallest hash of its text. Rows without a doc_id come last, but are components
+    like any other. Texts that share a doc_id are judged each by itself. Rows that repeat
+    both doc_id and text are one row. An empty table gives an empty table.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    found = near_duplicates(docs, radius, shingle, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stay")).distinct()
+    columns = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(columns, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"))
+    text = F.col("row").getField(text_col)
+    prints = write_once(fingerprints(rows.select("doc_id", "version", text.alias("text")), shingle, keep=("version",)), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "bits", "version")
+    # equal fingerprints are combined before any join, so that no group of copies is a hot key
+    rooted = _rooted(write_once(prints.groupBy("bits").agg(F.min(place).alias("place")), "classes"), radius)
+    stay = rooted.groupBy("root").agg(F.min("place").alias("p")).select(F.col("p.doc_id").alias("stay"), F.col("p.version").alias("stay_version"))
     # planned as a shuffle at every size: what stays grows with the documents
-    named = rows.join(stay.hint("merge"), F.col("doc_id") == F.col("stay"), "left_semi").dropDuplicates(["doc_id"])
-    return named.select("row.*").union(rows.where("doc_id is null").select("row.*"))
+    same = F.col("doc_id").eqNullSafe(F.col("stay")) & (F.col("version") == F.col("stay_version"))
+    return rows.join(stay.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "version"]).select("row.*")

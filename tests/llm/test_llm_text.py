@@ -398,6 +398,35 @@ def test_pipeline(spark):
         assert b["bin_length"].iloc[0] == min(x for x in packing.LENGTHS if x >= b["length"].sum())
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, rows without ids, repeated ids and other columns: every stage has a result, of the columns of documents."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, doc string"
+    rng = random.Random(33)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(6))
+    made = ["\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(8)) for _ in range(5)]
+    text = made.__getitem__
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (None, text(3)), (None, None), (2, None), (3, ""), (4, text(4) + " mail a.b@c.example"), (5, text(4) + " mail a.b@c.example")]
+    full = spark.createDataFrame([(i, t, "en", None, None, "r", "k", "d") for i, t in rows], kinds)
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+            found = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+            if docs is not full:
+                assert found == [], name
+            elif name == "quality_rules":
+                assert len(found) == 6 and all(t for _, t in found)
+            elif name == "line_dedup":
+                assert len(found) == len(rows) and found.count((1, text(1))) == 2
+            elif name == "simhash_near_dedup":
+                assert [f for f in found if f[1]] == sorted([(1, text(1)), (1, text(2)), (None, text(3)), (4, rows[7][1])], key=str)
+            else:
+                assert len(found) == len(rows) and sum("[EMAIL]" in (t or "") for _, t in found) == 2
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        words = sum(len((t or "").split()) for _, t in rows) if docs is full else 0
+        assert sum(r["length"] for r in packed.collect()) == words
+
+
 def test_bpe_query(spark, library):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op6_bpe_dp(spark, SF).collect()}
