@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns
-a DataFrame. All but the last return the columns of ``documents``.
+a DataFrame. All but the last return the columns of ``documents``; further columns of ``docs``
+are dropped. Every stage takes null, empty and very long texts, rows without a doc_id,
+repeated rows and ids, and empty tables.
 """
 
 from __future__ import annotations
@@ -23,23 +25,23 @@ def _with_text(found: DataFrame, text: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; a null or empty text has no words and goes."""
     field = crf_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return crf_quality.judge(docs, field).where("kept").select(*(f"row.{c}" for c in COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that an earlier place already has; a text may become empty."""
+    """Documents without the chunks of lines that an earlier place already has; a text may become empty, a null one stays null."""
     return _with_text(line_chunks.remove_repeated_chunks(docs), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One row of every group of near duplicates, texts without words being one group; the smallest doc_id stays, none comes last."""
     return simhash_tiles.one_of_each(docs, radius=2, shingle=3).select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data, and terms that disclose it, masked."""
+    """Documents with personal data, and terms that disclose it, masked; a null text stays null."""
     return _with_text(pii.find_private(docs), "sanitised")
 
 
