@@ -1,15 +1,17 @@
 """Personal data, and terms that give it away by co-occurrence.
 
 Patterns find the protected entities themselves: addresses and numbers. Corpus statistics
-then tell which other terms reveal one of them. With probabilities estimated from counts
-of documents, an entity ``c`` carries the information ``IC(c) = -log2 p(c)``, and a term
-``t`` in the same document discloses ``PMI(c; t) = log2 p(c, t) / (p(c) p(t))`` of that. A term
-that discloses at least a given share of an entity's information is generalised to its
-kind of word, or removed where that kind would still disclose as much.
-
-Counts cover the whole corpus. The terms to be counted, and later those to be masked,
-reach the tasks as a bit table of bounded size; what passes it by chance is removed by an
-exact join, so the size of the sets never matters for the result.
+then tell which other terms reveal one of them. An entity ``c`` carries the information
+``IC(c) = -log2 p(c)``, and a term ``t`` discloses ``PMI(c; t) = log2 p(c | t) / p(c)`` of it, so
+``-log2 p(c | t)`` bits of doubt are left. ``p(c | t)`` is estimated from the documents that hold
+``t``, and as most terms are rare, by a lower confidence bound: a word that occurs once,
+somewhere in a document with an entity, says nothing yet. A document in which both stand
+next to each other counts twice. A term that leaves little doubt about an entity is
+generalised to its kind of word, or removed where that kind would still disclose it.
+
+Counts cover the whole corpus, equal texts once. Sets of terms and entities reach the tasks
+as bit tables of bounded size; what passes them by chance is removed by an exact join, so
+the size of the sets never matters for the result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -30,14 +33,14 @@ from tablelore.session import write_once
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the spans that the method adds.
 ADDED = ("general", "removed")
-#: Words on either side of an entity that count as near it; None for the whole document,
-#: the unit in which the terms' own frequencies are counted.
-NEAR = None
-#: Documents in which a term must stand near an entity before it can be said to
-#: reveal it; with 1 every term near an entity is judged.
-SUPPORT = 3
-#: Share of an entity's information from which on a term discloses it.
-DISCLOSURE = 0.95
+#: Words on either side of an entity that stand next to it.
+NEAR = 3
+#: Bits of doubt about an entity that a term which discloses it leaves at most.
+DOUBT = 1.0
+#: One-sided confidence of the estimate, in standard deviations: 90 %.
+CONFIDENCE = 1.2816
+#: Entities in more documents than this meet every term that may disclose one, others only rare ones.
+HOT = 64
 #: Bits of the table of terms that is sent to the tasks: for each term, at least, and at most.
 TERM_BITS = 1 << 10
 LEAST_BITS = 1 << 20
@@ -112,34 +115,24 @@ def _free(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
     return all(end <= a or start >= b for _, a, b in spans)
 
 
-def _entity_terms(text: str, near: int | None) -> dict[str, set[str]]:
-    """The terms near every entity of a document, kinds of words among them, and the empty term."""
+def _found(text: str) -> tuple[dict[str, set[str]], set[str]]:
+    """The terms next to each entity of a document, and all its terms outside of entities."""
     spans = base_spans(text)
     if not spans:
-        return {}
+        return {}, set()
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    if near is None:
-        taken = np.zeros(len(text) + 1, dtype=bool)
-        for _, a, b in spans:
-            taken[a:b] = True
-        found = {term_of(text[a:b]) for a, b in words if not taken[a:b].any()} - {""}
-        found |= {_CLASS + kind_of(t) for t in found} | {""}
-        return dict.fromkeys((entity(kind, text[a:b]) for kind, a, b in spans), found)
-    terms = [term_of(text[a:b]) if _free(a, b, spans) else "" for a, b in words]
+    taken = np.zeros(len(text) + 1, dtype=np.int64)
+    for _, a, b in spans:
+        taken[a:b] = 1
+    before = np.concatenate(([0], np.cumsum(taken)))
+    terms = [term_of(text[a:b]) if before[a] == before[b] else "" for a, b in words]
     starts = np.asarray([a for a, _ in words])
-    out: dict[str, set[str]] = {}
+    next_to: dict[str, set[str]] = {}
     for kind, a, b in spans:
         first = int(np.searchsorted(starts, a, side="right")) - 1
         last = int(np.searchsorted(starts, b, side="left"))
-        found = set(terms[max(0, first - near) : last + near]) - {""}
-        found |= {_CLASS + kind_of(t) for t in found} | {""}
-        out.setdefault(entity(kind, text[a:b]), set()).update(found)
-    return out
-
-
-def terms_near(text: str, near: int | None) -> set[tuple[str, str]]:
-    """``(entity, term)`` of a document, kinds of words among the terms; every entity with the empty term too."""
-    return {(name, t) for name, terms in _entity_terms(text, near).items() for t in terms}
+        next_to.setdefault(entity(kind, text[a:b]), set()).update(t for t in terms[max(0, first - NEAR) : last + NEAR] if t)
+    return next_to, set(terms) - {""}
 
 
 def _bit_table(rows: DataFrame, key: Column) -> np.ndarray:
@@ -191,83 +184,115 @@ def _document_terms(text: str) -> list[str]:
     return list({term_of(w) for w in set(text.split())} - {""})
 
 
-def revealing_terms(
-    docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False
-) -> DataFrame:
-    """``term, action``: what to do with the terms that disclose some entity in ``docs(text)``.
+def least_share(both: Column, n: Column) -> Column:
+    """Lower confidence bound (Wilson's) of a share of which ``both`` of ``n`` were seen."""
+    z2 = CONFIDENCE**2
+    p = both / n
+    return (p + z2 / (2 * n) - CONFIDENCE * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
-    With ``distinct``, texts that are equal count once.
-    """
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[tuple[str, str]] = Counter()
+def _discloses(both: Column, n: Column, doubt: float) -> Column:
+    """Whether knowing the term leaves at most ``doubt`` bits of an entity's information."""
+    return least_share(both.cast("double"), n.cast("double")) >= 2.0**-doubt
 
-        def rows() -> pd.DataFrame:
-            out = [(e, t, kind_of(t), n) for (e, t), n in found.items()]
-            found.clear()
-            return pd.DataFrame(out, columns=["entity", "term", "kind", "n"])
-
-        for batch in batches:
-            for text in single(batch):
-                for e, terms in _entity_terms(text, near).items():
-                    found.update((e, t) for t in terms)
-                    if len(found) >= HELD:
-                        yield rows()
-        yield rows()
 
-    texts = docs.select("text").where("text is not null")
-    texts, single = _once(texts) if distinct else (texts, lambda batch: batch["text"])
-    joint = texts.mapInPandas(pairs, "entity string, term string, kind string, n long")
-    joint = joint.groupBy("entity", "term", "kind").agg(F.sum("n").alias("both"))
-    joint = write_once(joint, "entity-terms")
-    alone = joint.where("term = ''").select("entity", F.col("both").alias("n_entity"))
-    likely = joint.where((F.col("both") >= support) & (F.col("term") != "") & ~F.col("term").startswith(_CLASS))
-    wanted = write_once(likely.select("term").distinct(), "candidate-terms")
-    table = _bit_table(wanted, F.xxhash64("term"))
+def _counted(texts: DataFrame, single, of_text: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """What ``of_text`` finds in the texts, counted: rows of ``schema`` with their number ``n``."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter[str] = Counter()
+        found: Counter[tuple] = Counter()
 
         def rows() -> pd.DataFrame:
-            out = list(n.items())
-            n.clear()
-            return pd.DataFrame(out, columns=["term", "n"])
+            out = pd.DataFrame([(*key, n) for key, n in found.items()], columns=[*names, "n"])
+            found.clear()
+            return out
 
         for batch in batches:
             for text in single(batch):
-                terms = _document_terms(text)
-                n[""] += 1
-                n.update(_CLASS + k for k in {kind_of(t) for t in terms})
-                n.update(_known(terms, table))
-                if len(n) >= HELD:
-                    yield rows()
+                for key in of_text(text):
+                    found[key] += 1
+                    if len(found) >= HELD:
+                        yield rows()
         yield rows()
 
-    frequency = texts.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    frequency = frequency.join(wanted.withColumn("exact", F.lit(True)), "term", "left")
-    frequency = write_once(frequency.where((F.col("term") == "") | F.col("term").startswith(_CLASS) | F.col("exact")).drop("exact"), "term-counts")
-    total = frequency.where("term = ''").agg(F.sum("n_term")).first()[0] or 0
-    kinds = {r["term"]: r["n_term"] for r in frequency.where(F.col("term").startswith(_CLASS)).collect()}  # three rows
+    return texts.mapInPandas(count, f"{schema}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
-    def degree(both, n_entity, n_term):
-        information = -F.log2(n_entity / F.lit(float(max(1, total))))
-        shared = F.log2(both * F.lit(float(max(1, total))) / (n_entity * n_term))
-        return F.when(information > 0, shared / information)
 
-    scored = likely.join(frequency, "term").join(alone, "entity").where(
-        degree(F.col("both"), F.col("n_entity"), F.col("n_term")) >= disclosure
-    )
+def revealing_terms(docs: DataFrame, doubt: float = DOUBT) -> DataFrame:
+    """``term, action``: what to do with the terms that disclose some entity in ``docs(text)``; equal texts count once.
+
+    Few pairs need counting. A term can only disclose an entity in ``n`` documents if it is
+    in no more than ``times * n``, and if they are never next to each other, only if they
+    share ``fewest`` documents.
+    """
+    texts, single = _once(docs.select("text").where("text is not null"))
+    share = 2.0**-doubt
+    enough = ceil(share * CONFIDENCE**2 / (1 - share))  # sightings without a miss
+    times, fewest = 2 / share, min(enough, 1 + ceil((enough - 1) / 2))
+
+    def alone(text: str) -> Iterator[tuple[str, str]]:
+        next_to, terms = _found(text)
+        yield from (("entity", e) for e in next_to)
+        yield from (("term", t) for t in terms)
+
+    seen = write_once(_counted(texts, single, alone, "what string, name string"), "entity-documents")
+    entities = seen.where("what = 'entity'").select(F.col("name").alias("entity"), F.col("n").alias("n_entity"))
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    wanted = write_once(seen.where((F.col("what") == "term") & (F.col("n") <= times * most)).select(F.col("name").alias("term")), "candidate-terms")
+    candidates = _bit_table(wanted, F.xxhash64("term"))
+
+    def frequency_of(text: str) -> Iterator[tuple[str]]:
+        terms = _document_terms(text)
+        yield from ((_CLASS + k,) for k in {kind_of(t) for t in terms})
+        yield from ((t,) for t in _known(terms, candidates))
+
+    counts = write_once(_counted(texts, single, frequency_of, "term string"), "term-counts")
+    kinds = {r["term"]: r["n"] for r in counts.where(F.col("term").startswith(_CLASS)).collect()}  # three rows
+    frequency = counts.join(wanted, "term", "left_semi").where(F.col("n") <= times * most)
+    frequency = write_once(frequency.select("term", F.col("n").alias("n_term")), "term-frequency")
+    tables = {
+        name: _bit_table(rows, F.xxhash64(column))
+        for name, rows, column in (
+            ("eligible", frequency.select("term"), "term"),
+            ("several", frequency.where(F.col("n_term") >= fewest).select("term"), "term"),
+            ("rare", frequency.where((F.col("n_term") >= fewest) & (F.col("n_term") <= times * HOT)).select("term"), "term"),
+            ("repeated", entities.where(F.col("n_entity") >= fewest).select("entity"), "entity"),
+            ("hot", entities.where(F.col("n_entity") > HOT).select("entity"), "entity"),
+        )
+    }
+
+    def pairs(text: str) -> Iterator[tuple[str, str, bool]]:
+        next_to, terms = _found(text)
+        if not next_to:
+            return
+        repeated, hot = set(_known(list(next_to), tables["repeated"])), set(_known(list(next_to), tables["hot"]))
+        rare = list(_known(list(terms), tables["rare"])) if repeated - hot else []
+        several = list(_known(list(terms), tables["several"])) if hot else []
+        classes = {_CLASS + kind_of(t) for t in terms}
+        for e, around in next_to.items():
+            yield from ((e, c, False) for c in classes)
+            yield from ((e, t, True) for t in _known(list(around), tables["eligible"]))
+            far = several if e in hot else rare if e in repeated else ()
+            yield from ((e, t, False) for t in far if t not in around)
+
+
+    @F.pandas_udf("string")
+    def kind(terms: pd.Series) -> pd.Series:
+        return terms.map(kind_of)
+
+    joint = _counted(texts, single, pairs, "entity string, term string, near boolean")
+    near = F.sum(F.when(F.col("near"), F.col("n")).otherwise(0))
+    joint = write_once(joint.groupBy("entity", "term").agg(F.sum("n").alias("both"), near.alias("near")), "entity-terms")
+    judged = joint.join(frequency, "term").where(_discloses(F.col("both") + F.col("near"), F.col("n_term") + F.col("near"), doubt))
+    judged = judged.select("entity", "term", F.concat(F.lit(_CLASS), kind("term")).alias("kind"))
     classes = joint.where(F.col("term").startswith(_CLASS)).select("entity", F.col("term").alias("kind"), F.col("both").alias("kind_both"))
     n_kind = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for k, n in kinds.items()), F.lit(1))
-    judged = scored.withColumn("kind", F.concat(F.lit(_CLASS), "kind")).join(classes, ["entity", "kind"], "left")
-    still = F.coalesce(degree(F.col("kind_both"), F.col("n_entity"), n_kind) >= disclosure, F.lit(False))
-    return judged.groupBy("term").agg(F.when(F.max(still), "removed").otherwise("general").alias("action"))
+    still = F.coalesce(_discloses(F.col("kind_both"), n_kind, doubt), F.lit(False))
+    return judged.join(classes, ["entity", "kind"], "left").groupBy("term").agg(F.when(F.max(still), "removed").otherwise("general").alias("action"))
 
 
-def find_private(
-    docs: DataFrame, near: int | None = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE, distinct: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
+def find_private(docs: DataFrame, doubt: float = DOUBT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as a struct ``row``, with its spans and its sanitised text beside it.
 
     ``doc_id, n_email, n_ip, n_card, n_phone, base, spans, sanitised``. ``base`` and ``spans``
@@ -277,8 +302,8 @@ def find_private(
     at all.
 
     A null text counts as empty and stays null when sanitised. Null ids pass through.
-    Repeated rows each give a row and each count in the statistics, as copies do, unless
-    ``distinct`` is set. An empty table gives an empty table. Columns of any name are carried in ``row`` without a clash.
+    Repeated rows each give a row, but count once in the statistics, as equal texts do. An
+    empty table gives an empty table. Columns of any name are carried in ``row`` without a clash.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(
@@ -286,7 +311,7 @@ def find_private(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"),
     )
     text = F.col("row").getField(text_col).cast("string")  # read from the row, so that it moves once
-    masked = write_once(revealing_terms(rows.select(text.alias("text")), near, support, disclosure, distinct), "revealing-terms")
+    masked = write_once(revealing_terms(rows.select(text.alias("text")), doubt), "revealing-terms")
     table = _bit_table(masked, F.xxhash64("term"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

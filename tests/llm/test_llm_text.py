@@ -184,29 +184,39 @@ def test_long_texts_take_linear_time(text):
     pii.base_spans(text)
 
 
-def plain_revealing(texts, near, support, disclosure):
-    """By the definition, over all pairs of entities and terms."""
-    texts = [t for t in texts if t is not None]
-    pairs, terms, kinds = {}, {}, {}
-    for t in texts:
-        for p in pii.terms_near(t, near):
-            pairs[p] = pairs.get(p, 0) + 1
-        own = {pii.term_of(w) for w in t.split()} - {""}
-        for x in own:
-            terms[x] = terms.get(x, 0) + 1
-        for k in {pii.kind_of(x) for x in own}:
-            kinds[k] = kinds.get(k, 0) + 1
-
-    def degree(both, c, t):
-        information = -np.log2(c / len(texts))
-        return np.log2(both * len(texts) / (c * t)) / information if information > 0 else -1
+def plain_term(word):
+    return word.lower().strip(string.punctuation)
+
+
+def plain_revealing(texts, doubt=1.0, near=3, z=1.2816):
+    """By the definition, over all pairs of entities and terms, with nothing taken from the module."""
+    docs, kind = [], lambda t: "number" if t.isdigit() else "word" if t.isalpha() else "code"
+    for text in dict.fromkeys(t for t in texts if t is not None):
+        spans, words = plain_spans(text), [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", text)]
+        free = [not any(a < e and s < b for _, s, e in spans) for a, b, _ in words]
+        terms = {plain_term(w) for (_, _, w), f in zip(words, free) if f} - {""}
+        entities = {}
+        for k, s, e in spans:
+            name = (k, text[s:e].lower() if k in ("email", "ip") else "".join(c for c in text[s:e] if c.isdigit()))
+            held = [i for i, (a, b, _) in enumerate(words) if a < e and s < b]
+            beside = [i for i in (*range(held[0] - near, held[0]), *range(held[0], held[-1] + 1), *range(held[-1] + 1, held[-1] + 1 + near)) if 0 <= i < len(words) and free[i]]
+            entities.setdefault(name, set()).update({plain_term(words[i][2]) for i in beside} - {""})
+        docs.append((entities, terms, {plain_term(w) for *_, w in words} - {""}))
+
+    def least(both, n):
+        p = both / n
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
 
     out = {}
-    for (c, t), both in pairs.items():
-        if t and not t.startswith("\x00") and both >= support and degree(both, pairs[c, ""], terms[t]) >= disclosure:
-            k = pii.kind_of(t)
-            still = degree(pairs[c, "\x00" + k], pairs[c, ""], kinds[k]) >= disclosure
-            out[t] = "removed" if still or out.get(t) == "removed" else "general"
+    for e in {e for entities, *_ in docs for e in entities}:
+        mine = [d for d in docs if e in d[0]]
+        for t in {t for _, terms, _ in mine for t in terms}:
+            beside = sum(t in entities[e] for entities, *_ in mine)
+            both, alone = sum(t in terms for _, terms, _ in mine), sum(t in every for *_, every in docs)
+            if least(both + beside, alone + beside) >= 2**-doubt:
+                same = sum(any(kind(x) == kind(t) for x in terms) for _, terms, _ in mine)
+                still = least(same, sum(any(kind(x) == kind(t) for x in every) for *_, every in docs)) >= 2**-doubt
+                out[t] = "removed" if still or out.get(t) == "removed" else "general"
     return out
 
 
@@ -217,11 +227,29 @@ def private_texts():
     return texts + ["Zanzibar, without an address", "quux7z! alone", "anna@mail.example.com of the 10.0.0.255"]
 
 
-def test_revealing_terms(spark):
+def revealing(spark, texts, **how):
+    return {r["term"]: r["action"] for r in pii.revealing_terms(frame(spark, texts), **how).collect()}
+
+
+@pytest.mark.parametrize("doubt", [0.5, 1.0, 1.6])
+@pytest.mark.parametrize("hot", [64, 2])
+def test_revealing_terms(spark, monkeypatch, doubt, hot):
+    monkeypatch.setattr(pii, "HOT", hot)
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" if k % 3 else f"w{k}a" for k in range(40)] + ["the"] * 30
+    people = [f"user{k}@mail.example.com" for k in range(8)] + ["10.0.0.7", "+1 (626) 555-5759"]
     texts = private_texts()
-    got = {r["term"]: r["action"] for r in pii.revealing_terms(frame(spark, texts), disclosure=0.55).collect()}
-    assert got == plain_revealing(texts, pii.NEAR, pii.SUPPORT, 0.55)
-    assert got["zanzibar"] == "general" and got["quux7z"] == "removed" and "the" not in got and "of" not in got
+    for _ in range(120):
+        who = rng.randrange(30)
+        held = rng.choices(vocabulary, k=rng.randrange(1, 14))
+        if who < len(people):
+            held += [f"name{who}"] * (rng.random() < 0.9) + [people[who]] * rng.randrange(1, 3)
+            rng.shuffle(held)
+        texts.append(" ".join(held))
+    assert revealing(spark, texts, doubt=doubt) == plain_revealing(texts, doubt)
+    if doubt == 1.0:
+        got = revealing(spark, private_texts())
+        assert got == plain_revealing(private_texts()) and {"zanzibar", "quux7z"} <= set(got) and not {"the", "of", "plain"} & set(got)
 
 
 def test_find_private(spark):
@@ -229,11 +257,11 @@ def test_find_private(spark):
     ids = list(range(len(texts)))
     ids[5] = None
     texts, ids = texts + texts[33:35], ids + ids[33:35]
-    out = pii.find_private(frame(spark, texts, ids), disclosure=0.55)
+    out = pii.find_private(frame(spark, texts, ids))
     assert out.select("row.*").columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     rows = out.collect()
     assert len(rows) == len(texts)
-    actions = plain_revealing(texts, pii.NEAR, pii.SUPPORT, 0.55)
+    actions = plain_revealing(texts)
     for r in rows:
         text = r["row"]["text"]
         base, added = plain_spans(text or ""), []
@@ -254,39 +282,31 @@ def test_find_private(spark):
 
 
 def planted_texts():
-    """A name beside an address of one document, a code beside a number of two, and a word that copies lift."""
-    texts = [f"plain text of the corpus, number {k}" for k in range(300)]
-    texts += ["write to Ysolde at ysolde@mail.example.com of the corpus"]
-    texts += ["the code Quux7z +1 (626) 555-5759 of the corpus", "number Quux7z, or +1 626 555 5759 of the text"]
-    return texts + ["plain marble at 10.0.0.7"] * 20 + ["the marble of the corpus"]
+    """A name beside an address of one document, names far from an address of two, words that occur once, copies."""
+    texts = [f"plain text of the corpus, number {k}, to call at or read" for k in range(300)]
+    texts += ["a zephyr of the corpus, write to Ysolde at ysolde@mail.example.com of the corpus and the quincunx of it"]
+    texts += [f"Grimalkin {w} {' '.join(['plain text of the corpus'] * 9)} call +1 (626) 555-5759" for w in ("obelus", "tittle")]
+    texts += ["plain basalt of the text, and more of the corpus at 10.0.0.7"] * 20
+    return texts + ["the basalt of the corpus"]
 
 
-def test_rare_entities_reveal_and_copies_count_once(spark, tmp_path):
+def test_names_go_and_words_of_one_document_stay(spark, tmp_path):
     texts = planted_texts()
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    spans = {texts[r["doc_id"]]: r["spans"] for r in queries.op9_pii(spark, str(tmp_path)).collect()}
-    assert "general:9:15" in spans[texts[300]] and "general:0:5" in spans[texts[300]]
-    assert ":9:15" in spans[texts[301]] and ":7:13" in spans[texts[302]]
-    assert spans[texts[303]] == "ip:16:24" and spans[texts[-1]] == ""
-    assert not any(spans[t] for t in texts[:300])
-    got = {r["term"]: r["action"] for r in pii.revealing_terms(frame(spark, texts), support=1, distinct=True).collect()}
-    assert got == plain_revealing(list(dict.fromkeys(texts)), pii.NEAR, 1, pii.DISCLOSURE)
-
-
-def test_terms_far_from_the_entity_count(spark):
-    """A name in the first line, the address at the end; what stands beside it in some documents and far off in others."""
-    fill = " ".join(["plain text of the corpus"] * 20)
-    texts = [f"{fill} {k}" for k in range(200)]
-    texts += [f"Ysolde {fill} {k}, marble of ysolde@mail.example.com" for k in range(3)]
-    texts += [f"Ysolde marble {fill} {k} ysolde@mail.example.com" for k in range(3, 6)]
-    far = pii.terms_near(texts[200], pii.NEAR)
-    assert ("email:ysolde@mail.example.com", "ysolde") in far and ("email:ysolde@mail.example.com", "\x00word") in far
-    out = {r["row"]["text"]: r["sanitised"] for r in pii.find_private(frame(spark, texts)).collect()}
-    assert out[texts[200]] == f"[word] {fill} 0, [word] of [EMAIL]"
-    assert out[texts[203]] == f"[word] [word] {fill} 3 [EMAIL]"
-    assert all(out[t] == t for t in texts[:200])
-    got = {r["term"]: r["action"] for r in pii.revealing_terms(frame(spark, texts), near=5).collect()}
-    assert got == plain_revealing(texts, 5, pii.SUPPORT, pii.DISCLOSURE)
+    rows = {texts[r["doc_id"]]: r["spans"] for r in queries.op9_pii(spark, str(tmp_path)).collect()}
+    masked = {t: {t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans.split(",") if s.startswith(("general", "removed"))} for t, spans in rows.items()}
+    assert masked[texts[300]] == {"Ysolde"} and masked[texts[301]] == {"Grimalkin"} == masked[texts[302]]
+    assert not any(found for t, found in masked.items() if t not in texts[300:303])
+    assert revealing(spark, texts) == plain_revealing(texts)
+
+
+def test_query_and_pipeline_mask_the_same(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {r["doc_id"]: r["spans"] for r in queries.op9_pii(spark, SF).collect()}
+    staged = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["pii"](spark, docs, SF).collect()}
+    for r in docs.collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in found[r["doc_id"]].split(",") if s)]
+        assert staged[r["doc_id"]] == pii.sanitise(r["text"], spans)
 
 
 def test_sanitise():
@@ -360,7 +380,7 @@ def plain_stage(name, docs, field):
     if name == "simhash_near_dedup":
         roots = plain_components(ids, [plain_simhash(t) for t in texts], 2)
         return {i: t for i, t, root in zip(ids, texts, roots) if i == root}
-    actions = plain_revealing(texts, pii.NEAR, pii.SUPPORT, pii.DISCLOSURE)
+    actions = plain_revealing(texts)
     out = {}
     for i, text in docs.items():
         spans = plain_spans(text)
