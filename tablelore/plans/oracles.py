@@ -563,7 +563,7 @@ def _cast(column: str, table: str) -> str:
 ORACLES: dict[str, str] = {
     "S1_folder_scan": _union(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in RAW_COLUMNS),
     "S2_parquet": "SELECT l_linestatus, count(*) AS lines, sum(l_orderkey)::BIGINT AS keys FROM lineitem GROUP BY l_linestatus",
-    "S2_csv": _format(), "S2_tsv": _format(), "S2_jsonl": _format(), "S2_json": _format(), "S2_ndjson": _format(),
+    "S2_csv": _format(), "S2_tsv": _format(), "S2_jsonl": _format(), "S2_json": _format(), "S2_json_mixed": _format(), "S2_ndjson": _format(),
     "S7_stale": "SELECT true AS changed, 2 * count(*) AS n FROM orders",
     "S5_listing": _union(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, '{kind}' AS kind, count(*) AS row_count FROM {t}"

@@ -86,21 +86,26 @@ def s1_folder(spark, sf_dir):
     return count_rows(loaded.tables).withColumnRenamed("table", "table_name")
 
 
-def _round_trip(kind: str):
+def _round_trip(kind: str, mixed: bool = False):
     def query(spark, sf_dir):
         def build():
-            path = f"{shared_dir(spark)}/formats-{spark.sparkContext.applicationId}/{abs(hash(sf_dir))}/orders.{kind}"
+            path = f"{shared_dir(spark)}/formats-{spark.sparkContext.applicationId}/{abs(hash(sf_dir))}/{'mixed_' * mixed}orders.{kind}"
             orders = raw_table(spark, sf_dir, "orders").select(
                 "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
             )
             writer = orders.write.mode("overwrite")
             if kind in ("csv", "tsv"):
                 writer.option("header", True).option("sep", {"tsv": "\t", "csv": ";"}[kind]).csv(path)
+            elif mixed:
+                # a record a line at first, then records over several lines
+                row = F.struct(*orders.columns)
+                text = F.when(F.col("o_orderkey") < 200, F.to_json(row)).otherwise(F.to_json(row, {"pretty": "true"}))
+                orders.sortWithinPartitions("o_orderkey").select(text).write.mode("overwrite").text(path)
             else:
                 writer.json(path)
             return path
 
-        path = _kept(spark, sf_dir, f"format {kind}", build)
+        path = _kept(spark, sf_dir, f"format {kind} {mixed}", build)
         return read_file(spark, path).groupBy("o_orderstatus").agg(
             F.count(F.lit(1)).alias("orders"),
             F.sum("o_custkey").cast("bigint").alias("keys"),
@@ -1276,6 +1281,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S5_listing": s5_listing,
     "S6_sample": s6_sample,
     "S2_json": _round_trip("json"),
+    "S2_json_mixed": _round_trip("json", mixed=True),
     "S2_ndjson": _round_trip("ndjson"),
     "S7_artifacts": s7_artifacts,
     "S7_curated": s7_curated,

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import io
-import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import layout
 from .naming import safe_name, unique_name
 
 FORMATS = ("parquet", "csv", "tsv", "json", "jsonl", "ndjson")
@@ -29,40 +26,21 @@ def extension(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower()
 
 
-#: Lines of a delimited file that are looked at to tell its delimiter and header.
-SNIFFED = 50
-DELIMITERS = (",", ";", "\t", "|")
-_NUMBER_OR_DATE = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|\d{4}-\d\d?-\d\d?([T ].*)?|true|false", re.I)
-
-
-def sniff(lines: list[str], delimiters: tuple[str, ...] = DELIMITERS) -> tuple[str, bool]:
-    """``(delimiter, header)`` of a delimited file, from its first lines.
-
-    The delimiter is the one that cuts the lines into the most, equally many cells. The
-    first line is a header unless one of its cells is empty, a number, a date or a truth value.
-    """
-    found = [(",", [[]])]
-    for d in delimiters:
-        rows = list(csv.reader(io.StringIO("\n".join(lines)), delimiter=d))
-        widths = Counter(len(r) for r in rows if r)
-        if widths:
-            width, n = widths.most_common(1)[0]
-            found.append((d, rows, (n >= 0.8 * sum(widths.values()), width)))
-    delimiter, rows = max(found[1:], key=lambda f: f[2])[:2] if len(found) > 1 else found[0]
-    first = next((r for r in rows if r), [])
-    return delimiter, all(c.strip() and not _NUMBER_OR_DATE.fullmatch(c.strip()) for c in first)
-
-
 def read_file(
-    spark: SparkSession, path: str, schema: str | None = None, one_line_records: bool | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    one_line_records: bool | None = None,
+    header: bool | None = None,
+    sep: str | None = None,
 ) -> DataFrame | None:
     """One data file as a lazy DataFrame, or None for an unknown extension.
 
-    Delimiter and header of a CSV file are told from its first lines; columns without a
-    header are ``column0`` and so on. Without a schema, text formats are read once more
-    to infer one. Files whose records hold line breaks cannot be split between tasks;
-    unless ``one_line_records`` says so, whether there are any is found out by the tasks
-    (a line with an odd number of quotes) and for JSON from the first lines.
+    Of a delimited file, ``sep`` and whether its first line is a ``header`` are told from all
+    of its lines unless they are given; columns without a header are ``column0`` and so on.
+    Without a schema, text formats are read once more to infer one. Files whose records
+    hold line breaks cannot be split between tasks; unless ``one_line_records`` says so,
+    whether there are any is found out by the tasks, see ``layout``.
     """
     kind = extension(path)
     if kind == "parquet":
@@ -70,25 +48,21 @@ def read_file(
     if kind not in FORMATS:
         return None
     reader = spark.read.schema(schema) if schema else spark.read
-    lines = spark.read.text(path)
-    first = [row.value.removeprefix("\ufeff") for row in lines.where("length(trim(value)) > 0").limit(SNIFFED).collect()]
     if kind not in ("csv", "tsv"):
-        if one_line_records is None:
-            one_line_records = kind != "json" or not first or all(x.strip()[0] == "{" and x.strip()[-1] == "}" for x in first)
-        return reader.option("multiLine", not one_line_records).json(path)
-    if one_line_records is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        one_line_records = lines.where(quotes % 2 == 1).isEmpty()
-    delimiter, header = sniff(first, ("\t",) if kind == "tsv" else DELIMITERS)
+        return layout.read_json(spark, reader, path, True if kind != "json" and one_line_records is None else one_line_records)
+    lines = layout.lines_of(spark, path)
+    one_line = layout.one_line_cells(lines) if one_line_records is None else one_line_records
+    delimiter = sep or ("\t" if kind == "tsv" else layout.delimiter_of(lines))
+    named = layout.header_of(spark, path, delimiter, one_line) if header is None else header
     table = (
-        reader.option("header", header)
+        reader.option("header", named)
         .option("inferSchema", schema is None)
         .option("sep", delimiter)
-        .option("multiLine", not one_line_records)
+        .option("multiLine", not one_line)
         .option("escape", '"')
         .csv(path)
     )
-    return table if header or schema else table.toDF(*(f"column{i}" for i in range(len(table.columns))))
+    return table if named or schema else table.toDF(*(f"column{i}" for i in range(len(table.columns))))
 
 
 def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]:

@@ -11,7 +11,7 @@ from tablelore.operators import compare, matching, scoring
 from tablelore.plans.dataset import prepare_folder
 from tablelore.plans.readonly import NotReadOnly, is_read_only, run_sql, split_statements
 from tablelore.session import shared_dir
-from tablelore.sources import artifacts, files, jdbc
+from tablelore.sources import artifacts, files, jdbc, layout
 from tablelore.sources.naming import safe_name, unique_name
 from tablelore.tables import count_rows, list_columns, sample_rows
 
@@ -71,6 +71,52 @@ def test_delimiters_and_headers(spark, tmp_path):
     assert rows["lines"] == rows["pretty"] == [(1,), (2,)]
 
 
+def test_layout_after_many_lines(spark, tmp_path):
+    """Records that change from one to several lines, a header without a name for the first column, and headers over text."""
+    records = [{"k": i, "t": '} { " \\ [ ' + str(i), "l": [i, {"m": "]"}]} for i in range(65)]
+    (tmp_path / "mixed.json").write_text("\n".join([json.dumps(r) for r in records[:60]] + [json.dumps(r, indent=2) for r in records[60:]]) + "\n")
+    (tmp_path / "side.json").write_text(json.dumps(records[0]) + json.dumps(records[1]) + "\n" + json.dumps(records[2], indent=1) + "\n" + json.dumps(records[3:5]) + "\n")
+    (tmp_path / "frame.csv").write_text(",name,qty\n0,bolt,5\n1,nut,7\n")
+    (tmp_path / "years.csv").write_text("place,2019,2020\n7,1,2\n8,3,4\n")
+    (tmp_path / "late.csv").write_text("\n".join(["1,a"] * 60 + ["x,b"]) + "\n")
+    (tmp_path / "semis.csv").write_text("\n".join(["a,b"] * 3 + [f"x{i};y,{i}" for i in range(90)]) + "\n")
+    (tmp_path / "words.csv").write_text("bolt,red\nnut,blue\n")
+    tables = files.load_folder(spark, str(tmp_path)).tables
+    assert sorted(r["k"] for r in tables["mixed"].collect()) == list(range(65)) and tables["mixed"].columns == ["k", "l", "t"]
+    assert {r["k"]: r["t"] for r in tables["mixed"].collect()} == {r["k"]: r["t"] for r in records}
+    assert sorted(r["k"] for r in tables["side"].collect()) == [0, 1, 2, 3, 4]
+    assert [tuple(r) for r in tables["frame"].orderBy("qty").collect()] == [(0, "bolt", 5), (1, "nut", 7)]
+    assert tables["frame"].columns[1:] == ["name", "qty"] and dict(tables["frame"].dtypes)["qty"] == "int"
+    assert tables["years"].columns == ["place", "2019", "2020"] and tables["years"].count() == 2
+    assert tables["late"].count() == 61 and tables["late"].columns == ["column0", "column1"]
+    assert tables["words"].columns == ["bolt", "red"]  # nothing tells, so the first line counts as a header
+    words = str(tmp_path / "words.csv")
+    assert files.read_file(spark, words, header=False).count() == 2
+    assert files.read_file(spark, words, sep=";", header=False).columns == ["column0"]
+
+
+@pytest.mark.parametrize(
+    "head, kinds, header",
+    [
+        (["", "name", "qty"], ["number", "text", "number"], True), (["1", "2024-01-01"], ["number", "date"], False), (["a", "b"], ["text", "text"], True),
+        (["a", ""], ["text", "text"], False), (["2019", "x"], ["number", "text"], False), (["2019", "x"], ["number", "truth"], True), (["a"], [None], True), (["1"], ["text"], False),
+    ],
+)
+def test_first_line_against_the_kinds_below(head, kinds, header):
+    assert layout.is_header(head, kinds) is header
+
+
+def test_json_depths_are_added_up_over_splits(spark, tmp_path):
+    records = [{"k": i, "v": ["x" * 50, {"w": "{[" * 5}]} for i in range(400)]
+    (tmp_path / "long.json").write_text("\n".join(json.dumps(r, indent=2 if r["k"] % 3 else None) for r in records))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert spark.read.text(str(tmp_path / "long.json")).rdd.getNumPartitions() > 5
+        assert sorted(r["k"] for r in files.read_file(spark, str(tmp_path / "long.json")).collect()) == list(range(400))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_a_file_added_below_a_table_changes_its_state(spark, tmp_path):
     path = tmp_path / "t.parquet"
     spark.range(4).selectExpr("id", "id % 2 as p").write.partitionBy("p").parquet(str(path))
