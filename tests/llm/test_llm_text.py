@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import string
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -131,6 +133,62 @@ def test_viterbi():
         assert field.decode(features).tolist() == plain_viterbi(field, features)[1]
 
 
+def test_sums_over_labellings():
+    """Labels and label changes of several documents, against all labellings of each."""
+    rng = np.random.default_rng(16)
+    documents = [rng.integers(0, crf_quality.FEATURES, (n, 3)) for n in (1, 4, 2, 6)]
+    chains = crf_quality._Chains(documents)
+    emit, steps, first = rng.normal(size=(13, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    marks, changes, total = chains.expected(emit, steps, first)
+    at, want_changes, want_total = 0, np.zeros((2, 2)), 0.0
+    for n in chains.sizes:
+        own, want, all_ = emit[at : at + n], np.zeros((n, 2)), []
+        for labels in product((0, 1), repeat=int(n)):
+            score = first[labels[0]] + sum(own[k][x] for k, x in enumerate(labels)) + sum(steps[a][b] for a, b in zip(labels, labels[1:]))
+            all_.append((np.exp(score), labels))
+        z = sum(p for p, _ in all_)
+        for p, labels in all_:
+            for k, x in enumerate(labels):
+                want[k][x] += p / z
+            for a, b in zip(labels, labels[1:]):
+                want_changes[a][b] += p / z
+        assert np.allclose(marks[at : at + n], want)
+        want_total += np.log(z)
+        at += n
+    assert np.allclose(changes, want_changes) and np.isclose(total, want_total)
+
+
+def test_repeated_lines():
+    """Lines of copies have the same neighbours everywhere; a line put into different texts does not."""
+    own = lambda k: [1000 * k + j for j in range(1, 9)]
+    copies = [own(1)] * 50 + [own(1)[:3] + [7] + own(1)[4:]]
+    planted = [own(k)[:4] + [99] + own(k)[4:] for k in range(2, 6)]
+    assert crf_quality.repeated_lines(copies + planted + [[0, 0, 98], [0, 98], [97], [97]]) == {99}
+
+
+def test_planted_lines_in_good_documents_are_boilerplate(spark):
+    """Lines that other documents repeat get their own label, among content that keeps its label and its document."""
+    docs, labels = labelled(spark, "/root/testdata/sf0.01")
+    told = labels.where("doc_id % 2 = 0")
+    notices = ["Subscribe to the letter of the week", "Share this page with your friends", "Read more about it here"]
+    lines = F.split("text", "\n", -1)
+    with_notices = F.concat(F.slice(lines, 1, 2), F.array(*map(F.lit, notices[:2])), F.slice(lines, 3, 1 << 20), F.array(F.lit(notices[2])))
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id"))
+    planted = docs.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn(
+        "text", F.when(F.col("good_id").isNotNull() & (F.size(lines) >= 6) & (F.col("doc_id") % 3 == 0), F.array_join(with_notices, "\n")).otherwise(F.col("text"))
+    ).drop("good_id")
+    field = crf_quality.train(planted, told)
+    judged = crf_quality.judge(planted, field).where("doc_id % 2 = 1 and not base_failed").join(labels.where("quality = 1"), "doc_id").collect()
+    seen, kept = [], []
+    for r in judged:
+        marks = list(zip(r["row"]["text"].split("\n"), r["line_labels"]))
+        if any(line in notices for line, _ in marks):
+            seen += [mark for line, mark in marks if line in notices]
+            kept.append((r["kept"], r["content_share"], sum(mark == "C" for line, mark in marks if line not in notices) / (len(marks) - 3)))
+    assert len(kept) > 20 and seen.count("B") >= 0.95 * len(seen)
+    assert all(k for k, *_ in kept) and all(0 < share < 1 for _, share, _ in kept) and np.mean([c for *_, c in kept]) > 0.8
+
+
 def labelled(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs, spark.read.parquet(f"{sf}/labels.parquet")
@@ -370,7 +428,7 @@ def plain_stage(name, docs, field):
     if name == "quality_rules":
         def keeps(text):
             n, *_, repeated = crf_quality.base_counts(text)
-            features, sizes = crf_quality.line_features(text)
+            features, sizes = crf_quality.line_features(text, field.known)
             content = sizes[field.decode(features) == 1].sum()
             return n >= 50 and 100 * repeated <= 50 * n and content >= 0.5 * sizes.sum()
 
@@ -458,9 +516,18 @@ def test_bpe_query(spark, library):
 
 def test_quality_query(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
+    field = crf_quality.train(*labelled(spark, SF))
     got = {r["doc_id"]: r for r in queries.op4_crf_quality(spark, SF).collect()}
+    decoded = 0
     for i, t in zip(docs["doc_id"], docs["text"]):
         n, *rest = plain_counts(t) if len(t) < 20_000 else tuple(crf_quality.base_counts(t))
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, *rest)
         assert r["base_failed"] == (n < 50 or 100 * rest[3] > 50 * n) and not (r["base_failed"] and r["kept"])
+        if t.count("\n") < 12:
+            features, sizes = crf_quality.line_features(t, field.known)
+            labels = plain_viterbi(field, features)[1]
+            share = sum(x for x, y in zip(sizes, labels) if y) / max(1, sum(sizes))
+            assert np.isclose(r["content_share"], share) and r["kept"] == (not r["base_failed"] and share >= 0.5)
+            decoded += 1
+    assert decoded > 50
