@@ -274,8 +274,12 @@ def discover_relationships(spark: SparkSession, tables: Tables, profile: DataFra
     if not rows:
         return no_relationships(spark)
     overlap = measure_overlap(spark, tables, [tuple(row[name] for name in EDGE) for row in rows])
-    edges = collapse_mirrored(best_targets(accepted(score_pairs(spark, rows, overlap))))
-    return write_once(edges, "relationships")
+    return write_once(ranked_edges(spark, rows, overlap), "relationships")
+
+
+def ranked_edges(spark: SparkSession, rows: list[Row], overlap: DataFrame) -> DataFrame:
+    """The edges that measured candidates come to, numbered by confidence."""
+    return collapse_mirrored(best_targets(accepted(score_pairs(spark, rows, overlap))))
 
 
 def no_relationships(spark: SparkSession) -> DataFrame:

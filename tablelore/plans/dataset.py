@@ -19,6 +19,7 @@ from ..operators.terms import TOP_K, resolve_terms, term_catalog
 from ..sources.artifacts import fingerprint, read_artifacts, read_curation, read_terms, write_artifacts, write_terms
 from ..sources.files import load_folder
 from ..tables import Tables
+from .upkeep import kept_profile, kept_relationships, versions
 
 
 @dataclass
@@ -115,7 +116,7 @@ def prepare_folder(
 ) -> Dataset:
     """Prepare a folder of files, reusing stored output while the files are unchanged.
 
-    What is stored is what was inferred. Verdicts, overrides and the glossary, given here
+    After a change only the tables whose files changed are read, see ``upkeep``. What is stored is what was inferred. Verdicts, overrides and the glossary, given here
     or stored beside it, are applied anew each time.
     """
     loaded = load_folder(spark, folder)
@@ -127,7 +128,10 @@ def prepare_folder(
     source = fingerprint(loaded.files, loaded.fingerprints)
     stored = read_artifacts(spark, cache, source)
     if stored is None:
-        fresh = prepare(spark, loaded.tables)
+        version = versions(loaded)
+        profile, _ = kept_profile(spark, cache, loaded.tables, version)
+        edges = kept_relationships(spark, cache, loaded.tables, version, profile)
+        fresh = curate(spark, loaded.tables, profile, edges)
         write_artifacts(cache, source, fresh.profile, fresh.model)
         write_terms(cache, source, term_catalog(fresh.model))
         stored = read_artifacts(spark, cache, source)

@@ -38,7 +38,7 @@ def read_artifacts(
     spark: SparkSession, folder: str, source: str
 ) -> tuple[DataFrame, SemanticModel] | None:
     """What was stored for this exact source, or None if it must be derived again."""
-    if not _written(spark, f"{folder}/{source}/{PARTS[-1]}"):
+    if not written(spark, f"{folder}/{source}/{PARTS[-1]}"):
         return None
     read = {name: spark.read.parquet(f"{folder}/{source}/{name}") for name in PARTS}
     model = SemanticModel(read["entities"], read["dimensions"], read["measures"], read["relationships"])
@@ -51,7 +51,7 @@ def write_terms(folder: str, source: str, terms: DataFrame) -> None:
 
 
 def read_terms(spark: SparkSession, folder: str, source: str) -> DataFrame | None:
-    return spark.read.parquet(f"{folder}/{source}/terms") if _written(spark, f"{folder}/{source}/terms") else None
+    return spark.read.parquet(f"{folder}/{source}/terms") if written(spark, f"{folder}/{source}/terms") else None
 
 
 CURATION = ("verdicts", "overrides", "glossary")
@@ -68,10 +68,11 @@ def write_curation(folder: str, **parts: DataFrame) -> None:
 def read_curation(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """What people have stored, by name."""
     places = {name: f"{folder}/curation/{name}" for name in CURATION}
-    return {name: spark.read.parquet(place) for name, place in places.items() if _written(spark, place)}
+    return {name: spark.read.parquet(place) for name, place in places.items() if written(spark, place)}
 
 
-def _written(spark: SparkSession, path: str) -> bool:
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelore.operators import compare, matching, scoring
+from tablelore.plans import upkeep
 from tablelore.plans.dataset import prepare_folder
 from tablelore.plans.readonly import NotReadOnly, is_read_only, run_sql, split_statements
 from tablelore.session import shared_dir
@@ -151,7 +152,7 @@ def test_stored_output_is_reused_until_a_file_changes(spark, tmp_path):
     assert again.model.measures.count() == first.model.measures.count()
     (data / "users.csv").write_text("id,plan\n1,a\n2,b\n3,a\n4,b\n5,c\n")
     assert prepare_folder(spark, str(data), str(cache)).profile.where("table = 'users'").first().row_count == 5
-    assert len(list(cache.iterdir())) == 2
+    assert len([p for p in cache.iterdir() if (p / "measures").exists()]) == 2
     assert artifacts.read_terms(spark, str(cache), "s") is None
     artifacts.write_terms(str(cache), "s", spark.range(2).selectExpr("id as term_id", "array(0.5f) as vector"))
     assert artifacts.read_terms(spark, str(cache), "s").count() == 2
@@ -159,6 +160,42 @@ def test_stored_output_is_reused_until_a_file_changes(spark, tmp_path):
         prepare_folder(spark, str(cache))
 
 
+def test_only_changed_tables_are_read_again(spark, tmp_path, monkeypatch):
+    """One of five files changes: the others are not read, and what comes out is what a fresh look at all of them gives."""
+    data, cache = tmp_path / "data", tmp_path / "cache"
+    data.mkdir()
+    write = lambda name, rows: (data / f"{name}.csv").write_text("\n".join(rows) + "\n")
+    write("areas", ["id,kind", *(f"{i},{'ab'[i % 2]}" for i in range(1, 9))])
+    write("users", ["id,area_id,plan", *(f"{i},{i % 8 + 1},{'xyz'[i % 3]}" for i in range(1, 31))])
+    write("pays", ["id,user_id,amount", *(f"{i},{i % 30 + 1},{i * 1.5}" for i in range(1, 60))])
+    write("visits", ["id,user_id,area_id", *(f"{i},{i % 17 + 1},{i % 5 + 1}" for i in range(1, 40))])
+    write("notes", ["note_id,area_id", *(f"{i},{i % 3 + 1}" for i in range(1, 12))])
+    prepare_folder(spark, str(data), str(cache))
+    write("visits", ["id,user_id,area_id", *(f"{i},{i % 29 + 1},{i % 8 + 1}" for i in range(1, 50))])
+
+    scanned, measured = [], []
+    profiled, overlaps = upkeep.profile_dataset, upkeep.rel.measure_overlap
+    monkeypatch.setattr(upkeep, "profile_dataset", lambda spark, tables: scanned.extend(tables) or profiled(spark, tables))
+    files_read = lambda df: {p.rsplit("/", 1)[-1] for p in df.inputFiles()}
+
+    def watched(spark, tables, pairs):
+        measured.extend(pairs)
+        scanned.extend(name for df in tables.values() for name in files_read(df) if name.endswith(".csv"))
+        return overlaps(spark, tables, pairs)
+
+    monkeypatch.setattr(upkeep.rel, "measure_overlap", watched)
+    again = prepare_folder(spark, str(data), str(cache))
+    assert scanned == ["visits"] and measured and all("visits" in (a, c) for a, _, c, _ in measured)
+    fresh = prepare_folder(spark, str(data), str(tmp_path / "other"))
+    for part in ("profile", "relationships"):
+        rows = [sorted(map(str, getattr(d, part).select(sorted(getattr(d, part).columns)).collect())) for d in (again, fresh)]
+        assert rows[0] == rows[1] and rows[0]
+    (data / "notes.csv").unlink()
+    scanned.clear(), measured.clear()
+    assert "notes" not in {r["table"] for r in prepare_folder(spark, str(data), str(cache)).profile.collect()}
+    assert not scanned and not measured
+
+
 def test_csv_export(spark, tmp_path):
     rows = [(1, 'a "q", b', None, 0.1 + 0.2, [1, 2]), (2, "", "x", 5.0, None), (3, "line\nbreak", "y", 1e21, [])]
     df = spark.createDataFrame(rows, "id int, `na,me` string, gone string, num double, list array<int>").coalesce(1)
