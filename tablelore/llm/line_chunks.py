@@ -104,7 +104,8 @@ def remove_repeated_chunks(
     keyed = found.withColumn("key", F.xxhash64("body"))
     spread = keyed.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     repeated = write_once(spread.where("least <> most").select("key"), "chunk-keys")
-    suspects = write_once(keyed.join(repeated, "key", "left_semi"), "chunk-suspects")
+    # repeated keys grow with the documents, so this join too is planned as a shuffle at every size
+    suspects = write_once(keyed.join(repeated.hint("merge"), "key", "left_semi"), "chunk-suspects")
     same = suspects.groupBy("key", "body").agg(F.min("place").alias("least"), F.max("place").alias("most"))
     first = write_once(same.where("least <> most").select("key", "body", "least"), "chunk-first")
     later = suspects.join(first, ["key", "body"]).where("place <> least")
