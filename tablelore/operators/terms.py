@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..functions.vectors import cosine_block, matrix
-from ..session import write_once
+from ..session import write_once, written
 from .lanes import union_all
 from .semantic import SemanticModel
 
@@ -19,8 +19,6 @@ from .semantic import SemanticModel
 TOP_K = 5
 RRF_K = 60
 
-# Vectors held by one task at a time; larger sets are worked through in blocks.
-BLOCK_VALUES = 16_000_000
 # Numbers in a block of the grid, blocks of queries in a cell, and tasks at most.
 GRID_VALUES = 1 << 17
 CELL_BLOCKS = 4
@@ -188,22 +186,6 @@ def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(row.vectors, dtype="float64").reshape(len(ids), row.width)
 
 
-def _blocks(vectors: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bounded blocks of the catalog's vectors; a catalog has a row for each thing in the schema."""
-    ids: list = []
-    rows: list = []
-    held = 0
-    for row in vectors.select(key, "vector").toLocalIterator():
-        ids.append(row[key])
-        rows.append(row.vector)
-        held += len(row.vector or [])
-        if held >= BLOCK_VALUES:
-            yield np.array(ids), matrix(rows)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield np.array(ids), matrix(rows)
-
-
 def resolve_terms(
     queries: DataFrame,
     catalog: DataFrame,
@@ -232,29 +214,19 @@ def _fuse(queries: DataFrame, catalog: DataFrame, ranks: DataFrame, k: int, rrf_
 
     A term without a lexical hit can only reach the top ``k`` through one of the first
     ``k`` vector ranks, so those and the lexical hits are the only pairs that leave a
-    task. The vector rank of a lexical hit is the number of terms ahead of it, counted
-    per block of the catalog and added up.
+    cell of the grid. The vector rank of such a pair is the number of terms ahead of it,
+    counted in a second pass over the cells and added up.
     """
     hits = ranks.groupBy("query_id").agg(F.collect_list("term_id").alias("hits"))
-    asked = queries.select("query_id", "vector").join(hits, "query_id", "left")
-    blocks = list(_blocks(catalog.select("term_id", "vector"), "term_id"))
+    asked = write_once(queries.select("query_id", "vector").join(hits, "query_id", "left"), "fusion-queries")
+    stock = write_once(catalog.select("term_id", "vector"), "fusion-terms")
     pair = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "term_id")
-    keep = F.col("lexical") | (F.col("leader") <= k)
-    scored = (
-        union_all([_block_scores(asked, ids, block, k) for ids, block in blocks])
-        .where("score > 0")
-        .withColumn("leader", F.row_number().over(pair))
-        .where(keep)
-    )
-    wanted = asked.join(
-        scored.groupBy("query_id").agg(F.collect_list(F.struct("term_id", "score")).alias("found")),
-        "query_id",
-    ).select("query_id", "vector", "found")
-    places = (
-        union_all([_block_ahead(wanted, ids, block) for ids, block in blocks])
-        .groupBy("query_id", "term_id")
-        .agg((F.sum("ahead") + 1).alias("vector_rank"))
-    )
+    found = _in_cells(stock, asked, _cell_scores(k), "query_id bigint, term_id bigint, score double, lexical boolean")
+    found = found.where("score > 0").withColumn("leader", F.row_number().over(pair)).where(F.col("lexical") | (F.col("leader") <= k))
+    found = write_once(found.groupBy("query_id").agg(F.collect_list(F.struct("term_id", "score")).alias("found")), "fusion-found")
+    wanted = asked.select("query_id", "vector").join(found, "query_id")
+    places = _in_cells(stock, wanted, _cell_ahead, "query_id bigint, term_id bigint, ahead bigint")
+    places = places.groupBy("query_id", "term_id").agg((F.sum("ahead") + 1).alias("vector_rank"))
     return (
         ranks.select("query_id", "term_id", "rank")
         .join(places, ["query_id", "term_id"], "full_outer")
@@ -269,42 +241,48 @@ def _fuse(queries: DataFrame, catalog: DataFrame, ranks: DataFrame, k: int, rrf_
     )
 
 
-def _block_scores(asked: DataFrame, ids: np.ndarray, block: np.ndarray, k: int) -> DataFrame:
-    """Cosines of lexical hits and of the block's best ``k``, per query."""
-    shared = asked.sparkSession.sparkContext.broadcast((ids, block))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        term_ids, terms = shared.value
-        for frame in frames:
-            scores = cosine_block(matrix(frame["vector"]), terms, repeatable=True)
-            out = []
-            for query_id, row, hits in zip(frame["query_id"], scores, frame["hits"]):
+def _in_cells(stock: DataFrame, asked: DataFrame, cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``cell(terms, queries)`` for every block of terms with every block of queries, blocks being of a bounded size."""
+    size = F.coalesce(F.sum(F.size("vector")), F.lit(0))
+    rows = max(1, -(-(stock.agg(size).first()[0]) // GRID_VALUES))
+    columns = max(1, -(-(asked.agg(size).first()[0]) // (GRID_VALUES * CELL_BLOCKS)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(rows * columns, MOST_TASKS)
+    left = stock.withColumn("row", own("term_id", rows)).withColumn("column", each(columns)).repartition(tasks, "row", "column")
+    right = asked.withColumn("column", own("query_id", columns)).withColumn("row", each(rows)).repartition(tasks, "row", "column")
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(cell, schema)
+
+
+def _cell_scores(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def scores(terms: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        """Cosines of lexical hits and of the cell's best ``k``, per query."""
+        out = []
+        if len(terms) and len(queries):
+            term_ids = terms["term_id"].to_numpy(dtype="int64")
+            found = cosine_block(matrix(queries["vector"]), matrix(terms["vector"]), repeatable=True)
+            for query_id, row, hits in zip(queries["query_id"], found, queries["hits"]):
                 lexical = np.isin(term_ids, np.asarray([] if hits is None else hits, dtype="int64"))
                 kept = lexical.copy()
                 kept[np.lexsort((term_ids, -row))[:k]] = True
                 out += [(query_id, int(term_ids[i]), row[i], bool(lexical[i])) for i in np.flatnonzero(kept)]
-            yield pd.DataFrame(out, columns=["query_id", "term_id", "score", "lexical"])
+        return pd.DataFrame(out, columns=["query_id", "term_id", "score", "lexical"])
 
-    return asked.mapInPandas(score, "query_id bigint, term_id bigint, score double, lexical boolean")
+    return scores
 
 
-def _block_ahead(wanted: DataFrame, ids: np.ndarray, block: np.ndarray) -> DataFrame:
-    """How many terms of the block rank ahead of each wanted (query, term) pair."""
-    shared = wanted.sparkSession.sparkContext.broadcast((ids, block))
-
-    def ahead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        term_ids, terms = shared.value
-        for frame in frames:
-            scores = cosine_block(matrix(frame["vector"]), terms, repeatable=True)
-            out = []
-            for query_id, row, found in zip(frame["query_id"], scores, frame["found"]):
-                for item in found:
-                    better = (row > item["score"]) & (term_ids != item["term_id"])
-                    equal = (row == item["score"]) & (term_ids < item["term_id"])
-                    out.append((query_id, item["term_id"], int(better.sum() + equal.sum())))
-            yield pd.DataFrame(out, columns=["query_id", "term_id", "ahead"])
-
-    return wanted.mapInPandas(ahead, "query_id bigint, term_id bigint, ahead bigint")
+def _cell_ahead(terms: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """How many terms of the cell rank ahead of each wanted (query, term) pair."""
+    out = []
+    if len(terms) and len(queries):
+        term_ids = terms["term_id"].to_numpy(dtype="int64")
+        scores = cosine_block(matrix(queries["vector"]), matrix(terms["vector"]), repeatable=True)
+        for query_id, row, found in zip(queries["query_id"], scores, queries["found"]):
+            for item in found:
+                better = (row > item["score"]) & (term_ids != item["term_id"])
+                equal = (row == item["score"]) & (term_ids < item["term_id"])
+                out.append((query_id, item["term_id"], int(better.sum() + equal.sum())))
+    return pd.DataFrame(out, columns=["query_id", "term_id", "ahead"])
 
 
 def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray]) -> DataFrame:
@@ -317,6 +295,26 @@ def embed(df: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray])
     return df.withColumn("vector", encode(F.col(text)))
 
 
+def kept_vectors(
+    texts: DataFrame, text: str, embedder: Callable[[list[str]], np.ndarray], folder: str, model: str = "default"
+) -> DataFrame:
+    """Adds ``vector``, embedding only texts that ``folder`` has no vector of ``model`` for.
+
+    Vectors are stored under a hash of the whole text, so the same text is never embedded
+    twice, wherever it turns up. Null texts have null vectors.
+    """
+    spark, path = texts.sparkSession, f"{folder}/vectors/{model}"
+    key = F.sha2(F.col(text), 256)
+    new = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), key.alias("key")).dropDuplicates(["key"])
+    if written(spark, path):
+        new = new.join(spark.read.parquet(path).select("key"), "key", "left_anti")
+    new = write_once(new, "new-texts")
+    if not new.isEmpty() or not written(spark, path):
+        embed(new, "text", embedder).select("key", "vector").write.mode("append").parquet(path)
+    stored = spark.read.parquet(path).dropDuplicates(["key"]).withColumnRenamed("key", "__key")
+    return texts.join(stored, key == F.col("__key"), "left").drop("__key")
+
+
 def hashing_vectors(df: DataFrame, text: str, width: int = 256) -> DataFrame:
     """Adds ``vector`` by hashing words; a model-free stand-in for an embedder."""
     from pyspark.ml.feature import HashingTF

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,26 @@ from ..operators.metrics import Filter, MetricCatalog, MetricRequest, query_metr
 from ..operators.profile import profile_dataset
 from ..operators.relationships import discover_relationships
 from ..operators.semantic import SemanticModel, build_model
-from ..session import write_once
-from ..operators.terms import TOP_K, resolve_terms, term_catalog
+from ..session import shared_dir, write_once
+from ..operators.terms import TOP_K, kept_vectors, resolve_terms, term_catalog
 from ..sources.artifacts import fingerprint, read_artifacts, read_curation, read_terms, write_artifacts, write_terms
 from ..sources.files import load_folder
 from ..tables import Tables
 from .upkeep import kept_profile, kept_relationships, versions
 
 
+@dataclass(frozen=True)
+class Embedding:
+    """Makes vectors of texts, which are kept in a folder under the model's name."""
+
+    embedder: Callable[[list[str]], np.ndarray]
+    folder: str
+    model: str = "default"
+
+    def add(self, df: DataFrame, text: str) -> DataFrame:
+        return kept_vectors(df, text, self.embedder, self.folder, self.model)
+
+
 @dataclass
 class Dataset:
     """Lazy tables with everything derived from them."""
@@ -31,6 +45,7 @@ class Dataset:
     model: SemanticModel
     _catalog: MetricCatalog | None = None
     _terms: DataFrame | None = None
+    _embedding: Embedding | None = None
 
     @property
     def relationships(self) -> DataFrame:
@@ -50,12 +65,18 @@ class Dataset:
         return query_metrics(self.tables, self.catalog, names, dimensions, filters, max_hops)
 
     def resolve(self, *words: str, k: int = TOP_K) -> DataFrame:
-        """The schema objects that business words mean best, with a position for each word."""
+        """The schema objects that business words mean best, with a position for each word.
+
+        With an embedding, vectors of words and terms count as well as their letters.
+        """
         if self._terms is None:
             self._terms = term_catalog(self.model)
         spark = self.profile.sparkSession
-        asked = spark.createDataFrame([(str(i), w) for i, w in enumerate(words)], "query_id string, query string")
-        found = resolve_terms(asked, self._terms, k)
+        asked = spark.createDataFrame(list(enumerate(words)), "query_id long, query string")
+        if self._embedding is None:
+            found = resolve_terms(asked, self._terms, k)
+        else:
+            found = resolve_terms(self._embedding.add(asked, "query"), self._embedding.add(self._terms, "text"), k, vectors=True)
         return asked.withColumnRenamed("query", "word").join(found, "query_id").drop("query_id")
 
 
@@ -113,12 +134,24 @@ def prepare_folder(
     verdicts: DataFrame | None = None,
     overrides: DataFrame | None = None,
     glossary: DataFrame | None = None,
+    embedder: Callable[[list[str]], np.ndarray] | None = None,
+    model: str = "default",
 ) -> Dataset:
     """Prepare a folder of files, reusing stored output while the files are unchanged.
 
     After a change only the tables whose files changed are read, see ``upkeep``. What is stored is what was inferred. Verdicts, overrides and the glossary, given here
-    or stored beside it, are applied anew each time.
+    or stored beside it, are applied anew each time. With an ``embedder``, words are resolved
+    by vectors too; those of texts seen before are kept in ``cache`` under the ``model``'s name.
     """
+    dataset = _prepare_folder(spark, folder, cache, verdicts, overrides, glossary)
+    if embedder is not None:
+        dataset._embedding = Embedding(embedder, cache or shared_dir(spark), model)
+    return dataset
+
+
+def _prepare_folder(
+    spark: SparkSession, folder: str, cache: str | None, verdicts: DataFrame | None, overrides: DataFrame | None, glossary: DataFrame | None
+) -> Dataset:
     loaded = load_folder(spark, folder)
     if not loaded.tables:
         raise ValueError(f"no supported data files in {folder}")

@@ -493,13 +493,15 @@ _HOP_REQUESTS = (
 )
 
 
-def _zoned_cells():
+def _zoned_cells(**sources: str):
+    """Cells of the zoned tables, some of them from another source."""
     for position, (view, (source, names)) in enumerate(sorted(ZONED.items())):
+        own = sources.get(view, source)
         for ordinal, (old, new) in enumerate(names.items()):
             if old == "zone":
                 yield view, position, "(SELECT 'Z' || n_regionkey AS zone FROM nation)", ordinal, old, new, "string", "text"
             else:
-                yield view, position, source, ordinal, old, new, *RAW_COLUMNS[source][old]
+                yield view, position, own, ordinal, old, new, *RAW_COLUMNS[source][old]
 
 
 def _hops(most: int) -> str:
@@ -570,6 +572,9 @@ ORACLES: dict[str, str] = {
         for t, columns in RAW_COLUMNS.items() for i, (c, (_, kind)) in enumerate(columns.items())
     ),
     "S6_sample": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50",
+    "S7_upkeep": _chain(_zoned_cells(events="(SELECT * FROM events WHERE event_id % 2 = 0)"))
+    + f"""SELECT {E4}, confidence, cardinality, ordinal, n AS from_rows, from_table = 'events' AS read_again
+      FROM edges JOIN (SELECT DISTINCT t, n FROM prof) ON t = from_table""",
     "S7_artifacts": STAR_MODEL + "SELECT t AS table_name, name, agg FROM meas",
     "S8_export_csv": (
         "SELECT 'c_custkey,quoted,segment,c_acctbal' AS line UNION ALL "
@@ -596,6 +601,7 @@ ORACLES: dict[str, str] = {
         "count(*) AS row_count, count(*) - count({c}) AS null_count, "
         "round(100.0 * (count(*) - count({c})) / count(*), 6)::DOUBLE AS null_percent"
     ),
+    "P2_prefilter": _per_column("count(*) AS row_count, count(*) - count({c}) AS null_count, count(*) > 0 AND count(DISTINCT {c}) = count(*) AS is_unique"),
     "P2_distinct": _per_column("count(DISTINCT {c}) AS distinct_count"),
     "P3_numeric": _per_column(
         "min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, avg({c})::FLOAT::DOUBLE AS avg_value",

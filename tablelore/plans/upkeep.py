@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..operators import relationships as rel
 from ..operators.profile import profile_dataset
-from ..session import write_once
-from ..sources.artifacts import written
+from ..operators.sketches import column_sketches
+from ..session import write_once, written
 from ..sources.files import LoadedFolder
 from ..tables import Tables, ref, small_table
 
@@ -58,6 +58,20 @@ def kept_profile(spark: SparkSession, folder: str, tables: Tables, version: dict
     return write_once(current.select(*columns), "profile"), changed
 
 
+def kept_sketches(spark: SparkSession, folder: str, tables: Tables, version: dict[str, str]) -> DataFrame:
+    """Distinct-count sketches of all tables; only tables without stored ones are read."""
+    path = f"{folder}/sketches"
+    stored = _stored(spark, path)
+    known = {r["version"] for r in stored.select("version").distinct().collect()} if stored is not None else set()
+    named = small_table(spark, [{"named": t, "version": version[t]} for t in sorted(tables)], "named string, version string")
+    changed = {t: df for t, df in tables.items() if version[t] not in known}
+    if changed:
+        fresh = column_sketches(changed).join(named.select(F.col("named").alias("table"), "version"), "table")
+        fresh.write.mode("append").parquet(path)
+        stored = _stored(spark, path)
+    return stored.join(named.select("version"), "version").drop("version").dropDuplicates(["table", "column"])
+
+
 def _kept_values(spark: SparkSession, folder: str, tables: Tables, version: dict[str, str], ends: set[tuple[str, str]]) -> Tables:
     """Tables with the distinct values of the columns in ``ends``, one to a row; those not stored yet are read and stored."""
     out = {}

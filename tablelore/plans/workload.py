@@ -13,7 +13,7 @@ from ..functions import naming
 from ..functions.redact import redact
 from ..functions.vectors import cosine
 from ..operators import compare, curation, glossary as gloss, metrics, relationships as rel
-from ..operators import scoring, semantic, terms
+from ..operators import scoring, semantic, sketches, terms
 from ..operators.profile import profile_dataset, table_profiles, top_value_rows
 from ..session import shared_dir, write_once
 from ..sources.artifacts import (
@@ -23,6 +23,7 @@ from ..sources.files import load_documents, load_folder, read_file, register
 from ..tables import count_rows, list_columns, sample_rows, small_table
 from ..types import GLOSSARY, RELATIONSHIPS, VERDICTS
 from .dataset import Dataset, keep, prepare
+from . import upkeep
 from .readonly import run_sql
 from .star import raw_table, raw_tables, star_tables, transfers
 
@@ -139,6 +140,30 @@ def s6_sample(spark, sf_dir):
     return sample_rows(orders, 50, ["o_orderkey"])
 
 
+def s7_upkeep(spark, sf_dir):
+    """Edges after every second event is gone, from what was stored of the other tables before."""
+
+    def build():
+        folder = f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}"
+        tables = zoned_tables(spark, sf_dir)
+        upkeep.kept_relationships(spark, folder, tables, {t: t for t in tables}, upkeep.kept_profile(spark, folder, tables, {t: t for t in tables})[0])
+        tables = tables | {"events": tables["events"].where("id % 2 = 0")}
+        version = {t: t for t in tables} | {"events": "half of the events"}
+        profile, changed = upkeep.kept_profile(spark, folder, tables, version)
+        return changed, profile, upkeep.kept_relationships(spark, folder, tables, version, profile)
+
+    changed, profile, edges = _kept(spark, sf_dir, "upkeep", build)
+    rows = profile.groupBy("table").agg(F.max("row_count").alias("from_rows")).withColumnRenamed("table", "from_table")
+    read_again = F.col("from_table").isin(*changed)
+    return edges.join(rows, "from_table").select(*rel.EDGE, "confidence", "cardinality", "ordinal", "from_rows", read_again.alias("read_again"))
+
+
+def p2_prefilter(spark, sf_dir):
+    """Which columns are unique, counted exactly only where a sketch leaves it open."""
+    found = sketches.unique_columns(spark, profiled_tables(spark, sf_dir))
+    return found.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), "row_count", "null_count", "is_unique")
+
+
 def s7_artifacts(spark, sf_dir):
     def build():
         dataset = star(spark, sf_dir)
@@ -645,16 +670,17 @@ ZONED = {
 }
 
 
-def zoned(spark, sf_dir):
-    def build():
-        tables = {}
-        for view, (source, names) in ZONED.items():
-            raw = raw_table(spark, sf_dir, source)
-            raw = raw.withColumn("zone", F.concat(F.lit("Z"), "n_regionkey")) if view == "nations" else raw
-            tables[view] = raw.select(*(F.col(old).alias(new) for old, new in names.items()))
-        return prepare(spark, tables)
+def zoned_tables(spark, sf_dir):
+    tables = {}
+    for view, (source, names) in ZONED.items():
+        raw = raw_table(spark, sf_dir, source)
+        raw = raw.withColumn("zone", F.concat(F.lit("Z"), "n_regionkey")) if view == "nations" else raw
+        tables[view] = raw.select(*(F.col(old).alias(new) for old, new in names.items()))
+    return tables
+
 
-    return _kept(spark, sf_dir, "zoned", build)
+def zoned(spark, sf_dir):
+    return _kept(spark, sf_dir, "zoned", lambda: prepare(spark, zoned_tables(spark, sf_dir)))
 
 
 def hop_requests(spark: SparkSession) -> DataFrame:
@@ -1284,6 +1310,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S2_json_mixed": _round_trip("json", mixed=True),
     "S2_ndjson": _round_trip("ndjson"),
     "S7_artifacts": s7_artifacts,
+    "S7_upkeep": s7_upkeep,
     "S7_curated": s7_curated,
     "S7_stale": s7_stale,
     "S8_export_csv": s8_csv,
@@ -1292,6 +1319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S11_redact": s11_redact,
     "P1_nulls": p1_nulls,
     "P2_distinct": p2_distinct,
+    "P2_prefilter": p2_prefilter,
     "P3_numeric": p3_numeric,
     "P4_temporal": p4_temporal,
     "P5_top_values": p5_top,

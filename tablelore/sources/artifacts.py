@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.semantic import SemanticModel
+from ..session import written
 from ..tables import ref
 
 PARTS = ("profile", "relationships", "entities", "dimensions", "measures")
@@ -71,12 +72,6 @@ def read_curation(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(place) for name, place in places.items() if written(spark, place)}
 
 
-def written(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to its end."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
-
-
 def shown(df: DataFrame) -> DataFrame:
     """Every column as export text: floats to 15 significant digits, nested as JSON."""
     columns = []

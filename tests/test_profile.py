@@ -5,7 +5,9 @@ from decimal import Decimal
 
 import pytest
 
+from tablelore.operators import sketches
 from tablelore.operators.profile import profile_dataset, table_profiles
+from tablelore.plans import upkeep
 
 
 def by_column(profile):
@@ -108,3 +110,27 @@ def test_text_is_shuffled_once_for_counts_and_leaders(spark):
     plan.executedPlan().execute().count()
     text = plan.executedPlan().toString()
     assert "ReusedExchange" in text and "Expand" not in text
+
+
+def test_sketches_leave_no_key_out(spark, shop, billing, tmp_path):
+    """The same keys as exact counts; estimates within their error; parts add up; what is stored is not read again."""
+    many = spark.range(60_000).selectExpr("id as every", "id % 30000 as half", "id div 2 * 2 as pairs", "cast(id as string) as text", "if(id = 7, null, id) as gap", "array(id) as list", "if(id = 3, 4, id) as one_twice")
+    for tables in (shop.tables, billing.tables, {"many": many, "none": many.limit(0)}):
+        exact = {(r["table"], r["column"]): r for r in profile_dataset(spark, tables).collect()}
+        found = {(r["table"], r["column"]): r for r in sketches.unique_columns(spark, tables).collect()}
+        assert set(found) == set(exact)
+        for key, r in found.items():
+            e = exact[key]
+            assert r["is_unique"] == (e["row_count"] > 0 and e["distinct_count"] == e["row_count"])
+            assert (r["row_count"], r["null_count"]) == (e["row_count"], e["null_count"])
+            assert abs(r["estimate"] - e["distinct_count"]) <= 5 * sketches.ERROR * e["distinct_count"] + 1
+            assert r["distinct_count"] in (None, e["distinct_count"])
+    assert {c for (t, c), r in found.items() if r["distinct_count"] is not None} == {"every", "text", "list", "one_twice"}
+    parts = [sketches.column_sketches({"many": many.where(f"every % 3 = {k}")}) for k in range(3)]
+    together = {r["column"]: r["estimate"] for r in sketches.estimated(sketches.merged(*parts)).collect()}
+    assert together == {c: r["estimate"] for (t, c), r in found.items() if t == "many"}
+    version, folder = {"many": "1", "none": "1n"}, str(tmp_path)
+    first = upkeep.kept_sketches(spark, folder, {"many": many, "none": many.limit(0)}, version).collect()
+    gone = spark.range(1).selectExpr(*(f"cast(raise_error('read again') as {t}) as {c}" for c, t in many.dtypes))
+    again = upkeep.kept_sketches(spark, folder, {"many": gone, "none": gone}, version).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(first) == 14

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from datasets import BILLING_CASES, SHOP_CASES, billing_glossary
 
+from tablelore.plans.dataset import prepare_folder
 from tablelore.operators import glossary, scoring, terms
 from tablelore.types import GLOSSARY
 
@@ -62,7 +63,7 @@ def fused(ranks_of, k, rrf_k=60):
 
 @pytest.mark.parametrize("block", [10**9, 24])
 def test_fusion_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(terms, "BLOCK_VALUES", block)  # the small block splits the catalog
+    monkeypatch.setattr(terms, "GRID_VALUES", block)  # the small block splits the catalog and the queries
     rng = np.random.default_rng(5)
     names = [f"term {i % 7} of {i % 5}" for i in range(60)]
     vectors = rng.normal(size=(60, 6))
@@ -106,6 +107,43 @@ def test_fusion_of_hashing_vectors_against_brute_force(spark):
         assert [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in want])
 
 
+def letters_of(counter):
+    def embed(texts):
+        counter.add(len(texts))
+        return np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], dtype="float32").reshape(len(texts), 26)
+
+    return embed
+
+
+def test_vectors_are_kept_by_content(spark, tmp_path):
+    counter = spark.sparkContext.accumulator(0)
+    embed, folder = letters_of(counter), str(tmp_path / "cache")
+    texts = lambda *t: spark.createDataFrame([(i, x, "v") for i, x in enumerate(t)], "id long, text string, key string")
+    first = terms.kept_vectors(texts("net revenue", "plan", "plan", None, ""), "text", embed, folder).collect()
+    assert counter.value == 3 and {r["text"]: r["vector"] is None for r in first} == {"net revenue": False, "plan": False, None: True, "": False}
+    again = terms.kept_vectors(texts("plan", "users", "net revenue"), "text", embed, folder).collect()
+    assert counter.value == 4 and len(again) == 3 and all(r["vector"] == [float(r["text"].count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for r in again)
+    terms.kept_vectors(texts("plan"), "text", embed, folder, "another model").collect()
+    assert counter.value == 5
+    assert terms.kept_vectors(texts().limit(0), "text", embed, str(tmp_path / "none")).collect() == []
+
+
+def test_datasets_resolve_by_kept_vectors(spark, tmp_path):
+    data, cache = tmp_path / "data", str(tmp_path / "cache")
+    data.mkdir()
+    (data / "users.csv").write_text("id,plan\n1,a\n2,b\n3,a\n4,b\n")
+    (data / "pays.csv").write_text("id,user_id,amount\n1,1,2.5\n2,1,3.5\n3,4,1.0\n")
+    counter = spark.sparkContext.accumulator(0)
+    plain = prepare_folder(spark, str(data), cache)
+    assert plain.resolve("naplps").count() == 0  # no word of it is known
+    dataset = prepare_folder(spark, str(data), cache, embedder=letters_of(counter))
+    assert dataset.resolve("naplps").count() == 5  # by its letters
+    once = counter.value
+    assert once > 3
+    prepare_folder(spark, str(data), cache, embedder=letters_of(counter)).resolve("naplps", "new words").collect()
+    assert counter.value == once + 1
+
+
 def test_semantic_hit_through_vectors(spark):
     base = catalog_of(spark, ["users", "sum_amount", "plan"])
     held = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "term_id long, vector array<double>")
@@ -114,14 +152,14 @@ def test_semantic_hit_through_vectors(spark):
     assert terms.resolve_terms(queries, base).count() == 0
 
 
-def test_nearest_vectors(spark, monkeypatch):
-    monkeypatch.setattr(terms, "BLOCK_VALUES", 12)
+def test_nearest_vectors(spark):
     rng = np.random.default_rng(1)
     items, asked = rng.normal(size=(200, 4)), rng.normal(size=(9, 4))
     found = terms.nearest_vectors(
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vector array<double>"),
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, vector array<double>").repartition(4),
         3,
+        block_values=12,
     ).collect()
     norm = (items @ asked.T) / np.outer(np.linalg.norm(items, axis=1), np.linalg.norm(asked, axis=1))
     for i in range(9):
