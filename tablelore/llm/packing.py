@@ -1,16 +1,17 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Only lengths are shuffled, into shards that are packed on their own, a bounded block at a
-time. In a block, pieces are placed longest first into the open bin they fit most tightly;
-if none has room, a bin of the least-cost length is opened. Which length that is depends on
-what else there is to place, so a block is packed once for every permitted length as the
-one to open (longer pieces open the shortest that holds them), each bin is then downsized
-to the shortest length that holds its contents, and the cheapest of these plans is kept.
+time. In a block, pieces are placed longest first into the open bin they fit most tightly.
+If none has room, the bin to open is chosen from all permitted lengths: each is filled, for
+a try, with the longest pieces left that fit, and the one that costs least for a token it
+would hold is opened. Each bin is finally downsized to the shortest length that holds its
+contents. Blocks packed with one and the same opening length throughout are looked at too,
+and the cheapest plan is kept.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,13 +56,64 @@ class _Open:
         return room, number
 
 
-def best_fit(sizes: list[int], opening: int, lengths: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
-    """``(bin, offset)`` of every piece, taken in the order given, and what each bin holds."""
+class _Left:
+    """How many pieces of each size are still to be placed."""
+
+    def __init__(self, sizes: list[int]):
+        counts: dict[int, int] = {}
+        for size in sizes:
+            counts[size] = counts.get(size, 0) + 1
+        self.sizes = sorted(counts)
+        self.counts = [counts[s] for s in self.sizes]
+        self.below = list(range(len(self.sizes)))  # the next smaller size that is left, found by following
+
+    def take(self, size: int) -> None:
+        at = bisect_left(self.sizes, size)
+        self.counts[at] -= 1
+        if not self.counts[at]:
+            self.below[at] = at - 1
+
+    def _find(self, at: int) -> int:
+        top = at
+        while top >= 0 and self.below[top] != top:
+            top = self.below[top]
+        while at != top and at >= 0:
+            self.below[at], at = top, self.below[at]
+        return top
+
+    def filled(self, room: int) -> int:
+        """Tokens of the longest pieces left that fit, one after the other; none is taken."""
+        whole, at = room, self._find(bisect_right(self.sizes, room) - 1)
+        while at >= 0 and room:
+            size = self.sizes[at]
+            room -= size * min(self.counts[at], room // size)
+            at = self._find(min(at, bisect_right(self.sizes, room)) - 1)
+        return whole - room
+
+
+def cheapest_opening(size: int, left: _Left, lengths: tuple[int, ...], overhead: float) -> int:
+    """The length to open for a piece: least cost a token when filled with what is left; ties go to the longest."""
+    def cost(length: int) -> float:
+        held = size + left.filled(length - size)
+        return (lengths[bisect_left(lengths, held)] + overhead) / held
+
+    return min(reversed(lengths[bisect_left(lengths, size) :]), key=cost)
+
+
+def best_fit(sizes: list[int], opening: int | None, lengths: tuple[int, ...], overhead: float = 0) -> tuple[list[int], list[int], list[int]]:
+    """``(bin, offset)`` of every piece, taken in the order given, and what each bin holds.
+
+    New bins have the length ``opening``, or, if it is None, the cheapest for what is left.
+    """
     open_bins, where, offsets, held = _Open(), [], [], []
+    left = _Left(sizes) if opening is None else None
     for size in sizes:
+        if left:
+            left.take(size)
         found = open_bins.tightest(size)
         if found is None:
-            found = max(opening, lengths[bisect_left(lengths, size)]), len(held)
+            length = cheapest_opening(size, left, lengths, overhead) if left else max(opening, lengths[bisect_left(lengths, size)])
+            found = length, len(held)
             held.append(0)
         room, number = found
         where.append(number)
@@ -73,10 +125,13 @@ def best_fit(sizes: list[int], opening: int, lengths: tuple[int, ...]) -> tuple[
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...], overhead: float) -> tuple[list[int], list[int], list[int]]:
-    """``(bin, offset)`` of every piece and the length of every bin, of the cheapest plan; ties go to the longest opening."""
+    """``(bin, offset)`` of every piece and the length of every bin, of the cheapest plan; of equal ones the first.
+
+    Plans are the one that chooses each opening, then those with one opening length, the longest first.
+    """
     plans = []
-    for opening in sorted(lengths, reverse=True):
-        where, offsets, held = best_fit(sizes, opening, lengths)
+    for opening in (None, *sorted(lengths, reverse=True)):
+        where, offsets, held = best_fit(sizes, opening, lengths, overhead)
         bins = [lengths[bisect_left(lengths, h)] for h in held]
         plans.append((sum(bins) + overhead * len(bins), where, offsets, bins))
     return min(plans, key=lambda plan: plan[0])[1:]
