@@ -1,9 +1,12 @@
 """Substring dedup: windows of words that also start in a document with a smaller id.
 
 The corpus is its own reference, so it is cut into shards such that equal windows always
-meet. The key of a window is the least hash of the short word runs in it, which is the
+meet. The key of a window is the least hash of the word runs in it, which is the
 same wherever the window stands; neighbouring windows of one key form a segment. Keys that
 only one document has are dropped by an aggregation over keys alone, before any text moves.
+A key whose different segments have too many words for one automaton is split: its windows
+get the least hash of longer runs as their key, in the end of the run that is the whole window,
+so that every automaton is of a bounded size, whatever the corpus repeats.
 
 A shard is the distinct segments of some keys, a bounded number of words. Suffix automata
 of its segments, one a key, are built in the task that needs them (they are ten times as
@@ -11,10 +14,6 @@ large as their text, so the text is what travels), every state learns the smalle
 it occurs in, and the segments are streamed through: where the matching statistics reach
 the window length, the state tells the first document with that window. Copies of a segment
 are streamed once.
-
-A key that more than ``CROWDED`` documents have would make a shard too large. The windows of
-such keys are compared by 128-bit digests of their words instead, grouped with map-side
-combine, so one key may hold any share of the corpus.
 """
 
 from __future__ import annotations
@@ -34,12 +33,14 @@ from tablelore.llm.suffix_automaton import SuffixAutomaton
 from tablelore.session import write_once
 
 WINDOW = 50
-#: Words in the runs whose least hash is a window's key.
+#: Words in the runs whose least hash is a window's key, at first.
 RUN = 10
 #: Windows in a segment at most.
 LONGEST = 1000
-#: Documents that may share a key before its windows are compared by digest.
-CROWDED = 4096
+#: Words of a key's different segments before it is split by longer runs.
+CROWDED = 100_000
+#: Bodies a task knows to have handed on, so that it does not hand them on again.
+KNOWN = 1 << 16
 #: Rows handed back at once, about.
 ROWS = 4096
 #: Words in a shard, about, and tasks that shards are dealt to at most.
@@ -53,10 +54,13 @@ def _weights(n: int) -> np.ndarray:
     return np.asarray([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(n)], dtype=np.uint64)
 
 
-def run_hashes(words: list[bytes], run: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``run`` words."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    n = len(words) - run + 1
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def run_hashes(h: np.ndarray, run: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``run`` words, given the words' hashes."""
+    n = len(h) - run + 1
     out = np.zeros(n, dtype=np.uint64)
     for k, weight in enumerate(_weights(run)):
         out += h[k : n + k] * weight
@@ -75,9 +79,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def segments_of(words: list[bytes], window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(key, a, b)``: first and last windows of the segments of a text."""
-    if len(words) < window:
+    return _segments(word_hashes(words), window, run)
+
+
+def _segments(h: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(h) < window:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    keys = sliding_least(run_hashes(words, run), window - run + 1)
+    keys = sliding_least(run_hashes(h, run), window - run + 1)
     starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     ends = np.concatenate((starts[1:], [len(keys)]))
     if (ends - starts).max() > LONGEST:
@@ -87,41 +95,56 @@ def segments_of(words: list[bytes], window: int, run: int) -> tuple[np.ndarray,
 
 
 def _all_segments(docs: DataFrame, window: int, run: int) -> DataFrame:
+    """``doc_id, version, key, a, b, body`` of all segments, or of those in the ``spans`` of windows that ``docs`` has; ``body`` hashes the words."""
+    names = ["doc_id", "version", "key", "a", "b", "body"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, version, text in zip(batch["doc_id"].tolist(), batch["version"].tolist(), batch["text"]):
-                key, a, b = segments_of(text.encode().split(), window, run)
-                out.append((np.full(len(key), doc), np.full(len(key), version), key, a, b))
-            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
-            yield pd.DataFrame(dict(zip(("doc_id", "version", "key", "a", "b"), columns)))
-
-    return docs.mapInPandas(cut, "doc_id long, version long, key long, a int, b int")
-
-
-def _segment_texts(suspects: DataFrame, window: int, crowded: bool, texts: bool) -> DataFrame:
-    """The segments of crowded keys, or of the others, with their words if asked for."""
+            spans = batch["spans"] if "spans" in batch else itertools.repeat(None)
+            for doc, version, text, windows in zip(batch["doc_id"].tolist(), batch["version"].tolist(), batch["text"], spans):
+                h = word_hashes(text.encode().split())
+                every = [(0, len(h) - window)] if windows is None else zip((windows >> 32).tolist(), (windows & 0xFFFFFFFF).tolist())
+                for first, last in every:
+                    own = h[first : last + window]
+                    key, a, b = _segments(own, window, run)
+                    body = np.fromiter(
+                        (xxhash.xxh64_intdigest(own[i : j + window].tobytes()) for i, j in zip(a.tolist(), b.tolist())), dtype=np.uint64, count=len(a)
+                    )
+                    out.append((np.full(len(key), doc), np.full(len(key), version), key, a + first, b + first, body.view(np.int64)))
+            columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
+            yield pd.DataFrame(dict(zip(names, columns)))
+
+    return docs.mapInPandas(cut, "doc_id long, version long, key long, a int, b int, body long")
+
+
+def _segment_texts(suspects: DataFrame, window: int, texts: bool) -> DataFrame:
+    """The segments of keys that are not crowded, with their words if asked for; a task hands on a body once or a few times."""
 
     names = ["key", "seg", "doc_id", "version", "a"] + ["words"] * texts
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
+        known: set[bytes] = set()
         for batch in batches:
             for row in batch.itertuples():
                 words = row.text.encode().split()
                 for key, a, b, c in zip(row.keys.tolist(), row.a.tolist(), row.b.tolist(), row.crowded.tolist()):
-                    if c != crowded:
+                    if c:
                         continue
-                    spans = [(a, b)] if not crowded else [(k, k) for k in range(a, b + 1)]
-                    for a, b in spans:
-                        body = b" ".join(words[a : b + window])
-                        out.append((key, hashlib.md5(body).digest(), row.doc_id, row.version, a) + ((body,) if texts else ()))
+                    body = b" ".join(words[a : b + window])
+                    seg = hashlib.blake2b(body, digest_size=16).digest()
+                    out.append((key, seg, row.doc_id, row.version, a) + ((None if seg in known else body,) if texts else ()))
+                    if texts:
+                        known.add(seg)
+                if len(known) > KNOWN:
+                    known.clear()
                 if len(out) >= ROWS:
                     yield pd.DataFrame(out, columns=names)
                     out = []
         yield pd.DataFrame(out, columns=names)
 
-    held = suspects.where(F.array_contains("crowded", F.lit(crowded)))
+    held = suspects.where(F.array_contains("crowded", F.lit(False)))
     return held.mapInPandas(read, _SEGMENT + ", words binary" * texts)
 
 
@@ -178,22 +201,46 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, crowde
 
     ``docs`` has ``doc_id``, ``text`` and ``version`` (a hash of the text). Returns
     ``(spans, suspects)``: ``spans(doc_id, version, start, stop)`` counts words and may
-    overlap; ``suspects(doc_id, version, text, segs)`` holds every document with a span.
+    overlap; ``suspects(doc_id, version, text)`` holds every document with a span.
     """
     run = min(run, window)
     rows = docs.where("doc_id is not null and text is not null")
+    spans, held, todo = None, None, rows
+    for run in sorted({run, (run + window) // 2, window}):
+        suspects, more = _suspects(todo, window, run, crowded if run < window else None)
+        found = _spans(suspects, window, shard_words)
+        held = suspects if held is None else held
+        spans = found if spans is None else spans.union(found)
+        if not more:
+            break
+        # what is crowded goes on to longer runs, window by window
+        windows = F.filter(F.arrays_zip("a", "b", "crowded"), lambda s: s["crowded"])
+        ends = F.transform(windows, lambda s: F.shiftleft(s["a"].cast("long"), 32).bitwiseOR(s["b"].cast("long")))
+        todo = suspects.where(F.array_contains("crowded", F.lit(True))).select("doc_id", "version", "text", ends.alias("spans"))
+    return spans, held
+
+
+def _suspects(rows: DataFrame, window: int, run: int, crowded: int | None) -> tuple[DataFrame, bool]:
+    """Documents with segments whose keys another document has, and whether some of these keys are crowded."""
     parts = write_once(_all_segments(rows, window, run), "segments")
-    shared = parts.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = write_once(shared.where("low < high").select("key", (F.col("n") > crowded).alias("crowded")), "segment-keys")
+    words = (F.max(F.col("b") - F.col("a")) + window).alias("words")
+    bodies = parts.groupBy("key", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), words)
+    shared = bodies.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("words").alias("words")).where("low < high")
+    over = F.lit(False) if crowded is None else F.col("words") > crowded
+    shared = write_once(shared.select("key", over.alias("crowded")), "segment-keys")
     # planned as shuffles at every size: all of these grow with the documents
     found = parts.join(shared.hint("merge"), "key").groupBy("doc_id", "version").agg(
         F.collect_set(F.struct("key", "a", "b", "crowded")).alias("segs")
     )
     fields = {"keys": "key", "a": "a", "b": "b", "crowded": "crowded"}  # columns of plain arrays are read fastest
     found = found.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), *(F.col(f"segs.{c}").alias(n) for n, c in fields.items()))
-    texts = rows.join(found.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("version") == F.col("v"))).drop("d", "v")
+    texts = rows.select("doc_id", "version", "text").join(found.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("version") == F.col("v")))
     texts = texts.groupBy("doc_id", "version").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in fields))
-    suspects = write_once(texts, "suspects")
+    return write_once(texts, "suspects"), crowded is not None and not shared.where("crowded").isEmpty()
+
+
+def _spans(suspects: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """Spans found by automata of the keys that are not crowded."""
 
     def stream(table: pd.DataFrame) -> pd.DataFrame:
         """A segment of a key's last document is nobody's reference, one of its first document needs none."""
@@ -208,26 +255,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, crowde
         return pd.DataFrame(out, columns=["seg", "i", "j", "least"])
 
     distinct = (
-        _segment_texts(suspects, window, crowded=False, texts=True)
+        _segment_texts(suspects, window, texts=True)
         .groupBy("key", "seg")
-        .agg(F.first("words").alias("words"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        .agg(F.first("words", ignorenulls=True).alias("words"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     )
     distinct = write_once(distinct, "reference")
     words = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-words // (6 * shard_words)))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(min(shards, MOST_TASKS), "shard")
     seen = write_once(dealt.groupBy("shard").applyInPandas(stream, "seg binary, i int, j int, least long"), "first-documents")
-    places = _segment_texts(suspects, window, crowded=False, texts=False)
-    spans = places.join(seen.hint("merge"), "seg").where("least < doc_id").select(
+    places = _segment_texts(suspects, window, texts=False)
+    return places.join(seen.hint("merge"), "seg").where("least < doc_id").select(
         "doc_id", "version", (F.col("a") + F.col("i")).alias("start"), (F.col("a") + F.col("j") + window).alias("stop")
     )
-    windows = _segment_texts(suspects, window, crowded=True, texts=False)
-    least = windows.groupBy("seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    least = write_once(least.select("seg", "least"), "crowded-windows")
-    more = windows.join(least.hint("merge"), "seg").where("least < doc_id").select(
-        "doc_id", "version", F.col("a").alias("start"), (F.col("a") + window).alias("stop")
-    )
-    return spans.union(more), suspects
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

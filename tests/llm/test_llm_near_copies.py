@@ -9,9 +9,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablelore.llm import line_chunks, simhash_tiles, substring_dedup
+from tablelore.llm import line_chunks, queries, simhash_tiles, substring_dedup
 from tablelore.llm.components import connected_components
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, fingerprint string, component_id string, row string, key string"
 
 
@@ -166,7 +167,7 @@ def repeating_texts():
     return texts + texts[6:9]
 
 
-@pytest.mark.parametrize("window,crowded,shard_words", [(12, 4096, 150_000), (12, 3, 200), (3, 1, 50)])
+@pytest.mark.parametrize("window,crowded,shard_words", [(12, 100_000, 150_000), (12, 30, 200), (25, 60, 300), (3, 1, 50)])
 def test_substring_dedup(spark, window, crowded, shard_words):
     texts = repeating_texts()
     rng = random.Random(2)
@@ -191,6 +192,48 @@ def test_segments_are_the_same_wherever_a_window_stands():
     assert all(k == keys[0] and len(k) == 1 for k in keys)
 
 
+def test_crowded_keys_are_split_into_small_automata(spark, monkeypatch):
+    """One run of words in very many different surroundings, and copies of one page: no automaton exceeds the bound."""
+    rng = random.Random(21)
+    common = words(rng, 14, 10**6)
+    texts = [" ".join(words(rng, 30, 10**6) + common + words(rng, 30, 10**6)) for _ in range(120)]
+    texts += [texts[3]] * 40 + [" ".join(t.split()[10:60]) for t in texts[:30]]
+    sizes = spark.sparkContext.accumulator(0)
+    plain = substring_dedup.first_documents
+
+    def watched(reference, segments, window):
+        if sum(len(w) for w, _ in reference) > 700:
+            sizes.add(1)
+        return plain(reference, segments, window)
+
+    monkeypatch.setattr(substring_dedup, "first_documents", watched)
+    got = substring_dedup.remove_repeats(frame(spark, texts), 20, crowded=600).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_removal(range(len(texts)), texts, 20))
+    assert sizes.value == 0
+
+
+def test_substring_query(spark, tmp_path):
+    """The registered query, with its window of 50 words, against brute force."""
+    rng = random.Random(23)
+    passages = [words(rng, n, 3000) for n in (49, 50, 51, 90, 200)]
+    texts = [None, ""]
+    for _ in range(60):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            w += rng.choice(passages) + words(rng, rng.randrange(0, 40), 3000)
+        texts.append(" ".join(w))
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op7_substring_dedup(spark, str(tmp_path)).collect()))
+    assert got == sorted((i, n, r, hashlib.sha256(k.encode()).hexdigest()) for i, n, r, k in plain_removal(range(len(texts)), texts, 50))
+
+
+def test_simhash_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    prints = [plain_simhash(t) for t in docs.values()]
+    want = sorted(zip(docs, (f"{p:016x}" for p in prints), plain_components(list(docs), prints, 2)))
+    assert sorted(map(tuple, queries.op8_simhash_tiles(spark, SF).collect())) == want
+
+
 def test_removal_digests(spark):
     texts = repeating_texts()
     docs = frame(spark, texts)
