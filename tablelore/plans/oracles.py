@@ -829,8 +829,10 @@ ORACLES: dict[str, str] = {
     "G5_applied": GLOSSARY_CHAIN + """
       SELECT nr::BIGINT AS ordinal, target, 'description' AS field, value FROM described
       UNION ALL SELECT nr, target, 'synonyms', string_agg(s, ', ' ORDER BY p) FROM added GROUP BY nr, target""",
-    "G5_resolve": """SELECT * FROM (VALUES ('billings', 'sum_totalprice'), ('industry', 'customers.mktsegment'),
-      ('client', 'customers'), ('balance', 'customers_sum_acctbal')) AS r(query, target)""",
+    "G5_resolve": GLOSSARY_CHAIN + """
+      SELECT DISTINCT query, CASE kind WHEN 'measure' THEN (SELECT name FROM meas WHERE meas.t = mt AND meas.c = mc)
+        WHEN 'dimension' THEN mt || '.' || mc ELSE mt END AS target
+      FROM (SELECT kind, mt, mc, trim(unnest(synonyms)) AS query FROM grounded) WHERE query IN ('billings', 'industry', 'client', 'balance')""",
     "L0_run_sql": RUN_SQL,
     "L1_count": "SELECT count(*) AS n FROM lineitem",
     "L2_group_count": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
@@ -897,10 +899,23 @@ ORACLES: dict[str, str] = {
       a AS (SELECT row_number() OVER (ORDER BY -o_orderkey) AS i, -o_orderkey AS k, o_totalprice AS v FROM orders)
       SELECT 'same order' AS test, NOT EXISTS (SELECT * FROM e EXCEPT ALL SELECT * FROM e) AS equal
       UNION ALL SELECT 'other order', NOT EXISTS (SELECT * FROM e JOIN a USING (i) WHERE e.k <> a.k OR e.v <> a.v)""",
-    "E3_suite": """SELECT * FROM (VALUES ('edge', 'relationship', 'pass'), ('edge-absent', 'relationship', 'pass'),
-      ('edge-missing', 'relationship', 'fail'), ('entity', 'entity', 'pass'), ('entity-gap', 'entity', 'fail'),
-      ('metric', 'metric', 'pass'), ('metric-fan-out', 'metric', 'pass'), ('metric-unknown', 'metric', 'pass'),
-      ('term', 'term', 'pass'), ('term-unknown', 'term', 'fail')) AS s(id, kind, outcome)""",
+    "E3_suite": _lexical(TERMS_CHAIN, "SELECT query, query AS qkey FROM (VALUES ('order priority'), ('billings')) AS q(query)", "qkey") + f""",
+      judged(id, kind, passed) AS (
+        SELECT 'edge', 'relationship', EXISTS (SELECT 1 FROM edges WHERE {KEY} = 'orders.customer_id->customers.id' AND confidence >= 90)
+        UNION ALL SELECT 'edge-absent', 'relationship', NOT EXISTS (SELECT 1 FROM edges WHERE {KEY} = 'parts.id->orders.id')
+        UNION ALL SELECT 'edge-missing', 'relationship', EXISTS (SELECT 1 FROM edges WHERE {KEY} = 'parts.size->orders.id')
+        UNION ALL SELECT 'entity', 'entity', EXISTS (SELECT 1 FROM names WHERE entity = 'Order' AND t = 'orders')
+          AND (SELECT count(*) = 2 FROM meas WHERE t = 'orders' AND name IN ('orders_count', 'sum_totalprice'))
+          AND EXISTS (SELECT 1 FROM dims WHERE t = 'orders' AND name = 'orderstatus')
+        UNION ALL SELECT 'entity-gap', 'entity', EXISTS (SELECT 1 FROM meas JOIN names USING (t) WHERE entity = 'Order' AND meas.name = 'sum_colour')
+        UNION ALL SELECT 'metric', 'metric', (SELECT count(*) = 1 FROM meas m JOIN edges ON from_table = m.t JOIN dims d ON d.t = to_table
+          WHERE m.name = 'sum_totalprice' AND d.name = 'mktsegment')
+        UNION ALL SELECT 'metric-fan-out', 'metric', NOT EXISTS (SELECT 1 FROM meas m JOIN edges ON from_table = m.t JOIN dims d ON d.t = to_table
+          WHERE m.name = 'customers_count' AND d.name = 'orderstatus')
+        UNION ALL SELECT 'metric-unknown', 'metric', NOT EXISTS (SELECT 1 FROM meas WHERE name = 'gross_margin')
+        UNION ALL SELECT 'term', 'term', EXISTS (SELECT 1 FROM ranked JOIN catalog USING (term_id) WHERE qkey = 'order priority' AND rank <= 5 AND {TARGET} = 'orders_count')
+        UNION ALL SELECT 'term-unknown', 'term', EXISTS (SELECT 1 FROM ranked JOIN catalog USING (term_id) WHERE qkey = 'billings' AND rank <= 5 AND {TARGET} = 'sum_totalprice'))
+      SELECT id, kind, CASE WHEN passed THEN 'pass' ELSE 'fail' END AS outcome FROM judged""",
     "E4_tally": RUNS_CHAIN + """SELECT arm, count(*) AS total, count(*) FILTER (outcome = 'pass') AS passed,
       count(*) FILTER (outcome = 'fail') AS failed, count(*) FILTER (outcome = 'error') AS errored,
       round(count(*) FILTER (outcome = 'pass')::DOUBLE / count(*), 6) AS score FROM cases GROUP BY arm""",
