@@ -37,8 +37,8 @@ WINDOW = 50
 RUN = 10
 #: Windows in a segment at most.
 LONGEST = 1000
-#: Words of a key's different segments before it is split by longer runs.
-CROWDED = 100_000
+#: Words of a key's different segments, at most a shard's, before it is split by longer runs.
+CROWDED = 300_000
 #: Bodies a task knows to have handed on, so that it does not hand them on again.
 KNOWN = 1 << 16
 #: Rows handed back at once, about.
