@@ -11,8 +11,6 @@ close ones paired.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch, write_once
 from ..tables import ref
-from .matching import RELATIVE, WHOLE, unmatched
+from .matching import all_close, unmatched
 
 _PLAIN = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
 
@@ -105,16 +103,6 @@ def _cells(df: DataFrame, columns: list[tuple[int, bool]], *keep: Column) -> Dat
     )
 
 
-def _close(a: Column, b: Column) -> Column:
-    whole = (F.rint(a) == a) & (F.rint(b) == b) & (F.abs(a) < WHOLE) & (F.abs(b) < WHOLE)
-    near = ~whole & (F.abs(a - b) <= RELATIVE * F.greatest(F.abs(a), F.abs(b)))
-    return a.eqNullSafe(b) | F.coalesce(near, F.lit(False))
-
-
-def _all_close(a: str, b: str, n: int) -> Column:
-    return reduce(and_, (_close(F.col(a)[k], F.col(b)[k]) for k in range(n)), F.lit(True))
-
-
 def _shown(exact: Column, real: Column, pairs: list[tuple[int, int, bool]]) -> Column:
     """The cells of a row as text, in the expected order."""
     cells, at = [], 0
@@ -196,7 +184,7 @@ def _by_position(expected: DataFrame, actual: DataFrame, order: list[str], pairs
     here = positions(expected, [(i, real) for i, _, real in pairs], order, write).withColumnsRenamed({"exact": "e", "real": "r"})
     there = positions(actual, [(j, real) for _, j, real in pairs], order, write)
     joined = here.join(there, "position", "full_outer")
-    same = F.col("e").eqNullSafe(F.col("exact")) & _all_close("r", "real", sum(real for *_, real in pairs))
+    same = F.col("e").eqNullSafe(F.col("exact")) & all_close(F.col("r"), F.col("real"))
     wrong = joined.where(~F.coalesce(same, F.lit(False)))
     sides = F.array(
         F.struct(_shown(F.col("e"), F.col("r"), pairs).alias("cells"), F.lit(1).alias("expected"), F.lit(0).alias("actual"), F.col("e").isNotNull().alias("there")),

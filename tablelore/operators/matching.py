@@ -39,6 +39,17 @@ def _log_place(x: Column) -> Column:
     return F.ln(F.abs(x)) / _STEP
 
 
+def all_close(a: Column, b: Column) -> Column:
+    """:func:`close` for all numbers of two rows."""
+
+    def one(x: Column, y: Column) -> Column:
+        whole = (F.rint(x) == x) & (F.rint(y) == y) & (F.abs(x) < WHOLE) & (F.abs(y) < WHOLE)
+        near = ~whole & (F.abs(x - y) <= RELATIVE * F.greatest(F.abs(x), F.abs(y)))
+        return x.eqNullSafe(y) | F.coalesce(near, F.lit(False))
+
+    return F.forall(F.zip_with(a, b, one), lambda same: same)
+
+
 def _places(x: Column) -> Column:
     """The places a number counts for, signed; zero and null have places of their own."""
     at = F.floor(_log_place(x))
@@ -117,8 +128,17 @@ def unmatched(rows: DataFrame, n: int, write: Callable[[DataFrame, str], DataFra
                     out += [(list(exact), list(real), e, a) for real, e, a in left_over(group)]
             yield pd.DataFrame(out, columns=["exact", "real", "expected", "actual"])
 
-    both = grouped.where("short and over").select("rows").mapInPandas(matched, "exact array<string>, real array<double>, expected long, actual long")
-    return alone.select(*both.columns).union(both)
+    # most components are a row of one side and a close one of the other
+    two = grouped.where((F.col("short") & F.col("over")) & (F.size("rows") == 2)).select(F.col("rows")[0].alias("r"), F.col("rows")[1].alias("o"))
+    net = lambda r: F.col(f"{r}.expected") - F.col(f"{r}.actual")
+    pair = all_close(F.col("r.real"), F.col("o.real")) & F.col("r.exact").eqNullSafe(F.col("o.exact"))
+    paired = F.when(pair, F.least(F.abs(net("r")), F.abs(net("o")))).otherwise(0)
+    rest = lambda r, side: F.greatest(side * net(r) - paired, F.lit(0))
+    row = lambda r: F.struct(F.col(f"{r}.exact"), F.col(f"{r}.real"), rest(r, 1).alias("expected"), rest(r, -1).alias("actual"))
+    simple = two.select(F.inline(F.array(row("r"), row("o")))).where("expected > 0 or actual > 0")
+    more = grouped.where((F.col("short") & F.col("over")) & (F.size("rows") > 2)).select("rows")
+    both = more.mapInPandas(matched, "exact array<string>, real array<double>, expected long, actual long")
+    return alone.select(*both.columns).union(simple.select(*both.columns)).union(both)
 
 
 Row = tuple[tuple, int, int]  # numbers, copies expected, copies there
