@@ -10,7 +10,8 @@ from tablelore.plans.oracles import ORACLES
 from tools.check_queries import rows_of
 
 #: Queries that a path without a scheme failed on a cluster.
-WRITING = """E1_differences E1_matching E2_ordered E3_suite G2_grounded G3_descriptions G4_synonyms G5_applied G5_resolve L12_drill_across M1_entities M2_synonyms""".split()
+WRITING = """E1_differences E1_matching E2_ordered E3_suite G2_grounded G3_descriptions G4_synonyms G5_applied G5_resolve L12_drill_across M1_entities M2_synonyms
+M3_key_columns""".split()
 
 
 def star_columns():
