@@ -11,7 +11,7 @@ from tools.check_queries import rows_of
 
 #: Queries that a path without a scheme failed on a cluster.
 WRITING = """E1_differences E1_matching E2_ordered E3_suite G2_grounded G3_descriptions G4_synonyms G5_applied G5_resolve L12_drill_across M1_entities M2_synonyms
-M3_key_columns M5_measures M4_dimensions M6_measure_names M7_associations M8_model M9_fan_out P1_nulls P2_distinct""".split()
+M3_key_columns M5_measures M4_dimensions M6_measure_names M7_associations M8_model M9_fan_out P1_nulls P2_distinct P2_prefilter""".split()
 
 
 def star_columns():
